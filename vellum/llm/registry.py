@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from . import near_vectors
+from .fertility import op6_tokeniser_fertility
+from .near_vectors import op10_product_quantisation
 from .packing import op9_best_two_fit
 from .token_counts import op7_heap_bpe
+from .toxicity import op1_noisy_or
 
 QUERIES = {
+    "op1_noisy_or": op1_noisy_or,
+    "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_heap_bpe": op7_heap_bpe,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_product_quantisation": op10_product_quantisation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_product_quantisation": near_vectors.ORACLE_SQL,
+}
