@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import near_vectors
+from . import boilerplate, near_vectors
+from .boilerplate import op3_site_lines
 from .fertility import op6_tokeniser_fertility
 from .near_vectors import op10_product_quantisation
 from .packing import op9_best_two_fit
@@ -11,6 +12,7 @@ from .toxicity import op1_noisy_or
 
 QUERIES = {
     "op1_noisy_or": op1_noisy_or,
+    "op3_site_lines": op3_site_lines,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_heap_bpe": op7_heap_bpe,
     "op9_best_two_fit": op9_best_two_fit,
@@ -18,5 +20,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_site_lines": boilerplate.ORACLE_SQL,
     "op10_product_quantisation": near_vectors.ORACLE_SQL,
 }
