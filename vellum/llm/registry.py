@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import boilerplate, near_vectors
+from . import boilerplate, near_vectors, warc
 from .boilerplate import op3_site_lines
 from .fertility import op6_tokeniser_fertility
 from .near_vectors import op10_product_quantisation
 from .packing import op9_best_two_fit
 from .token_counts import op7_heap_bpe
 from .toxicity import op1_noisy_or
+from .warc import op4_boundary_chain
 
 QUERIES = {
     "op1_noisy_or": op1_noisy_or,
     "op3_site_lines": op3_site_lines,
+    "op4_boundary_chain": op4_boundary_chain,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_heap_bpe": op7_heap_bpe,
     "op9_best_two_fit": op9_best_two_fit,
@@ -21,5 +23,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_site_lines": boilerplate.ORACLE_SQL,
+    "op4_boundary_chain": warc.ORACLE_SQL,
     "op10_product_quantisation": near_vectors.ORACLE_SQL,
 }
