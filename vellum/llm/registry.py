@@ -7,6 +7,7 @@ from .boilerplate import op3_site_lines
 from .fertility import op6_tokeniser_fertility
 from .near_vectors import op10_product_quantisation
 from .packing import op9_best_two_fit
+from .shingle_join import op8_lsh_forest
 from .token_counts import op7_heap_bpe
 from .toxicity import op1_noisy_or
 from .warc import op4_boundary_chain
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_boundary_chain": op4_boundary_chain,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_heap_bpe": op7_heap_bpe,
+    "op8_lsh_forest": op8_lsh_forest,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_product_quantisation": op10_product_quantisation,
 }
