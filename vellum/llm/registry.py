@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import boilerplate, near_vectors, warc
 from .boilerplate import op3_site_lines
 from .fertility import op6_tokeniser_fertility
+from .lm_score import op2_ppm
+from .mixing import op5_temperature
 from .near_vectors import op10_product_quantisation
 from .packing import op9_best_two_fit
 from .shingle_join import op8_lsh_forest
@@ -14,8 +16,10 @@ from .warc import op4_boundary_chain
 
 QUERIES = {
     "op1_noisy_or": op1_noisy_or,
+    "op2_ppm": op2_ppm,
     "op3_site_lines": op3_site_lines,
     "op4_boundary_chain": op4_boundary_chain,
+    "op5_temperature": op5_temperature,
     "op6_tokeniser_fertility": op6_tokeniser_fertility,
     "op7_heap_bpe": op7_heap_bpe,
     "op8_lsh_forest": op8_lsh_forest,
