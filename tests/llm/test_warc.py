@@ -13,23 +13,23 @@ def _pages(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
 
 
-def _round_trip(spark, rows, per_file=4):
+def _round_trip(spark, rows, per_file=4, compression="gzip"):
     path = scratch_path(spark, "warc")
-    warc.write_archives(warc.with_revisits(_pages(spark, rows)).repartition(per_file, "page_id"), path)
+    warc.write_archives(warc.with_revisits(_pages(spark, rows)).repartition(per_file, "page_id"), path, compression)
     return path
 
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
 
-@pytest.mark.parametrize("block", ["128m", "700b"])
-def test_magic_inside_payloads_is_no_record(spark, block):
+@pytest.mark.parametrize(("block", "compression"), [("128m", "gzip"), ("128m", "none"), ("700b", "none")])
+def test_magic_inside_payloads_is_no_record(spark, block, compression):
     rows = [(1, "http://a/", FAKE), (2, None, None), (3, "http://b/", ""), (4, "u", "WARC/1."), (5, "u v", "x" * 3000 + FAKE * 3 + "é" * 500 + "WARC/1.1\r\n"), (6, "u", "\r\n\r\nWARC/1.0\r\nContent-Length: 2\r\n\r\n")]
     rows += [(i, f"http://h/{i}", f"line {i}\r\n\r\nWARC/1.1\r\n" * (i % 7) + "y" * i) for i in range(10, 80)]
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", block)
     try:
-        got = {r["page_id"]: r for r in warc.read_pages(spark, _round_trip(spark, rows, 2)).collect()}
+        got = {r["page_id"]: r for r in warc.read_pages(spark, _round_trip(spark, rows, 2, compression)).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == len(rows)

@@ -36,7 +36,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, what)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """WARC archives: writing pages with revisits, and reading records back by chain verification.
 
 Writing: a record is one string and the text sink's line separator closes it, so part files
-are uncompressed WARC files.
+are WARC files, by default compressed as a whole. Uncompressed ones can be read in blocks.
 
 Reading: the text source splits files at the records' magic, in blocks as Spark cuts them, and
 each piece is only a candidate for a record, because a payload may hold the magic, or a whole
@@ -46,6 +46,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
         .where("n > 1")
         .select("digest", "first_id")
     )
+    groups = materialise(groups, "groups")  # its size is then known when the join is planned: few groups need no shuffle of payloads
     again = F.coalesce((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
     return rows.join(groups, "digest", "left").select(
         "page_id",
@@ -58,8 +59,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     )
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write the rows of :func:`with_revisits` as WARC files below ``path``, one for each task."""
+def write_archives(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write the rows of :func:`with_revisits` as WARC files below ``path``, one for each task; ``compression`` may be "none"."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     block = F.concat(F.lit(_HTTP), F.coalesce("payload", F.lit("")))
     record = F.concat(
@@ -79,7 +80,7 @@ def write_archives(records: DataFrame, path: str) -> None:
         F.lit(CLOSE),
         block,
     )
-    records.select(record.alias("value")).write.option("lineSep", CLOSE).text(path)
+    records.select(record.alias("value")).write.option("lineSep", CLOSE).option("compression", compression).text(path)
 
 
 _EXITS = "file string, block long, offset long, next long, leaves long"
@@ -109,32 +110,39 @@ def _walk(part: pd.DataFrame) -> pd.DataFrame:
     return part.loc[part["offset"].isin(reached), ["file", "block", "offset"]]
 
 
-def pieces_at_magic(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, offset (of the magic) and value (what follows it) of every piece of the files."""
+def pieces_at_magic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The pieces of the files: (at, value), value being what follows the magic, and their places.
+
+    Places: at, file, block, offset (of the magic), size, header_size, length, where the last two
+    are null for a piece that can't be a record. Only the places, never the values, are shuffled.
+    """
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        "value",
-        (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"),
+    raw = materialise(
+        raw.select(F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"),
+        "pieces",
     )
+    header = F.substring_index("value", CLOSE, 1)
+    possible = F.col("value").rlike(r"^[01]\r\n")
+    length = F.regexp_extract(header, r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,18})", 1).try_cast("long")
+    small = raw.select(
+        "at", "file", "block",
+        (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"),
+        F.when(possible, F.octet_length(header)).cast("long").alias("header_size"),
+        F.when(possible, length).alias("length"),
+    )
     earlier = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    local = materialise(raw.withColumn("local", F.coalesce(F.sum("size").over(earlier), F.lit(0))).drop("at"), "pieces")
+    local = materialise(small.withColumn("local", F.coalesce(F.sum("size").over(earlier), F.lit(0))), "local")
     blocks = local.groupBy("file", "block").agg(F.sum("size").alias("block_size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("file", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("base"))
-    return local.join(base, ["file", "block"]).select("file", "block", (F.col("base") + F.col("local") - len(MAGIC)).alias("offset"), "value", "size")
+    places = local.join(base, ["file", "block"]).select("at", "file", "block", (F.col("base") + F.col("local") - len(MAGIC)).alias("offset"), "size", "header_size", "length")
+    return raw.select("at", "value"), materialise(places, "places")
 
 
-def true_records(pieces: DataFrame) -> DataFrame:
+def true_records(places: DataFrame) -> DataFrame:
     """file, block, offset of the pieces that the chain from the start of their file reaches."""
-    header = F.substring_index("value", CLOSE, 1)
-    length = F.try_element_at(F.regexp_extract_all(header, F.lit(r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,18})"), 1), F.lit(1)).cast("long")
-    candidates = pieces.where((F.col("offset") >= 0) & F.col("value").rlike(r"^[01]\r\n")).select(
-        "file", "block", "offset", (F.col("offset") + len(MAGIC) + F.octet_length(header) + len(CLOSE) + length + len(CLOSE)).alias("next")
-    )
-    candidates = candidates.where(F.col("next").isNotNull())
+    follows = F.col("offset") + len(MAGIC) + F.col("header_size") + 2 * len(CLOSE) + F.col("length")
+    candidates = places.where("offset >= 0 and length is not null").select("file", "block", "offset", follows.alias("next"))
     nodes = materialise(candidates.groupBy("file", "block").applyInPandas(_shorten, _EXITS), "candidates")
     # only the start of a file and the offsets at which a chain enters a block take part in the doubling
     targets = nodes.select("file", F.col("leaves").alias("offset")).distinct()
@@ -158,25 +166,30 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     doesn't begin with a record gives none; a record cut off by the end of its file gives the
     content that is there. No files with records: an empty result.
     """
-    pieces = pieces_at_magic(spark, path)
-    reached = materialise(true_records(pieces), "reached")
-    marked = pieces.join(reached.withColumn("true", F.lit(True)), ["file", "block", "offset"], "left")
-    ends = reached.groupBy("file", "block").agg(F.max("offset").alias("last"))
-    blocks = pieces.groupBy("file", "block").agg(F.count("*").alias("n")).join(ends, ["file", "block"], "left")
+    values, places = pieces_at_magic(spark, path)
+    reached = materialise(true_records(places), "reached")
+    marked = places.join(reached.withColumn("true", F.lit(True)), ["file", "block", "offset"], "left")
+    last = reached.groupBy("file", "block").agg(F.max("offset").alias("last"))
+    blocks = places.groupBy("file", "block").agg(F.count("*").alias("n")).join(last, ["file", "block"], "left")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select("file", "block", F.max("last").over(earlier).alias("carried"))
     up_to = Window.partitionBy("file", "block").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.join(carried, ["file", "block"]).withColumn("owner", F.coalesce(F.last(F.when(F.col("true"), F.col("offset")), ignorenulls=True).over(up_to), F.col("carried")))
+    owner = F.coalesce(F.last(F.when(F.col("true"), F.col("offset")), ignorenulls=True).over(up_to), F.col("carried"))
+    whole = F.coalesce(F.col("true") & (F.col("header_size") + len(CLOSE) + F.col("length") + len(MAGIC) <= F.col("size")), F.lit(False))
+    owned = marked.join(carried, ["file", "block"]).select("at", "file", "offset", owner.alias("owner"), whole.alias("whole"), F.coalesce("true", F.lit(False)).alias("true"))
+    owned = materialise(owned, "owned")
+    # most records are one piece; the pieces that aren't are few, and stored, so that their size is known when the join is planned
+    others = materialise(owned.where("not whole").select("at"), "others")
+    single = values.join(others, "at", "left_anti").select("value")
+    # records with magic inside come in several pieces: those are gathered, by record
+    split = owned.where("true and not whole").select("file", "owner")
+    parts = materialise(owned.where("not whole").join(split, ["file", "owner"], "left_semi").select("at", "file", "owner", "offset"), "parts")
+    gathered = values.join(parts, "at").groupBy("file", "owner")
+    joined = gathered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
     header = F.substring_index("value", CLOSE, 1)
     length = F.regexp_extract(header, r"(?i)\r\nContent-Length:[ \t]*([0-9]{1,18})", 1).try_cast("long")
-    body = F.octet_length(header) + len(CLOSE)
-    whole = F.coalesce(F.col("true") & (body + length <= F.octet_length("value")), F.lit(False))
-    sized = owned.where("owner is not null").withColumn("whole", whole)
-    # records with magic inside come in several pieces: those are gathered, by record
-    split = sized.join(sized.where(F.col("true") & ~F.col("whole")).select("file", "owner"), ["file", "owner"], "left_semi")
-    joined = split.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
-    records = sized.where("whole").select("value").unionByName(joined.select("value"))
-    return records.select(header.alias("header"), F.substring(F.col("value").cast("binary"), body + 1, length.cast("int")).alias("content"))
+    records = single.unionByName(joined.select("value"))
+    return records.select(header.alias("header"), F.substring(F.col("value").cast("binary"), F.octet_length(header) + len(CLOSE) + 1, length.cast("int")).alias("content"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
