@@ -46,10 +46,8 @@ def bigrams(text: Column) -> Column:
 
     Pairs span what was deleted. One character is itself; none, or a null text, gives an empty array.
     """
-    chars = F.filter(F.split(F.coalesce(bare(text), F.lit("")), ""), lambda c: c != "")
-    n = F.size(chars)
-    pairs = F.zip_with(F.slice(chars, 1, F.greatest(n - 1, F.lit(0))), F.slice(chars, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.when(n > 1, pairs).otherwise(chars)
+    # one pass: a look-ahead matches at every character and takes two, or the only one
+    return F.regexp_extract_all(F.coalesce(bare(text), F.lit("")), F.lit("(?s)(?=(..|^.$))"), 1)
 
 
 def normalize(text: Column) -> Column:
