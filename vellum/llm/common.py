@@ -28,7 +28,7 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def materialise(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage with a real copy: a lost executor costs a reread, never a recomputation
@@ -36,7 +36,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, what)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

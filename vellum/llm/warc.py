@@ -83,8 +83,9 @@ def write_archives(records: DataFrame, path: str, compression: str = "gzip") ->
     records.select(record.alias("value")).write.option("lineSep", CLOSE).option("compression", compression).text(path)
 
 
-_EXITS = "file string, block long, offset long, next long, leaves long"
-_REACHED = "file string, block long, offset long"
+#: A file is named by a 64-bit hash of its path, which keeps the rows small that are sorted and joined.
+_EXITS = "file long, block long, offset long, next long, leaves long"
+_REACHED = "file long, block long, offset long"
 
 
 def _shorten(part: pd.DataFrame) -> pd.DataFrame:
@@ -118,8 +119,9 @@ def pieces_at_magic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     raw = materialise(
-        raw.select(F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"),
+        raw.select(F.monotonically_increasing_id().alias("at"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"),
         "pieces",
+        compression="zstd",
     )
     header = F.substring_index("value", CLOSE, 1)
     possible = F.col("value").rlike(r"^[01]\r\n")
