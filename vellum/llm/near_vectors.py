@@ -164,12 +164,15 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
         F.lit(False),
     )
     classes = materialise(
-        rows.where(sound).groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")),
+        rows.where(sound)
+        .groupBy("label", "vector")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumns({"dim": F.size("vector"), "id": F.monotonically_increasing_id()}),
         "vectors",
-    )
+    )  # stored with numbers of our own, because different vectors may share a vec_id
     quantisers: dict[int, Quantiser] = {}
     for r in classes.groupBy("dim").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).collect():  # one row for each dimension
-        sample = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id", "label"), "id").select("vector").limit(SAMPLE).toPandas()
+        sample = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("least", "vector"), "least", "vector").select("vector").limit(SAMPLE).toPandas()
         x = np.stack(sample["vector"].to_numpy())
         x /= np.sqrt((x * x).sum(1))[:, None]
         quantisers[r["dim"]] = Quantiser(x, int(np.clip(r["n"] // (LIST_SIZE * r["labels"]), 1, MAX_LISTS)))
@@ -204,11 +207,13 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     join = lambda part: _join_in_list(part, quantisers[int(part["dim"].iloc[0])], min_cosine, radius)
     found = materialise(tasks.groupBy(*key, "row_block", "query_block").applyInPandas(join, _FOUND), "links")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    named = components.join(classes.select("id", "least"), "id")
+    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").drop("component")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     settled = (
         classes.join(links, "id", "left")
-        .join(components, "id", "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .join(named, "id", "left")
+        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
     alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (

@@ -102,6 +102,11 @@ class Forest:
         return total
 
 
+def _fingerprint(s: np.ndarray) -> list[int]:
+    """128 bits that depend on the set only."""
+    return [int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(s)).astype(np.int64)) if len(s) else 0]
+
+
 def _features(docs: DataFrame, forest: Forest) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,7 +114,7 @@ def _features(docs: DataFrame, forest: Forest) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text)
                 least = forest.signature(s)
-                out.append((doc_id, len(s), s.sum(dtype=np.uint64).astype(np.int64), np.bitwise_xor.reduce(_mix(s)).astype(np.int64) if len(s) else 0, (least >> np.uint64(17)).astype(np.uint8).tobytes(), forest.prefixes(least).astype(np.int64)))
+                out.append((doc_id, len(s), *_fingerprint(s), (least >> np.uint64(17)).astype(np.uint8).tobytes(), forest.prefixes(least).astype(np.int64)))
             yield pd.DataFrame(out, columns=["doc_id", "n", "fp1", "fp2", "sig", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInPandas(rows, _FEATURES)
@@ -159,6 +164,8 @@ def _verify(part: pd.DataFrame, min_jaccard: float) -> pd.DataFrame:
     """Links of the clusters, or of the pair of blocks of one cluster, in ``part``: per document the count, and a forest."""
     ids_out, links_out, other_out = [], [], []
     for _, cluster in part.groupby("cluster"):
+        if cluster["id"].duplicated().any():  # a doc_id of several rows has brought several texts
+            cluster = cluster[[_fingerprint(shingles(t)) == x for t, *x in zip(cluster["text"], cluster["fp1"], cluster["fp2"], strict=True)]].drop_duplicates("id")
         ids, copies = cluster["id"].to_numpy(np.int64), cluster["copies"].to_numpy(np.int64)
         side = cluster["side"].to_numpy(np.int64)
         sigs = np.stack([np.frombuffer(s, np.uint8) for s in cluster["sig"]])
@@ -206,8 +213,9 @@ def jaccard_classes(docs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFr
     full = features.where("n > 0")
     fp = ["fp1", "fp2", "n"]
     classes = full.groupBy(*fp).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    held = full.withColumnRenamed("doc_id", "id").join(classes, [*fp, "id"]).dropDuplicates(["id", *fp])
-    members = materialise(held.select("id", "copies", *fp, "sig", "keys"), "classes")
+    held = full.withColumnRenamed("doc_id", "least").join(classes.withColumnRenamed("id", "least"), [*fp, "least"]).dropDuplicates(["least", *fp])
+    # stored with numbers of our own, because different texts may share a doc_id
+    members = materialise(held.select(F.monotonically_increasing_id().alias("id"), "least", "copies", *fp, "sig", "keys"), "classes")
     keyed = members.select("id", F.explode("keys").alias("key"))
     leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1").drop("size")
     ties = keyed.join(leads, "key").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
@@ -217,23 +225,25 @@ def jaccard_classes(docs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFr
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES)))
     total = sizes.agg(F.sum("docs").alias("docs"), F.sum("weight").alias("weight")).first()
     pools = max(1, (total["docs"] or 0) // BLOCK_DOCS, (total["weight"] or 0) // BLOCK_SHINGLES) * 2
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    placed = clustered.join(sizes.select("cluster", "blocks"), "cluster").join(texts, "id").dropDuplicates(["id", "fp1", "fp2"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text")
+    placed = clustered.join(sizes.select("cluster", "blocks"), "cluster").join(texts, "least")
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
     last = F.col("blocks").cast("int") - 1
     # block i meets block j as side 0 if i <= j, as side 1 if not; a block also meets itself
     spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(pools))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    spread = spread.select("id", "cluster", "copies", "n", "sig", "text", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), task.alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.select("id", "cluster", "copies", "n", "fp1", "fp2", "sig", "text", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), task.alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     found = spread.groupBy("task", "i", "j").applyInPandas(lambda part: _verify(part, min_jaccard), _FOUND)
     found = materialise(found, "links")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    named = components.join(members.select("id", "least"), "id")
+    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("least").alias("class_id")), "component").drop("component")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     settled = (
-        members.select("id", "copies", *fp)
+        members.select("id", "least", "copies", *fp)
         .join(links, "id", "left")
-        .join(components, "id", "left")
-        .select(*fp, F.col("id").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("class_id"))
+        .join(named, "id", "left")
+        .select(*fp, F.col("least").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
     )
     one = F.lit(1).cast("long")
     names = ["doc_id", "class_id", "copy_id", "n_copies", "n_links"]
