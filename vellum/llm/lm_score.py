@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from .common import materialise, remainder, table
 
 ORDER = 5
 #: UTF-8 bytes of text in a block, about.
-BLOCK_BYTES = 40_000_000
+BLOCK_BYTES = 32_000_000
 #: Bytes of text that are turned into grams at a time.
 _CHUNK = 2_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -45,87 +46,76 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _chunks(texts: list[bytes]) -> list[tuple[int, int]]:
-    """Ranges of texts of about _CHUNK bytes each."""
-    out, first, size = [], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The tokens of texts, about _CHUNK bytes of text at a time, and the place of the first of them."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(tokens(text))
+        size += len(text or "")
         if size > _CHUNK:
-            out.append((first, i + 1))
-            first, size = i + 1, 0
-    return [*out, (first, len(texts))] if first < len(texts) else out
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
 
 
 def _count_block(part: pd.DataFrame) -> pd.DataFrame:
     """Distinct grams and words of a block, with their counts in its training rows."""
-    learn = ~part["held_out"].to_numpy(bool)
-    words = (Counter(), Counter())
-    texts: tuple[list[bytes], list[bytes]] = ([], [])
-    for text, use in zip(part["text"], learn, strict=True):
-        found = tokens(text)
-        words[int(use)].update(found)
-        texts[int(use)].append(b" ".join(found))
-    values, counts = [], []
-    for use in (0, 1):
-        for a, b in _chunks(texts[use]):
-            v, n = ppm.counted(np.concatenate([ppm.grams(t, ORDER) for t in texts[use][a:b]]))
-            values.append(v)
-            counts.append(n * use)
-            if len(values) >= 8:
-                v, n = ppm.counted(np.concatenate(values), np.concatenate(counts))
-                values, counts = [v], [n]
-    v, n = ppm.counted(np.concatenate(values), np.concatenate(counts))
-    for word in words[0].keys() - words[1].keys():
-        words[1][word] = 0
-    keys = np.fromiter(map(_hash, words[1]), np.uint64, len(words[1]))
+    block = np.int32(part["block"].iloc[0])
+    words: Counter = Counter()
+    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for use in (1, 0):
+        for _, found in _chunks(part.loc[part["held_out"] == (not use), "text"]):
+            for x in found:
+                if use:
+                    words.update(x)
+                else:
+                    words.update(dict.fromkeys(x, 0))
+            v, n = ppm.counted(np.concatenate([ppm.grams(b" ".join(x), ORDER) for x in found]))
+            values, counts = ppm.counted(np.concatenate([values, v]), np.concatenate([counts, n * use]))
+    keys = np.fromiter(map(_hash, words), np.uint64, len(words))
     return pd.DataFrame(
         {
-            "block": np.int32(part["block"].iloc[0]),
-            "kind": np.repeat(np.array([_GRAM, _WORD], np.int8), [len(v), len(keys)]),
-            "key": np.concatenate([v, keys]).view(np.int64),
-            "n": np.concatenate([n, np.fromiter(words[1].values(), np.int64, len(keys))]),
+            "block": block,
+            "kind": np.repeat(np.array([_GRAM, _WORD], np.int8), [len(values), len(keys)]),
+            "key": np.concatenate([values, keys]).view(np.int64),
+            "n": np.concatenate([counts, np.fromiter(words.values(), np.int64, len(keys))]),
         }
     )
 
 
+def _sorted_values(found: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    mine = (found["kind"] == kind).to_numpy()
+    keys, values = found["key"].to_numpy(np.int64)[mine], found["value"].to_numpy(float)[mine]
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def _score_block(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """Scores of a block's documents, given the values of the block's grams and counts of its words."""
-    grams = found[found["kind"] == _GRAM]
-    keys = grams["key"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, log_p = keys[order].astype(np.uint64), grams["value"].to_numpy(float)[order]
-    known = found[found["kind"] == _WORD]
-    word_keys = known["key"].to_numpy(np.int64)
-    order = np.argsort(word_keys)
-    word_keys, word_counts = word_keys[order], known["value"].to_numpy(float)[order]
-
-    number: dict[bytes, int] = {}
-    texts, named = [], []
-    for text in docs["text"]:
-        words = tokens(text)
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
-        named.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-        texts.append(b" ".join(words))
-    hashed = np.fromiter(map(_hash, number), np.uint64, len(number)).view(np.int64)
-    count = word_counts[np.searchsorted(word_keys, hashed)] if len(hashed) else np.zeros(0)
-    log_count = np.log10(count + 1)
-    scores = np.zeros(len(texts))
-    for a, b in _chunks(texts):
-        made = [ppm.grams(t, ORDER) for t in texts[a:b]]
+    keys, log_p = _sorted_values(found, _GRAM)
+    keys = keys.astype(np.uint64)
+    word_keys, word_counts = _sorted_values(found, _WORD)
+    n_tokens, n_known = np.ones(len(docs), np.int64), np.zeros(len(docs), np.int64)
+    base, scores = np.zeros(len(docs)), np.zeros(len(docs))
+    for first, chunk in _chunks(docs["text"]):
+        number: dict[bytes, int] = {}
+        for x in chunk:
+            for w in x:
+                if w not in number:
+                    number[w] = len(number)
+        hashed = np.fromiter(map(_hash, number), np.uint64, len(number)).view(np.int64)
+        count = word_counts[np.searchsorted(word_keys, hashed)] if len(hashed) else np.zeros(0)
+        log_count = np.log10(count + 1)
+        for i, x in enumerate(chunk, first):
+            at = np.fromiter(map(number.__getitem__, x), np.int64, len(x))
+            n_tokens[i] += len(x)
+            n_known[i] = (count[at] > 0).sum()
+            base[i] = log_count[at].sum()
+        made = [ppm.grams(b" ".join(x), ORDER) for x in chunk]
         starts = np.cumsum([0] + [len(g) for g in made[:-1]])
-        scores[a:b] = np.add.reduceat(log_p[np.searchsorted(keys, np.concatenate(made))], starts)
-    return pd.DataFrame(
-        {
-            "doc_id": docs["doc_id"].astype("Int64"),
-            "held_out": docs["held_out"].to_numpy(bool),
-            "n_tokens": np.array([len(x) + 1 for x in named], np.int64),
-            "n_known": np.array([(count[x] > 0).sum() for x in named], np.int64),
-            "base_sum": np.array([log_count[x].sum() for x in named]),
-            "score": scores,
-        }
-    )
+        scores[first : first + len(chunk)] = np.add.reduceat(log_p[np.searchsorted(keys, np.concatenate(made))], starts)
+    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"].to_numpy(bool), "n_tokens": n_tokens, "n_known": n_known, "base_sum": base, "score": scores})
 
 
 def _value_shard(part: pd.DataFrame, low: dict) -> pd.DataFrame:
