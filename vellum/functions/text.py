@@ -46,8 +46,8 @@ def bigrams(text: Column) -> Column:
 
     Pairs span what was deleted. One character is itself; none, or a null text, gives an empty array.
     """
-    # one pass: a look-ahead matches at every character and takes two, or the only one
-    return F.regexp_extract_all(F.coalesce(bare(text), F.lit("")), F.lit("(?s)(?=(..|^.$))"), 1)
+    # one pass: at every character a look-ahead takes two, or the only one
+    return F.regexp_extract_all(F.coalesce(bare(text), F.lit("")), F.lit("(?s)(?=(..|^.$))."), 1)
 
 
 def normalize(text: Column) -> Column:

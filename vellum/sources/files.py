@@ -30,35 +30,38 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
 
-@F.pandas_udf("text string, encoding string")
-def decode(contents: pd.Series) -> pd.DataFrame:
-    """By byte order mark; else UTF-8 if valid; else GB18030 if valid; else GB18030 with replacements."""
-    out = []
-    for raw in contents:
-        raw = bytes(raw or b"")
-        marks = [(b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")]
-        name = next((n for m, n in marks if raw.startswith(m)), None)
-        for trial in [name] if name else ["utf-8", "gb18030"]:
-            try:
-                out.append((raw.decode(trial), trial))
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
-            out.append((raw.decode(name or "gb18030", "replace"), name or "gb18030"))
-    return pd.DataFrame(out, columns=["text", "encoding"])
-
-
-def csv_rows(text: Column, delimiter: str) -> Column:
-    """Cells of each line, quotes respected, as the input of :func:`render_rows`."""
+def _decoded(raw: bytes) -> tuple[str, str]:
+    marks = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+    name = next((n for m, n in marks if raw.startswith(m)), None)
+    for trial in [name] if name else ["utf-8", "gb18030"]:
+        try:
+            return raw.decode(trial), trial
+        except UnicodeDecodeError:
+            continue
+    return raw.decode(name or "gb18030", "replace"), name or "gb18030"
+
+
+def decode(content: Column) -> Column:
+    """text, encoding: by byte order mark; else UTF-8 if valid; else GB18030, with replacements where it isn't valid."""
+
+    @F.pandas_udf("text string, encoding string")
+    def apply(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_decoded(bytes(raw or b"")) for raw in contents], columns=["text", "encoding"])
+
+    return apply(content)
+
+
+def csv_rows(text: Column, kind: Column) -> Column:
+    """Cells of each line of CSV and TSV texts, quotes respected; null for other kinds. Put it in a column before it is rendered."""
 
     @F.pandas_udf("array<array<string>>")
-    def parse(texts: pd.Series) -> pd.Series:
+    def parse(texts: pd.Series, kinds: pd.Series) -> pd.Series:
         import csv
 
-        return texts.map(lambda t: [[c.strip() for c in r] for r in csv.reader(io.StringIO(t or ""), delimiter=delimiter)])
+        marks = {".csv": ",", ".tsv": "\t"}
+        return pd.Series([[[c.strip() for c in r] for r in csv.reader(io.StringIO(t or ""), delimiter=marks[k])] if k in marks else None for t, k in zip(texts, kinds, strict=True)], dtype=object)
 
-    return parse(text)
+    return parse(text, kind)
 
 
 def office_text(kind: Column, content: Column) -> Column:
@@ -101,13 +104,9 @@ def extract(raw: DataFrame, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHA
         .when(F.col("bytes") > max_bytes, "file too large")
     )
     decoded = rows.withColumn("error", guard).withColumn("d", decode(F.when(F.col("error").isNull(), F.col("content"))))
+    decoded = decoded.withColumn("cells", csv_rows(F.col("d.text"), F.col("extension")))
     office = office_text(F.col("extension"), F.when(F.col("error").isNull(), F.col("content")))
-    text = (
-        F.when(F.col("extension") == ".csv", render_rows(csv_rows(F.col("d.text"), ",")))
-        .when(F.col("extension") == ".tsv", render_rows(csv_rows(F.col("d.text"), "\t")))
-        .when(F.col("extension").isin(*OFFICE), office)
-        .otherwise(F.col("d.text"))
-    )
+    text = F.when(F.col("extension").isin(*TABLES), render_rows(F.col("cells"))).when(F.col("extension").isin(*OFFICE), office).otherwise(F.col("d.text"))
     clean = decoded.withColumn("whole", F.when(F.col("error").isNull(), normalize(text)))
     error = F.coalesce("error", F.when(F.coalesce("whole", F.lit("")) == "", "no text"))
     good = F.when(error.isNull(), F.col("whole"))
