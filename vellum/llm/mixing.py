@@ -146,3 +146,50 @@ def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float | Non
 def op5_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source to a budget of as many tokens as there are."""
     return realise(counted(table(spark, sf_dir, "documents")))
+
+
+#: Entropy and the largest repetition at exponent x are lateral aggregates over the shares ``p``.
+_ENTROPY = "(SELECT ln(sum(pow(share, {x}))) - {x} * sum(pow(share, {x}) * ln(share)) / sum(pow(share, {x})) FROM p) >= 0.92 * (SELECT ln(count(*)) FROM p) - 1e-12"
+_ALLOWED = "(SELECT max(pow(share, {x}) / share) / sum(pow(share, {x})) FROM p) <= 4.0"
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens FROM documents
+),
+t AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n FROM d GROUP BY source),
+p AS (SELECT source, tokens / (SELECT sum(tokens) FROM t) AS share FROM t WHERE tokens > 0),
+e(i, low, high) AS (
+  SELECT 0, CASE WHEN {_ENTROPY.format(x="1.0")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN middle ELSE low END, CASE WHEN good THEN high ELSE middle END
+  FROM (SELECT i, low, high, (low + high) / 2 AS middle, {_ENTROPY.format(x="((low + high) / 2)")} AS good FROM e WHERE i < {BISECTIONS})
+),
+first_ AS (SELECT low AS x FROM e WHERE i = {BISECTIONS}),
+r(i, low, high) AS (
+  SELECT 0, x, 1.0::DOUBLE FROM first_
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN low ELSE middle END, CASE WHEN good THEN middle ELSE high END
+  FROM (SELECT i, low, high, (low + high) / 2 AS middle, {_ALLOWED.format(x="((low + high) / 2)")} AS good FROM r WHERE i < {BISECTIONS})
+),
+a AS (SELECT CASE WHEN {_ALLOWED.format(x="x")} THEN x ELSE (SELECT high FROM r WHERE i = {BISECTIONS}) END AS x FROM first_),
+plan AS (
+  SELECT t.source, t.tokens AS there, CAST(floor(isqrt) AS BIGINT) + 1 AS blocks,
+         CAST(floor((SELECT sum(tokens) FROM t) * coalesce(pow(share, x) / (SELECT sum(pow(share, a.x)) FROM p, a), 0)) AS BIGINT) AS part
+  FROM (SELECT *, sqrt(n) AS isqrt FROM t) t LEFT JOIN p ON p.source IS NOT DISTINCT FROM t.source, a
+),
+dealt AS (
+  SELECT doc_id, d.source, n_tokens, there, part, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 8)) AS BIGINT) % blocks AS block,
+         unnest(range(0, greatest(CASE WHEN there > 0 THEN CAST(ceil(part / there) AS BIGINT) ELSE 1 END, 1))) AS epoch
+  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+),
+sums AS (SELECT source, epoch, block, sum(n_tokens) AS s, any_value(there) AS there FROM dealt GROUP BY ALL),
+offsets AS (
+  SELECT source, epoch, block, epoch * there + coalesce(sum(s) OVER (PARTITION BY source, epoch ORDER BY md5(block || ':' || epoch), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_place FROM sums
+),
+placed AS (
+  SELECT d.*, first_place + coalesce(sum(n_tokens) OVER (
+    PARTITION BY d.source, d.epoch, d.block ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || d.epoch || ':doc'), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM dealt d JOIN offsets o ON o.source IS NOT DISTINCT FROM d.source AND o.epoch = d.epoch AND o.block = d.block
+)
+SELECT doc_id, source, n_tokens, epoch, CAST(place AS BIGINT) AS place FROM placed WHERE (n_tokens > 0 AND place < part) OR (n_tokens = 0 AND epoch = 0)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, near_vectors, warc
+from . import boilerplate, mixing, near_vectors, warc
 from .boilerplate import op3_site_lines
 from .fertility import op6_tokeniser_fertility
 from .lm_score import op2_ppm
@@ -30,5 +30,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_site_lines": boilerplate.ORACLE_SQL,
     "op4_boundary_chain": warc.ORACLE_SQL,
+    "op5_temperature": mixing.ORACLE_SQL,
     "op10_product_quantisation": near_vectors.ORACLE_SQL,
 }
