@@ -28,6 +28,30 @@ def hit_rate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_cases"), F.round(F.coalesce(F.avg(has.cast("double")), F.lit(0.0)), 6).alias("hit_rate"))
 
 
+def refusals(cases: DataFrame) -> DataFrame:
+    """checked, total, accuracy of refusal cases (expect_refusal, refused; refused is null where nothing was retrieved or judged)."""
+    rows = cases.where("expect_refusal")
+    return rows.agg(F.count("refused").alias("checked"), F.count("*").alias("total"), F.round(F.avg(F.col("refused").cast("double")), 6).alias("accuracy"))
+
+
+def scan_cuts(cases: DataFrame, hits: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """k, hit_rate, mean_top: for several cuts the share of cases with a relevant hit, and the mean similarity of the first hit over all cases."""
+    first = first_relevant(hits)
+    best = hits.where("rank = 1").select("query_id", "similarity")
+    rows = cases.select("query_id").join(first, "query_id", "left").join(best, "query_id", "left")
+    found = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(F.col("first") <= k, F.lit(False)).cast("double").alias("hit")) for k in cuts])
+    return rows.select("similarity", F.explode(found).alias("x")).groupBy("x.k").agg(F.round(F.avg("x.hit"), 6).alias("hit_rate"), F.round(F.avg("similarity"), 6).alias("mean_top"))
+
+
+def compare_modes(cases: DataFrame, by_mode: dict[str, DataFrame], cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """mode, k, recall for the hits of each mode."""
+    runs = [recall(cases, first_relevant(hits), cuts).select(F.lit(mode).alias("mode"), "k", "recall") for mode, hits in by_mode.items()]
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out
+
+
 def averages(scores: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
     """n, judged, average over those judged (null if none)."""
     g = scores.groupBy(*group) if group else scores

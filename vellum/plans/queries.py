@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, evaluate, maintain, memory, privacy, retrieval, state
+from ..operators import answering, chunk, evaluate, maintain, memory, privacy, retrieval, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,3 +618,115 @@ def upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = stored.where("doc_id % 3 = 0").withColumn("lang", F.lit("xx"))
     gone = stored.where("tenant = 'src1' and doc_id % 2 = 0")
     return maintain.delete(maintain.upsert(stored, new, ["tenant", "doc_id"]), gone, ["tenant", "doc_id"])
+
+
+@query("SELECT count(quality) AS checked, count(*) AS total, round(avg(quality), 6) AS accuracy FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 9 = 4")
+def refusal_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand in for cases; one in nine expects a refusal, and its label says whether it came."""
+    cases = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return evaluate.refusals(cases.select((F.col("doc_id") % 9 == 4).alias("expect_refusal"), (F.col("quality") == 1).alias("refused")))
+
+
+_SCORED_HITS = f"""
+{_HITS},
+best AS (SELECT query_id, round(0.4 + 0.5 * score / max(score) OVER (PARTITION BY query_id), 4) AS similarity, rank FROM ranked WHERE rank <= 10)
+"""
+
+
+@query(f"""
+WITH {_SCORED_HITS}
+SELECT k, round(avg(CASE WHEN coalesce(first_rank <= k, false) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(similarity), 6) AS mean_top
+FROM (SELECT item_id AS query_id FROM benchmark) LEFT JOIN firsts USING (query_id) LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (query_id), (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k
+""")
+def topk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.scan_cuts(_benchmark(spark, sf_dir), retrieval.normalised_scores(_hits(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_HITS},
+own AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, d.text AS content, b.text AS keyword
+        FROM ranked r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 30 AND d.source IN ('src' || (query_id % 20), 'src0')),
+own_first AS (SELECT query_id, min(rank) AS first_rank FROM own WHERE rank <= 10 AND contains(content, keyword) GROUP BY query_id),
+both_ AS (SELECT 'all' AS mode, query_id, first_rank FROM firsts UNION ALL SELECT 'tenant', query_id, first_rank FROM own_first)
+SELECT mode, k, round(avg(CASE WHEN coalesce(first_rank <= k, false) THEN 1.0 ELSE 0.0 END), 6) AS recall
+FROM (SELECT item_id AS query_id, m AS mode FROM benchmark, (SELECT unnest(['all', 'tenant']) AS m)) LEFT JOIN both_ USING (query_id, mode), (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY mode, k
+""")
+def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall over all documents, and over those that the query's tenant may see."""
+    docs, asked = _documents(spark, sf_dir), _benchmark(spark, sf_dir)
+    own = retrieval.within_tenant(retrieval.bm25_top(docs, asked, 30), docs, asked, 10, shared="src0")
+    words = asked.select("query_id", F.array("text").alias("keywords"))
+    own_hits = own.select("query_id", "doc_id", "rank").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(words, "query_id")
+    return evaluate.compare_modes(asked, {"all": _hits(spark, sf_dir), "tenant": own_hits})
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN contains(lower(text), 'hello') OR contains(lower(text), 'thanks') THEN 'direct' WHEN contains(lower(text), 'und') OR contains(lower(text), 'and') THEN 'multi_hop' ELSE 'rag_qa' END AS intent
+FROM conversations WHERE role = 'user'
+""")
+def intent_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", answering.intent(F.col("text"), ("und", "and"), ("hello", "thanks")).alias("intent"))
+
+
+@query(r"""
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, turn, 'short' AS key, regexp_extract(text, '[A-Z][a-z]+\.') AS text FROM u UNION ALL SELECT conv_id, turn, 'pair', regexp_extract(text, '[a-z]+, [a-z]+') FROM u)
+SELECT * FROM f WHERE text <> ''
+""")
+def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answering.facts(read(spark, sf_dir, "conversations"), {"short": r"[A-Z][a-z]+\.", "pair": r"[a-z]+, [a-z]+"})
+
+
+@query(f"""
+WITH {_NEAREST},
+c AS (SELECT query_id AS fact_id, id AS memory_id, 0 AS part, rank AS n FROM nearest WHERE rank <= 8 AND id % 2 = 0 UNION ALL SELECT query_id, id, 1, rank FROM nearest WHERE rank <= 3),
+one AS (SELECT *, row_number() OVER (PARTITION BY fact_id, memory_id ORDER BY part, n) AS k FROM c)
+SELECT fact_id, memory_id, row_number() OVER (PARTITION BY fact_id ORDER BY part, n, memory_id) AS seq FROM one WHERE k = 1
+""")
+def consolidation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = retrieval.nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 8).select(F.col("query_id").alias("fact_id"), F.col("id").alias("memory_id"), F.col("rank").alias("n"))
+    return answering.candidates(near.where("memory_id % 2 = 0"), near.where("n <= 3"))
+
+
+@query("""
+SELECT conv_id AS answer_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE turn % 4 <> 3), '') AS answer, bool_or(turn % 4 = 3) AS complete FROM conversations GROUP BY conv_id
+""")
+def assembled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("turn") % 4 == 3, "done").otherwise("delta")
+    return answering.assembled(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), kind.alias("kind"), "text"))
+
+
+@query(f"""
+WITH tok AS (SELECT doc_id, unnest({_bigrams("coalesce(text, '')")}) AS tok FROM documents),
+n AS (SELECT doc_id, CAST('0x' || substr(md5(tok), 1, 6) AS BIGINT) % 64 AS bucket, count(*) AS n FROM tok GROUP BY ALL)
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM n
+""")
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answering.hashed_features(read(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH {_NEAREST},
+r1 AS (SELECT query_id, id, similarity, rank AS seq, rank FROM nearest WHERE rank <= 4),
+sure AS (SELECT query_id FROM r1 WHERE rank = 1 AND similarity > 0.6),
+r2 AS (SELECT query_id, id, similarity, rank - 4 + 1000000 AS seq FROM nearest WHERE rank BETWEEN 5 AND 8 AND query_id NOT IN (SELECT query_id FROM sure) AND query_id % 200 <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, 'd' || (id % 3), id % 5 ORDER BY similarity DESC, seq) AS n FROM (SELECT query_id, id, similarity, seq FROM r1 UNION ALL SELECT * FROM r2))
+SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, seq) AS rank FROM k WHERE n = 1
+""")
+def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds over the vectors without the query itself as a sure hit; the second asks for the next four neighbours."""
+    near = retrieval.nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 8)
+    chunk_of = [F.concat(F.lit("d"), F.col("id") % 3).alias("doc_id"), (F.col("id") % 5).alias("chunk_index"), F.col("id").cast("string").alias("content"), F.lit(None).cast("double").alias("rerank_score"), F.lit("cosine").alias("score_kind")]
+
+    def round_of(asked: DataFrame) -> DataFrame:
+        # the text of a query is the first rank that its round looks at
+        met = near.join(asked.select("query_id", F.col("text").cast("int").alias("from_rank")), "query_id")
+        met = met.where((F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + 4))
+        return met.select("query_id", "id", "similarity", (F.col("rank") - F.col("from_rank") + 1).alias("rank"), *chunk_of)
+
+    def rewrite(asked: DataFrame) -> DataFrame:
+        return asked.select("query_id", F.when(F.col("query_id") % 200 != 0, "5").otherwise(F.col("text")).alias("text"))
+
+    asked = _vector_queries(spark, sf_dir).select("query_id", F.lit("1").alias("text"))
+    return answering.multi_hop(asked, round_of, rewrite).select("query_id", "id", "similarity", "rank")
