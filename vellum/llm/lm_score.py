@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ ORDER = 5
 #: UTF-8 bytes of text in a block, about.
 BLOCK_BYTES = 32_000_000
 #: Bytes of text that are turned into grams at a time.
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _GRAM, _WORD = 0, 1
@@ -46,10 +48,11 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[list[bytes]]]]:
     """The tokens of texts, about _CHUNK bytes of text at a time, and the place of the first of them."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
+        text = text.as_py()
         held.append(tokens(text))
         size += len(text or "")
         if size > _CHUNK:
@@ -59,13 +62,13 @@ def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield first, held
 
 
-def _count_block(part: pd.DataFrame) -> pd.DataFrame:
+def _count_block(part: pa.Table) -> pa.Table:
     """Distinct grams and words of a block, with their counts in its training rows."""
-    block = np.int32(part["block"].iloc[0])
+    block = part["block"][0].as_py()
     words: Counter = Counter()
     values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for use in (1, 0):
-        for _, found in _chunks(part.loc[part["held_out"] == (not use), "text"]):
+        for _, found in _chunks(part.filter(pa.compute.equal(part["held_out"], not use))["text"]):
             for x in found:
                 if use:
                     words.update(x)
@@ -74,9 +77,9 @@ def _count_block(part: pd.DataFrame) -> pd.DataFrame:
             v, n = ppm.counted(np.concatenate([ppm.grams(b" ".join(x), ORDER) for x in found]))
             values, counts = ppm.counted(np.concatenate([values, v]), np.concatenate([counts, n * use]))
     keys = np.fromiter(map(_hash, words), np.uint64, len(words))
-    return pd.DataFrame(
+    return pa.table(
         {
-            "block": block,
+            "block": pa.array(np.full(len(values) + len(keys), block, np.int32)),
             "kind": np.repeat(np.array([_GRAM, _WORD], np.int8), [len(values), len(keys)]),
             "key": np.concatenate([values, keys]).view(np.int64),
             "n": np.concatenate([counts, np.fromiter(words.values(), np.int64, len(keys))]),
@@ -84,14 +87,14 @@ def _count_block(part: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _sorted_values(found: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    mine = (found["kind"] == kind).to_numpy()
-    keys, values = found["key"].to_numpy(np.int64)[mine], found["value"].to_numpy(float)[mine]
+def _sorted_values(found: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    mine = found.select(["kind", "key", "value"]).filter(pa.compute.equal(found["kind"], kind))
+    keys, values = mine["key"].to_numpy(), mine["value"].to_numpy()
     order = np.argsort(keys)
     return keys[order], values[order]
 
 
-def _score_block(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+def _score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
     """Scores of a block's documents, given the values of the block's grams and counts of its words."""
     keys, log_p = _sorted_values(found, _GRAM)
     keys = keys.astype(np.uint64)
@@ -115,7 +118,7 @@ def _score_block(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         made = [ppm.grams(b" ".join(x), ORDER) for x in chunk]
         starts = np.cumsum([0] + [len(g) for g in made[:-1]])
         scores[first : first + len(chunk)] = np.add.reduceat(log_p[np.searchsorted(keys, np.concatenate(made))], starts)
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"].to_numpy(bool), "n_tokens": n_tokens, "n_known": n_known, "base_sum": base, "score": scores})
+    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_sum": base, "score": scores})
 
 
 def _value_shard(part: pd.DataFrame, low: dict) -> pd.DataFrame:
@@ -137,7 +140,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     n_blocks = math.ceil((size["bytes"] or 0) / BLOCK_BYTES) + 1
     learned = size["learned"]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    keys = materialise(dealt.groupBy("block").applyInPandas(_count_block, _KEYS), "keys")
+    keys = materialise(dealt.groupBy("block").applyInArrow(_count_block, _KEYS), "keys")
     summed = materialise(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "model")
     counted = summed.where(F.col("kind") == _WORD).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_train, n_distinct = (counted["n"] or 0) + learned, counted["v"] + (learned > 0)
@@ -150,7 +153,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     values = grams.select("key", "n", shard).groupBy("shard").applyInPandas(lambda part: _value_shard(part, low), "kind byte, key long, value double")
     values = values.unionByName(summed.where(F.col("kind") == _WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
     back = keys.select("block", "kind", "key").join(values, ["kind", "key"])
-    scored = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_score_block, _SCORES)
+    scored = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block, _SCORES)
     end = math.log10(learned + 1)
     return scored.select(
         "doc_id",
