@@ -27,7 +27,7 @@ from .common import materialise, remainder, table
 
 ORDER = 5
 #: UTF-8 bytes of text in a block, about.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 24_000_000
 #: Bytes of text that are turned into grams at a time.
 _CHUNK = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -140,8 +140,8 @@ def language_scores(docs: DataFrame) -> DataFrame:
     n_blocks = math.ceil((size["bytes"] or 0) / BLOCK_BYTES) + 1
     learned = size["learned"]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    keys = materialise(dealt.groupBy("block").applyInArrow(_count_block, _KEYS), "keys")
-    summed = materialise(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "model")
+    keys = materialise(dealt.groupBy("block").applyInArrow(_count_block, _KEYS), "keys", compression="zstd")
+    summed = materialise(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "model", compression="zstd")
     counted = summed.where(F.col("kind") == _WORD).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_train, n_distinct = (counted["n"] or 0) + learned, counted["v"] + (learned > 0)
     grams = summed.where(F.col("kind") == _GRAM)
