@@ -82,6 +82,22 @@ def test_jaccard_classes_equal_brute_force(frame, monkeypatch):
         assert Counter((i, k) for i, k, _ in got.elements()) == Counter((i, n[k]) for k, i in enumerate(ids)), block
 
 
+def test_long_copies_in_more_blocks_than_documents_link_once(frame, monkeypatch):
+    """Two or three near copies over several blocks each: some blocks are empty, some hold all of a cluster."""
+    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 60)
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        texts = []
+        for cluster in range(16):
+            base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+            for copy in range(2 + cluster % 2):
+                texts.append(" ".join([*base[: 119 - copy], f"end{copy}"]))
+        ids = list(range(len(texts)))
+        n = Counter(x for pair in _expected_links(ids, texts) for x in pair)
+        got = shingle_join.jaccard_classes(frame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+        assert {r["doc_id"]: r["n_links"] for r in got.collect()} == {i: n[i] for i in ids}
+
+
 def test_one_of_each_class_keeps_columns_and_repeated_rows_once(frame):
     texts = _near_texts()[:40]
     rows = list(zip(range(40), texts, strict=True))

@@ -141,15 +141,14 @@ def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     return np.rint(common[a, b]).astype(np.int64)
 
 
-def _cluster_pairs(sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, min_jaccard: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sizes and signatures don't rule the threshold out. Within block 0 only if there is no block 1."""
+def _cluster_pairs(sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, within: bool, min_jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sizes and signatures don't rule the threshold out: ``within`` one block, or of side 0 with side 1, which may be empty."""
     k = sigs.shape[1]
     least = k * (min_jaccard - _SLACK * (min_jaccard * (1 - min_jaccard) / k) ** 0.5)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    cross = len(right) > 0
     found_a, found_b = [], []
     for x, i in enumerate(left):
-        others = right if cross else left[x + 1 :]
+        others = left[x + 1 :] if within else right
         fit = others[(np.minimum(sizes[others], sizes[i]) >= min_jaccard * np.maximum(sizes[others], sizes[i]))]
         if len(fit):
             near = fit[(sigs[fit] == sigs[i]).sum(1) >= least]
@@ -163,13 +162,14 @@ def _cluster_pairs(sigs: np.ndarray, sizes: np.ndarray, side: np.ndarray, min_ja
 def _verify(part: pd.DataFrame, min_jaccard: float) -> pd.DataFrame:
     """Links of the clusters, or of the pair of blocks of one cluster, in ``part``: per document the count, and a forest."""
     ids_out, links_out, other_out = [], [], []
+    within = bool(part["i"].iloc[0] == part["j"].iloc[0])  # a part has one i and one j
     for _, cluster in part.groupby("cluster"):
         if cluster["id"].duplicated().any():  # a doc_id of several rows has brought several texts
             cluster = cluster[[_fingerprint(shingles(t)) == x for t, *x in zip(cluster["text"], cluster["fp1"], cluster["fp2"], strict=True)]].drop_duplicates("id")
         ids, copies = cluster["id"].to_numpy(np.int64), cluster["copies"].to_numpy(np.int64)
         side = cluster["side"].to_numpy(np.int64)
         sigs = np.stack([np.frombuffer(s, np.uint8) for s in cluster["sig"]])
-        a, b = _cluster_pairs(sigs, cluster["n"].to_numpy(np.int64), side, min_jaccard)
+        a, b = _cluster_pairs(sigs, cluster["n"].to_numpy(np.int64), side, within, min_jaccard)
         if not len(a):
             continue
         sets = [shingles(t) for t in cluster["text"]]
