@@ -111,6 +111,13 @@ def test_one_of_each_class_keeps_columns_and_repeated_rows_once(frame):
     assert shingle_join.one_of_each_class(docs.limit(0)).count() == 0
 
 
+def test_a_verdict_belongs_to_the_text_where_an_id_has_several(frame):
+    text = lambda c, end="": " ".join(f"{c}{i}" for i in range(60)) + end
+    rows = [(3, text("a")), (5, text("a", " x")), (5, text("b")), (8, text("c")), (8, text("c", " x")), (9, text("d")), (9, text("e")), (9, text("e"))]
+    got = Counter((r["doc_id"], r["text"].removesuffix(" x")) for r in shingle_join.one_of_each_class(frame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(3, text("a")), (5, text("b")), (8, text("c")), (9, text("d")), (9, text("e"))])
+
+
 def test_prefixes_are_shortened_to_the_recall():
     assert shingle_join.prefix_depth(0.8, 16, 6, 0.9) == 6
     depth = shingle_join.prefix_depth()

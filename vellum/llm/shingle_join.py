@@ -197,16 +197,11 @@ def _verify(part: pd.DataFrame, min_jaccard: float) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate(ids_out or empty), "links": np.concatenate(links_out or empty), "other": np.concatenate(other_out or empty)})
 
 
-def jaccard_classes(docs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """doc_id, class_id, copy_id, n_copies, n_links, kept for every row of (doc_id, text).
+def _classified(docs: DataFrame, min_jaccard: float) -> DataFrame:
+    """What :func:`jaccard_classes` gives, with each row's fingerprint and ``component``.
 
-    Two documents link if the Jaccard similarity of their shingle sets is at least
-    ``min_jaccard``; ``n_links`` counts the documents that one links with, copies included.
-    ``class_id`` is the smallest doc_id that links lead to, ``copy_id`` the smallest with an equal
-    set. Texts of fewer than five words are one shingle; null texts and texts without words link
-    with nothing, nor do rows with a null doc_id (class_id null, kept). Repeated rows are
-    documents that are copies of each other. An empty table gives an empty result; other columns
-    are ignored.
+    The component numbers the class itself: two classes may have the same smallest doc_id. It
+    is null for texts without words.
     """
     forest = Forest(min_jaccard)
     features = materialise(_features(docs, forest), "features")
@@ -237,31 +232,57 @@ def jaccard_classes(docs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFr
     found = materialise(found, "links")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = components.join(members.select("id", "least"), "id")
-    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("least").alias("class_id")), "component").drop("component")
+    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("least").alias("class_id")), "component")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     settled = (
         members.select("id", "least", "copies", *fp)
         .join(links, "id", "left")
         .join(named, "id", "left")
-        .select(*fp, F.col("least").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
+        .select(*fp, F.col("least").alias("copy_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("component", "id").alias("component"))
     )
-    one = F.lit(1).cast("long")
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
     names = ["doc_id", "class_id", "copy_id", "n_copies", "n_links"]
-    plain = features.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), one.alias("n_copies"), (one - 1).alias("n_links"))
-    nameless = docs.where("doc_id is null").select(*[F.lit(None).cast("long").alias(c) for c in names[:3]], one.alias("n_copies"), (one - 1).alias("n_links"))
-    joined = full.select("doc_id", *fp).join(settled, fp).select(*names).unionByName(plain).unionByName(nameless)
+    plain = features.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), one.alias("n_copies"), (one - 1).alias("n_links"), *fp, none.alias("component"))
+    nameless = docs.where("doc_id is null").select(*[none.alias(c) for c in names[:3]], one.alias("n_copies"), (one - 1).alias("n_links"), *[none.alias(c) for c in (*fp, "component")])
+    joined = full.select("doc_id", *fp).join(settled, fp).select(*names, *fp, "component").unionByName(plain).unionByName(nameless)
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def jaccard_classes(docs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
+    """doc_id, class_id, copy_id, n_copies, n_links, kept for every row of (doc_id, text).
+
+    Two documents link if the Jaccard similarity of their shingle sets is at least
+    ``min_jaccard``; ``n_links`` counts the documents that one links with, copies included.
+    ``class_id`` is the smallest doc_id that links lead to, ``copy_id`` the smallest with an equal
+    set. Texts of fewer than five words are one shingle; null texts and texts without words link
+    with nothing, nor do rows with a null doc_id (class_id null, kept). Repeated rows are
+    documents that are copies of each other. An empty table gives an empty result; other columns
+    are ignored.
+    """
+    return _classified(docs, min_jaccard).drop("fp1", "fp2", "n", "component")
+
+
 def one_of_each_class(docs: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its class, with all columns; one row where such a document is repeated."""
-    classes = materialise(jaccard_classes(docs, min_jaccard), "jaccard")
-    kept = classes.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows_kept"))
+    """The rows of ``docs`` whose document stands for its class, with all columns; one row where such a document is repeated.
+
+    Where a doc_id has several rows, a verdict belongs to the text, told by its fingerprint.
+    """
+
+    @F.pandas_udf("fp1 long, fp2 long, n long")
+    def fingerprints(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        return pd.DataFrame([(*_fingerprint(s), len(s)) for s in sets], columns=["fp1", "fp2", "n"])
+
+    fp = ["fp1", "fp2", "n"]
+    classes = materialise(_classified(docs, min_jaccard).where("doc_id is not null").select("doc_id", "kept", "component", *fp), "jaccard")
+    kept = classes.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.count_if("kept").alias("rows_kept")).where("rows_kept > 0")
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     joined = row.join(kept, F.col("row.doc_id") == F.col("kept_id"))
-    once = joined.where("rows_kept = 1").select("row")
-    again = joined.where("rows_kept > 1").withColumn("words", F.split(F.btrim(F.coalesce("row.text", F.lit(""))), r"\s+")).dropDuplicates(["kept_id", "words"]).select("row")
+    once = joined.where("rows = 1").select("row")
+    several = joined.where("rows > 1").select("row", "kept_id", fingerprints("row.text").alias("print")).select("row", "kept_id", "print.*")
+    standing = classes.where("kept").groupBy(F.col("doc_id").alias("kept_id"), "component").agg(F.min(F.struct(*fp)).alias("print")).select("kept_id", "print.*")
+    again = several.join(standing, ["kept_id", *fp]).dropDuplicates(["kept_id", *fp]).select("row")
     nameless = row.where("row.doc_id is null")
     return once.unionByName(again).unionByName(nameless).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
