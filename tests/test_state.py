@@ -34,6 +34,15 @@ def test_rate_limit_equals_a_plain_loop_for_any_partitions(spark):
         assert all((r["retry_after"] is None) == r["allowed"] and (r["retry_after"] or 1) >= 1 for r in got)
 
 
+def test_calls_under_a_null_key_share_one_bucket(spark):
+    calls = [(i, None, i) for i in range(6)] + [(10, 2**53, 0), (11, 2**53 + 1, 0), (12, 2**53, 1), (13, 2**53 + 1, 1)]
+    got = state.rate_limit(spark.createDataFrame(calls, "event_id long, key long, us long").repartition(1), 3, 3_000_000_000, 10).collect()
+    assert {r["event_id"] for r in got if not r["allowed"]} == {3, 4, 5}
+    assert [r["event_id"] for r in got if r["key"] is None] == list(range(6))
+    hits = state.cache_hits(spark.createDataFrame([(i, None, i) for i in range(3)], "event_id long, key string, us long"), 300).collect()
+    assert [r["hit"] for r in hits] == [False, True, True]
+
+
 def test_denied_calls_take_nothing_of_the_quota(spark):
     calls = [(i, 1, i) for i in range(5)] + [(9, 1, 3_600_000_000)]
     got = {r["event_id"]: r for r in state.rate_limit(spark.createDataFrame(calls, "event_id long, key long, us long"), 2, 3_000_000_000, 3).collect()}

@@ -12,26 +12,29 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def keyed_fold(rows: DataFrame, key: str, order: list[Column | str], begin: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], schema: str) -> DataFrame:
     """Run ``state, out = step(state, row)`` over each key's rows; one output row for each input row.
 
     ``rows`` reach ``step`` as tuples of their columns, and ``out`` has the columns of ``schema``.
-    A null key is a key.
+    A null key is a key. Keys are compared as strings: a null number makes pandas hold a batch's
+    keys as floats, where null is not equal to itself and large keys are equal to their neighbours.
     """
     names = [part.split()[0] for part in schema.split(", ")]
-    at = rows.columns.index(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), None
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[at] != now:
-                    now, state = row[at], begin()
+            same = batch.pop(batch.columns[-1]).astype(object)
+            for name, row in zip(same.where(same.notna(), None), batch.itertuples(index=False, name=None), strict=True):
+                if name != now:
+                    now, state = name, begin()
                 state, made = step(state, row)
                 out.append(made)
             yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.select("*", F.col(key).cast("string").alias("key of the fold")).mapInPandas(run, schema)
