@@ -21,6 +21,13 @@ def _components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_thinned_ties_keep_components(spark):
+    rng = random.Random(1)
+    ties = [(i, rng.randrange(300)) for i in range(300) for _ in range(rng.choice((0, 1, 1, 3)))]
+    edges = [(r["a"], r["b"]) for r in graph.thinned(spark.createDataFrame(ties, "id long, lead long")).collect()]
+    assert len(edges) == len(set(edges)) and _components(range(300), edges) == _components(range(300), ties)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     rng = random.Random(3)
     path = list(range(100, 160))
@@ -118,10 +125,83 @@ def test_a_verdict_belongs_to_the_text_where_an_id_has_several(frame):
     assert got == Counter([(3, text("a")), (5, text("b")), (8, text("c")), (9, text("d")), (9, text("e"))])
 
 
-def test_prefixes_are_shortened_to_the_recall():
-    assert shingle_join.prefix_depth(0.8, 16, 6, 0.9) == 6
-    depth = shingle_join.prefix_depth()
-    assert depth < shingle_join.MAX_DEPTH and 1 - (1 - 0.8**depth) ** shingle_join.TREES >= shingle_join.TARGET_RECALL
+def test_prefixes_are_shortened_where_few_share_them():
+    recall, deep = shingle_join.recall, [shingle_join.MAX_DEPTH] * shingle_join.TREES
+    assert recall(deep) < shingle_join.TARGET_RECALL <= recall([shingle_join.MIN_DEPTH] * shingle_join.TREES)
+    crowded = [[9000, 5000, 4000] if t in (3, 7) else [4 + t, 3, 1] for t in range(shingle_join.TREES)]
+    depths = shingle_join.chosen_depths(crowded)
+    assert recall(depths) >= shingle_join.TARGET_RECALL and depths[3] == depths[7] == shingle_join.MAX_DEPTH
+    assert all(k == shingle_join.MIN_DEPTH for t, k in enumerate(depths) if t not in (3, 7, 14, 15))
+    assert shingle_join.chosen_depths(crowded, target=0.9) == deep
+    assert shingle_join.chosen_depths([[99, 98, 97]] * shingle_join.TREES, target=1.0) == [shingle_join.MIN_DEPTH] * shingle_join.TREES
+
+
+def test_shared_elements_and_links_about_a_centre_equal_sets():
+    rng = random.Random(8)
+    for size, n in ((60, 40), (30, 90), (0, 30)):
+        base = list(range(1000, 1000 + size))
+        sets = [sorted({x for x in base if rng.random() > 0.1 * (i % 4)} | {rng.randrange(200) for _ in range(i % 9)} | {5 + i % 3}) for i in range(n)]
+        arrays = [np.array(s, np.uint64) for s in sets]
+        got = np.concatenate(list(shingle_join._shared(arrays, arrays[:17], strip=7)))
+        assert got.tolist() == [[len(set(a) & set(b)) for b in sets[:17]] for a in sets]
+        for centre in (shingle_join.majority(arrays), np.array(sets[1], np.uint64), np.zeros(0, np.uint64)):
+            for min_jaccard, p, q in ((0.8, 4, 5), (0.5, 1, 2), (0.7, 7, 10)):
+                apart, lacks, more = shingle_join._differences(arrays, centre)
+                cost = shingle_join._cost(lacks, more, min_jaccard)
+                found = np.concatenate([m for _, m in shingle_join._linked((apart, cost), (apart, cost), len(centre), min_jaccard)])
+                assert found.tolist() == [[q * len(set(a) & set(b)) >= p * len(set(a) | set(b)) for b in sets] for a in sets]
+                core = 2 * cost <= (q - p) * len(centre)
+                assert found[np.ix_(core, core)].all()
+
+
+def _copies_of_one(n, seed=2, every=5):
+    """Texts that are all different and a word or two from one text."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(140)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        words[rng.randrange(140)] = f"x{i}"
+        if i % every == 0:
+            words[rng.randrange(140)] = f"y{i}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_rows_of_one_group_grow_in_proportion(frame, monkeypatch):
+    """A group of different near copies: what is stored and what is dealt to tasks is linear in it, if nearly all are near its centre."""
+    monkeypatch.setattr(shingle_join, "BLOCK_DOCS", 100)
+    counted = {}
+    for n in (400, 1600):
+        sizes = Counter()
+
+        def spy(df, what, compression="snappy", sizes=sizes, real=shingle_join.materialise):
+            stored = real(df, what, compression)
+            sizes[what] += stored.count()
+            return stored
+
+        verified = []
+        with monkeypatch.context() as m:
+            m.setattr(shingle_join, "materialise", spy)
+            m.setattr(shingle_join, "thinned", lambda ties, real=shingle_join.thinned: (verified.append(real(ties).count()), real(ties))[1])
+            m.setattr(shingle_join, "discard", lambda *x: None)
+            got = shingle_join.jaccard_classes(frame(list(enumerate(_copies_of_one(n, every=n))), "doc_id long, text string")).collect()
+        assert {r["class_id"] for r in got} == {0}
+        counted[n] = dict(sizes, ties_thinned=verified[0], links_thinned=verified[1])
+    for what, rows in counted[1600].items():
+        assert rows <= 6 * max(counted[400][what], 16), (what, counted)
+
+
+def test_links_within_a_large_group_are_exact(frame, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK_DOCS", 60)
+    monkeypatch.setattr(shingle_join, "NODE_MEMBERS", 50)
+    texts = _copies_of_one(250) + [" ".join([*t.split()[: 120 + i % 20], *(f"z{i}{j}" for j in range(i % 30))]) for i, t in enumerate(_copies_of_one(120, 5))]
+    ids = list(range(len(texts)))
+    links = _expected_links(ids, texts)
+    n = Counter(x for pair in links for x in pair)
+    want = _components(ids, links)
+    got = shingle_join.jaccard_classes(frame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (n[i], want[i]) for i in ids}
 
 
 def test_near_vectors_equal_brute_force(frame):

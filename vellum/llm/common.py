@@ -18,9 +18,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an own temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset a local session gets a temporary folder of its own; on a cluster, whose
+    executors couldn't read such a folder, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = "file://" + tempfile.mkdtemp(prefix="spark-vellum-")
@@ -42,7 +48,17 @@ def materialise(df: DataFrame, what: str, compression: str = "snappy") -> DataFr
     path = scratch_path(df.sparkSession, what)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    stored = df.sparkSession.read.schema(schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove what :func:`materialise` stored; nothing that is still to be computed may read it."""
+    for df in stored:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(column: str, modulus: int):
