@@ -1,15 +1,16 @@
 """WARC archives: writing pages with revisits, and reading records back by chain verification.
 
 Writing: a record is one string and the text sink's line separator closes it, so part files
-are WARC files, by default compressed as a whole. Uncompressed ones can be read in blocks.
-
-Reading: the text source splits files at the records' magic, in blocks as Spark cuts them, and
-each piece is only a candidate for a record, because a payload may hold the magic, or a whole
-record. A candidate names its successor: the offset where its declared length ends. The chain
-of true records starts at offset 0. Each block first shortens its own chains to the offset where
-they leave the block; then pointers are doubled across blocks, so rounds grow with the logarithm
-of a file's blocks; last, each block marks what its entry reaches. Pieces that aren't reached
-belong to the payload of the record before them and are put back.
+are WARC files, by default uncompressed, so that Spark can read a large one in several tasks.
+Ones compressed as a whole are read too, each in one task.
+
+Reading: the text source splits files at the records' magic, and each piece is only a candidate
+for a record, because a payload may hold the magic, or a whole record. A candidate names its
+successor: the offset where its declared length ends. The chain of true records starts at offset
+0. Files are taken in spans of SPAN_BYTES. Each span first shortens its own chains to the offset
+where they leave it; then pointers are doubled across spans, so rounds grow with the logarithm
+of a file's spans, however they were read; last, each span marks what its entry reaches. Pieces
+that aren't reached belong to the payload of the record before them and are put back.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, table
+from .common import discard, materialise, scratch_path, table
 
 MAGIC = "WARC/1."
 CLOSE = "\r\n\r\n"
 MIN_REVISIT_BYTES = 1000
+#: Bytes of a file whose chains one task group shortens and walks.
+SPAN_BYTES = 1_000_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -59,8 +62,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     )
 
 
-def write_archives(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write the rows of :func:`with_revisits` as WARC files below ``path``, one for each task; ``compression`` may be "none"."""
+def write_archives(records: DataFrame, path: str, compression: str = "none") -> None:
+    """Write the rows of :func:`with_revisits` as WARC files below ``path``, one for each task; ``compression`` may be "gzip"."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     block = F.concat(F.lit(_HTTP), F.coalesce("payload", F.lit("")))
     record = F.concat(
@@ -84,12 +87,12 @@ def write_archives(records: DataFrame, path: str, compression: str = "gzip") ->
 
 
 #: A file is named by a 64-bit hash of its path, which keeps the rows small that are sorted and joined.
-_EXITS = "file long, block long, offset long, next long, leaves long"
-_REACHED = "file long, block long, offset long"
+_EXITS = "file long, span long, offset long, next long, leaves long"
+_REACHED = "file long, offset long"
 
 
 def _shorten(part: pd.DataFrame) -> pd.DataFrame:
-    """Where each candidate's chain leaves the block."""
+    """Where each candidate's chain leaves the span."""
     part = part.sort_values("offset")
     offsets, following = part["offset"].to_numpy(np.int64), part["next"].to_numpy(np.int64)
     at = np.searchsorted(offsets, following)
@@ -97,24 +100,24 @@ def _shorten(part: pd.DataFrame) -> pd.DataFrame:
     leaves = following.copy()
     for i in np.flatnonzero(inside)[::-1]:
         leaves[i] = leaves[at[i]]
-    return part[["file", "block", "offset", "next"]].assign(leaves=leaves)
+    return part[["file", "span", "offset", "next"]].assign(leaves=leaves)
 
 
 def _walk(part: pd.DataFrame) -> pd.DataFrame:
-    """What the block's entries reach in it."""
+    """What the span's entries reach in it."""
     following = dict(zip(part["offset"], part["next"], strict=True))
     reached = set()
     for at in part.loc[part["entry"], "offset"]:
         while at in following and at not in reached:
             reached.add(at)
             at = following[at]
-    return part.loc[part["offset"].isin(reached), ["file", "block", "offset"]]
+    return part.loc[part["offset"].isin(reached), ["file", "offset"]]
 
 
 def pieces_at_magic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The pieces of the files: (at, value), value being what follows the magic, and their places.
 
-    Places: at, file, block, offset (of the magic), size, header_size, length, where the last two
+    Places: at, file, span, offset (of the magic), size, header_size, length, where the last two
     are null for a piece that can't be a record. Only the places, never the values, are shuffled.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
@@ -137,28 +140,39 @@ def pieces_at_magic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     blocks = local.groupBy("file", "block").agg(F.sum("size").alias("block_size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("file", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("base"))
-    places = local.join(base, ["file", "block"]).select("at", "file", "block", (F.col("base") + F.col("local") - len(MAGIC)).alias("offset"), "size", "header_size", "length")
-    return raw.select("at", "value"), materialise(places, "places")
+    places = local.join(base, ["file", "block"]).select("at", "file", (F.col("base") + F.col("local") - len(MAGIC)).alias("offset"), "size", "header_size", "length")
+    places = materialise(places.withColumn("span", F.floor(F.col("offset") / SPAN_BYTES)), "places")
+    discard(local)
+    return raw.select("at", "value"), places
 
 
 def true_records(places: DataFrame) -> DataFrame:
-    """file, block, offset of the pieces that the chain from the start of their file reaches."""
+    """file, offset of the pieces that the chain from the start of their file reaches."""
     follows = F.col("offset") + len(MAGIC) + F.col("header_size") + 2 * len(CLOSE) + F.col("length")
-    candidates = places.where("offset >= 0 and length is not null").select("file", "block", "offset", follows.alias("next"))
-    nodes = materialise(candidates.groupBy("file", "block").applyInPandas(_shorten, _EXITS), "candidates")
-    # only the start of a file and the offsets at which a chain enters a block take part in the doubling
+    candidates = places.where("offset >= 0 and length is not null").select("file", "span", "offset", follows.alias("next"))
+    nodes = materialise(candidates.groupBy("file", "span").applyInPandas(_shorten, _EXITS), "candidates")
+    # only the start of a file and the offsets at which a chain enters a span take part in the doubling
     targets = nodes.select("file", F.col("leaves").alias("offset")).distinct()
     starts = nodes.where("offset = 0").select("file", "offset", "leaves")
     jumps = materialise(nodes.join(targets, ["file", "offset"], "left_semi").select("file", "offset", "leaves").unionByName(starts).distinct(), "jumps")
     reached = materialise(starts.select("file", "offset"), "reached")
-    most = nodes.groupBy("file").agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] or 1
-    for _ in range(math.ceil(math.log2(most)) + 1 if most > 1 else 0):
-        reached = materialise(reached.unionByName(reached.join(jumps, ["file", "offset"]).select("file", F.col("leaves").alias("offset"))).distinct(), "reached")
+    for _ in range(doublings(nodes)):
+        further = materialise(reached.unionByName(reached.join(jumps, ["file", "offset"]).select("file", F.col("leaves").alias("offset"))).distinct(), "reached")
         onward = jumps.select("file", F.col("offset").alias("leaves"), F.col("leaves").alias("onward"))
-        jumps = materialise(jumps.join(onward, ["file", "leaves"]).select("file", "offset", F.col("onward").alias("leaves")), "jumps")
+        longer = materialise(jumps.join(onward, ["file", "leaves"]).select("file", "offset", F.col("onward").alias("leaves")), "jumps")
+        discard(reached, jumps)
+        reached, jumps = further, longer
     entries = reached.withColumn("entry", F.lit(True))
-    marked = nodes.join(entries, ["file", "offset"], "left").select("file", "block", "offset", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
-    return marked.groupBy("file", "block").applyInPandas(_walk, _REACHED)
+    marked = nodes.join(entries, ["file", "offset"], "left").select("file", "span", "offset", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
+    out = materialise(marked.groupBy("file", "span").applyInPandas(_walk, _REACHED), "true")
+    discard(nodes, reached, jumps)
+    return out
+
+
+def doublings(nodes: DataFrame) -> int:
+    """How often pointers are doubled, so that a chain through all spans of the longest file is followed."""
+    most = nodes.groupBy("file").agg(F.count_distinct("span").alias("n")).agg(F.max("n")).first()[0] or 1
+    return math.ceil(math.log2(most)) + 1 if most > 1 else 0
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -166,26 +180,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Only magic in front of which the chain of lengths ends counts as a record. A file that
     doesn't begin with a record gives none; a record cut off by the end of its file gives the
-    content that is there. No files with records: an empty result.
+    content that is there. A record of any length is one row. No files with records: an empty
+    result.
     """
     values, places = pieces_at_magic(spark, path)
-    reached = materialise(true_records(places), "reached")
-    marked = places.join(reached.withColumn("true", F.lit(True)), ["file", "block", "offset"], "left")
-    last = reached.groupBy("file", "block").agg(F.max("offset").alias("last"))
-    blocks = places.groupBy("file", "block").agg(F.count("*").alias("n")).join(last, ["file", "block"], "left")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("file", "block", F.max("last").over(earlier).alias("carried"))
-    up_to = Window.partitionBy("file", "block").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    reached = true_records(places)
+    marked = places.join(reached.withColumn("true", F.lit(True)), ["file", "offset"], "left")
+    # a piece belongs to the last record at or before it: in its span, or in the spans before
+    last = marked.groupBy("file", "span").agg(F.max(F.when(F.col("true"), F.col("offset"))).alias("last"))
+    earlier = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "span", F.max("last").over(earlier).alias("carried"))
+    up_to = Window.partitionBy("file", "span").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owner = F.coalesce(F.last(F.when(F.col("true"), F.col("offset")), ignorenulls=True).over(up_to), F.col("carried"))
     whole = F.coalesce(F.col("true") & (F.col("header_size") + len(CLOSE) + F.col("length") + len(MAGIC) <= F.col("size")), F.lit(False))
-    owned = marked.join(carried, ["file", "block"]).select("at", "file", "offset", owner.alias("owner"), whole.alias("whole"), F.coalesce("true", F.lit(False)).alias("true"))
-    owned = materialise(owned, "owned")
+    owned = marked.join(carried, ["file", "span"]).select("at", "file", "offset", owner.alias("owner"), whole.alias("whole"), F.coalesce("true", F.lit(False)).alias("true"))
     # most records are one piece; the pieces that aren't are few, and stored, so that their size is known when the join is planned
+    owned = materialise(owned, "owned")
     others = materialise(owned.where("not whole").select("at"), "others")
     single = values.join(others, "at", "left_anti").select("value")
     # records with magic inside come in several pieces: those are gathered, by record
     split = owned.where("true and not whole").select("file", "owner")
     parts = materialise(owned.where("not whole").join(split, ["file", "owner"], "left_semi").select("at", "file", "owner", "offset"), "parts")
+    discard(places, reached, owned)
     gathered = values.join(parts, "at").groupBy("file", "owner")
     joined = gathered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
     header = F.substring_index("value", CLOSE, 1)
