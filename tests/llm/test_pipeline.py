@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, on the smallest tables and on odd rows."""
 
+import math
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -48,9 +49,9 @@ def test_quality_drops_what_the_rules_reject(stages, spark):
 
 def test_lines_drop_site_boilerplate(stages):
     before, after = stages[0][1], stages[0][2]
-    pages = defaultdict(set)
+    pages = defaultdict(list)
     for r in before:
-        pages[r["source"]].add(r["text"])
+        pages[r["source"]].append(r["text"])
     frequent = defaultdict(set)
     for site, texts in pages.items():
         n = Counter(line for t in texts for line in {x.strip(" \t\r\x0b\x0c") for x in t.split("\n")} if line)
@@ -87,7 +88,16 @@ def test_mixture_reads_each_source_to_its_weight(stages):
     for r in before:
         n[r["source"]] += len((r["text"] or "").split())
     budget = sum(n.values())
-    weights = mixing.temperature(n, budget).weights
+    least = mixing.ENTROPY_SHARE * math.log(sum(v > 0 for v in n.values()))
+    x = 1.0
+
+    def weights_at(x):
+        p = {k: (v / budget) ** x for k, v in n.items() if v}
+        return {k: v / sum(p.values()) for k, v in p.items()}
+
+    while -sum(w * math.log(w) for w in weights_at(x).values()) < least:
+        x -= 1e-4
+    weights = weights_at(x)
     read, longest = Counter(), Counter()
     for r in after:
         read[r["source"]] += len((r["text"] or "").split())

@@ -77,7 +77,8 @@ def test_site_lines(frame):
     menu, blank = "Home | About", " \t"
     rows = [(i, "a", f"{menu}\nstory {i}\n\n  {menu}\t\n{blank}") for i in range(10)] + [(20 + i, "b", f"only {i % 2}\n{menu}") for i in range(2)]
     rows += [(40, "a", None), (41, "a", ""), (42, None, f"{menu}\nx"), (43, "a", menu), (44, "a", menu), (45, "a", menu), (None, "a", f"{menu}\nkeep")]
-    rows += [(50 + i, "c", "mirrored page\nwith lines") for i in range(30)]  # one page, however often
+    rows += [(50 + i, "c", "mirrored page\nwith lines") for i in range(30)] + [(100 + i, "c", f"own {i}") for i in range(400)]  # lines of 30 of 430 pages
+    rows += [(600 + i, "e", f"in 21 of 420\nx {i}" if i < 21 else f"x {i}") for i in range(420)]  # just at the ratio, so not above it
     rows += [(90, "d", "same"), (90, "d", "same")]
     out = boilerplate.without_boilerplate(frame(rows, "doc_id long, source string, text string"), F.col("source"), counts=True)
     got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect())
@@ -85,7 +86,7 @@ def test_site_lines(frame):
     for i, site, text in rows:
         lines = (text or "").split("\n")
         bare = [x.strip(" \t") for x in lines]
-        drop = [site == "a" and b == menu for b in bare]
+        drop = [(site == "a" and b == menu) or (site == "c" and b in ("mirrored page", "with lines")) for b in bare]
         clean = None if text is None else "\n".join(x for x, d in zip(lines, drop, strict=True) if not d)
         want[(i, clean, sum(b != "" for b in bare), sum(drop))] += 1
     assert got == want
@@ -98,45 +99,92 @@ def test_hosts(spark):
     assert got == ["a.example.com", "b.org", "[::1]", "", None]
 
 
-def test_temperature_meets_entropy_and_limit():
+def test_sites_are_hosts_where_there_are_urls(spark):
+    rows = [(1, "http://a.org/x", "src1"), (2, None, "src1"), (3, "no host", "src2"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, source string")
+    assert [r[0] for r in docs.select(boilerplate.site_of(docs)).collect()] == ["a.org", "src1", "src2", None]
+    assert [r[0] for r in docs.drop("url").select(boilerplate.site_of(docs.drop("url"))).collect()] == ["src1", "src1", "src2", None]
+
+
+def test_counts_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x\ny", 7, 8)], "doc_id long, source string, text string, n_lines long, n_dropped long")
+    out = boilerplate.without_boilerplate(docs, F.col("source"), counts=True)
+    assert out.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"] and tuple(out.first())[3:] == (2, 0)
+
+
+def _temperature(tokens, budget_share, entropy_share, max_repeats):
+    """By plain search over [0, 1]: the exponent, weights and repeats."""
+    n = {k: v for k, v in tokens.items() if v}
+    total = sum(n.values())
+
+    def weights(x):
+        p = {k: (v / total) ** x for k, v in n.items()}
+        return {k: v / sum(p.values()) for k, v in p.items()}
+
+    def search(good, want_low):
+        low, high = 0.0, 1.0
+        for _ in range(30):
+            middle = (low + high) / 2
+            low, high = (middle, high) if good(middle) else (low, middle)
+        return low if want_low else high
+
+    enough = lambda x: -sum(w * math.log(w) for w in weights(x).values()) >= entropy_share * math.log(len(n)) - 1e-12
+    exceeds = lambda x: max(w * budget_share * total / n[k] for k, w in weights(x).items()) > max_repeats
+    x = 0.0 if entropy_share is None else 1.0 if enough(1.0) else search(enough, True)
+    if max_repeats is not None and exceeds(x):
+        x = 1.0 if exceeds(1.0) else search(exceeds, False)
+    return x, weights(x)
+
+
+def test_temperature_meets_entropy_and_limit(spark):
     tokens = {"a": 1_000_000, "b": 30_000, "c": 500, None: 20, "none": 0}
+    table = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
     entropy = lambda w: -sum(x * math.log(x) for x in w.values())
-    m = mixing.temperature(tokens, 1_030_520, 0.8, None)
-    assert abs(entropy(m.weights) - 0.8 * math.log(4)) < 1e-6 and abs(sum(m.weights.values()) - 1) < 1e-12 and "none" not in m.weights
-    limited = mixing.temperature(tokens, 1_030_520, 0.8, 3.0)
-    repeats = [limited.weights[k] * 1_030_520 / v for k, v in tokens.items() if v]
-    assert limited.exponent > m.exponent and 2.99 < max(repeats) <= 3.0
-    assert mixing.temperature(tokens, 1e6, 0.05, None).exponent == 1.0 and mixing.temperature({}, 1.0).weights == {}
+    x, weights = _temperature(tokens, 1.0, 0.8, None)
+    assert abs(entropy(weights) - 0.8 * math.log(4)) < 1e-6 and 0 < x < 1
+    assert abs(mixing.temperature(table, 1.0, 0.8, None) - x) < 1e-8
+    limited, weights = _temperature(tokens, 1.0, 0.8, 3.0)
+    repeats = [weights[k] * 1_030_520 / v for k, v in tokens.items() if v]
+    assert limited > x and 2.99 < max(repeats) <= 3.0 and abs(mixing.temperature(table, 1.0, 0.8, 3.0) - limited) < 1e-8
+    assert mixing.temperature(table, 1.0, 0.05, None) == 1.0 and mixing.temperature(table, 1.0, None, None) == 0.0
+    assert mixing.temperature(table, 5.0, None, 3.0) == 1.0 and mixing.temperature(table.limit(0)) == 1.0
 
 
-def test_mixture_is_read_in_whole_epochs(frame):
+def test_mixture_is_read_in_whole_epochs(spark, frame):
     rng = random.Random(8)
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 40)))) for i in range(600)]
     rows += [(1000, None, "a b c"), (1001, "hot", None), (5, rows[5][1], rows[5][2]), (None, "hot", "x y")]
-    docs = frame(rows, "doc_id long, source string, text string")
-    got = mixing.realise(mixing.counted(docs), entropy_share=0.9, max_repeats=3.0).collect()
+    docs = frame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(3) for c in ("there", "part", "epochs", "blocks", "place")})
+    got = mixing.realise(mixing.counted(docs), 1.5, 0.9, 3.0).collect()
     n = Counter()
     for _, source, text in rows:
         n[source] += len((text or "").split())
-    budget = sum(n.values())
-    weights = mixing.temperature(n, budget, 0.9, 3.0).weights
+    exponent, weights = _temperature(n, 1.5, 0.9, 3.0)
+    assert 0 < exponent < 1 and {r["exponent"] for r in got} == {round(exponent, 6)}
     for source in n:
-        part = int(budget * weights.get(source, 0))
+        part = int(1.5 * sum(n.values()) * weights.get(source, 0))
         mine = sorted((r["place"], r["n_tokens"], r["epoch"], r["doc_id"] or -1) for r in got if r["source"] == source and r["n_tokens"])
         at = 0
         for place, size, _, _ in mine:
             assert place == at < part
             at += size
-        assert at >= part
+        assert at >= part and {r["repeats"] for r in got if r["source"] == source} == {round(part / n[source], 6)}
         there = Counter((i or -1) if i is not None else -1 for i, s, t in rows if s == source and (t or "").split())
         for epoch in range(max(e for _, _, e, _ in mine)):
             assert Counter(d for _, _, e, d in mine if e == epoch) == there
+    assert max(r["epoch"] for r in got) >= 1
     assert sum(r["n_tokens"] == 0 for r in got) == sum(not (t or "").split() for _, _, t in rows)
-    mixed = mixing.mixed(docs, entropy_share=0.9, max_repeats=3.0)
+    mixed = mixing.mixed(docs, 1.5, 0.9, 3.0)
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in got}
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_the_query_bisects_and_repeats(spark, sf_dir):
+    r = mixing.op5_temperature(spark, sf_dir).agg(F.min("exponent").alias("x"), F.max("epoch").alias("e"), F.max("repeats").alias("most")).first()
+    assert 0 < r["x"] < 1 and r["e"] >= 1 and r["most"] > 1.2
+
+
 def test_toxic_sentences_are_learned_from_document_labels(spark, frame):
     rng = random.Random(6)
     bad = ["vilefoo", "vilebar", "vilebaz", "rotten"]

@@ -31,21 +31,23 @@ def _digest(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
 
 
+def site_of(docs: DataFrame) -> Column:
+    """What a page belongs to: the host of its ``url`` where it has one, else its ``source``."""
+    found = [F.nullif(host_of(F.col("url")), F.lit(""))] if "url" in docs.columns else []
+    found += [F.col("source").cast("string")] if "source" in docs.columns else []
+    return F.coalesce(*found)
+
+
 def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """site, digest of every line in more than ``max_ratio`` of the site's pages and in ``min_pages`` of them.
 
-    ``pages``: site, text. Pages of a site with equal texts count as one page: a page that is
-    mirrored many times says nothing about which of its lines are boilerplate. A line counts
-    once a page. A null site is a site of its own; a null text is a page without lines.
+    ``pages``: site, text, of which every row is a page. A line counts once a page. On a site of
+    few pages a single page is more than the ratio, so a line must stand in ``min_pages`` to be
+    called shared at all. A null site is a site of its own; a null text is a page without lines.
     """
     own = F.array_compact(F.array_distinct(F.transform(_lines(F.coalesce("text", F.lit(""))), _digest)))
-    distinct = (
-        pages.select("site", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("page"), own.alias("lines"))
-        .groupBy("site", "page")
-        .agg(F.first("lines").alias("lines"))
-    )
     # a null stands for the page itself, so that one count gives the lines and the site's total
-    marked = distinct.select("site", F.explode(F.concat(F.array(F.lit(None).cast("binary")), "lines")).alias("digest"))
+    marked = pages.select("site", F.explode(F.concat(F.array(F.lit(None).cast("binary")), own)).alias("digest"))
     counted = marked.groupBy("site", "digest").agg(F.count("*").alias("n")).where(F.col("digest").isNull() | (F.col("n") >= min_pages))
     lines = counted.where("digest is not null")
     totals = counted.where("digest is null").select(F.col("site").alias("total_site"), F.col("n").alias("total"))
@@ -58,9 +60,11 @@ def without_boilerplate(docs: DataFrame, site: Column, max_ratio: float = MAX_RA
     Every row is a page. Rows come back once each, also repeated ones and those with a null
     ``doc_id``; a null text stays null, a text that loses all its lines becomes empty. The other
     lines keep their order and their blanks. With ``counts``, ``n_lines`` (lines that aren't
-    blank) and ``n_dropped`` are added.
+    blank) and ``n_dropped`` are added, in place of columns of these names. A text of any length
+    is one row: a task holds it and 16 bytes for each of its lines. An empty table gives an empty
+    result.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     pages = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), site.cast("string").alias("site"))
     found = boilerplate(pages.select("site", F.col("row.text").alias("text")), max_ratio, min_pages)
     # which of its site's lines a page holds is found on digests; texts are shuffled once, by id
@@ -85,14 +89,14 @@ def without_boilerplate(docs: DataFrame, site: Column, max_ratio: float = MAX_RA
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the boilerplate of their source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return without_boilerplate(docs, F.col("source"), counts=True)
+    return without_boilerplate(docs, site_of(docs), counts=True)
 
 
 ORACLE_SQL = """
-WITH pages AS (SELECT DISTINCT source AS site, coalesce(text, '') AS text FROM documents),
+WITH pages AS (SELECT row_number() OVER () AS page, source AS site, coalesce(text, '') AS text FROM documents),
 lines AS (
-  SELECT DISTINCT site, text, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
-  FROM (SELECT site, text, unnest(string_split(text, chr(10))) AS line FROM pages)
+  SELECT DISTINCT site, page, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT site, page, unnest(string_split(text, chr(10))) AS line FROM pages)
 ),
 totals AS (SELECT site, count(*) AS total FROM pages GROUP BY site),
 common AS (
