@@ -1,7 +1,10 @@
+import math
+import statistics
 import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -114,6 +117,58 @@ def test_quality_rejects_by_band(spark):
     assert got[2]["kept"] and not got[1]["kept"] and got[3]["byte_share"] > 0.25 and not got[3]["kept"]
 
 
+def _fertile(model, text, lang):
+    """Characters per token, byte share, entropy and verdict of the band, worked out plainly."""
+    words = (text or "").encode().split()
+    ids = [i for w in words for i in model.encode(w.decode())]
+    n = len(ids)
+    if not n:
+        return 0, 0.0, 0.0, 0.0, False
+    chars = sum(len(w.decode()) for w in words) / n
+    share = sum(model.is_byte(i) for i in ids) / n
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(ids).values())
+    b = fertility.BANDS[lang]
+    fit = b.least_chars_per_token - 3 / math.sqrt(n) <= chars <= b.most_chars_per_token and share <= b.most_byte_share
+    return n, chars, share, entropy, fit and entropy >= b.least_entropy_share * -math.log2(1 / n + 2 ** -b.full_entropy)
+
+
+def test_fertility_equals_plain_measures(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang in ('en', 'de', 'fr', 'es')").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    got = {r["doc_id"]: r for r in fertility.fertility(docs).collect()}
+    kept = 0
+    for doc_id, text, lang in rows:
+        r, (n, chars, share, entropy, fit) = got[doc_id], _fertile(model, text, lang)
+        assert r["n_tokens"] == n and abs(r["chars_per_token"] - chars) + abs(r["byte_share"] - share) + abs(r["token_entropy"] - entropy) < 1e-9
+        assert r["kept"] == (fit and not _brute(text, lang)[-1]) and r["band"] == lang
+        kept += r["kept"]
+    assert 0.7 * len(rows) < kept < len(rows)
+
+
+def test_bands_are_the_quantiles_of_good_documents(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang in ('en', 'de')").select("doc_id", "text", "lang")
+    got = {r["lang"]: r for r in fertility.language_bands(docs, quantile=0.5).collect()}
+    for lang in ("en", "de"):
+        mine = [r["text"] for r in docs.collect() if r["lang"] == lang and not _brute(r["text"], lang)[-1]]
+        tokens = Counter(i for t in mine for w in t.encode().split() for i in model.encode(w.decode()))
+        total = sum(tokens.values())
+        full = -sum(k / total * math.log2(k / total) for k in tokens.values())
+        found = [_fertile(model, t, lang) for t in mine]
+        assert got[lang]["n"] == len(mine) and abs(got[lang]["full_entropy"] - full) < 0.006
+        assert abs(got[lang]["chars_per_token"] - statistics.median(c + 3 / math.sqrt(n) for n, c, *_ in found)) < 1e-3
+        assert abs(got[lang]["entropy_share"] - statistics.median(e / -math.log2(1 / n + 2**-full) for n, _, _, e, _ in found)) < 1e-3
+
+
+def test_no_length_is_treated_apart(spark):
+    """The bound on entropy rises with the tokens and never jumps."""
+    n = np.arange(1, 200_000)
+    most = fertility.attainable(n, 7.09)
+    assert (np.diff(most) >= 0).all() and np.diff(most[30:]).max() < 0.06 and abs(most[-1] - 7.09) < 0.01
+    long = spark.createDataFrame([(1, "ab cd. " * 1_500_000, "en"), (2, "x" * 5_000_000, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in fertility.fertility(long).collect()}
+    assert got[1]["n_words"] == 3_000_000 and got[1]["base_failed"] and got[2]["n_words"] == 1 and not got[2]["kept"]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert token_counts.token_counts(empty).count() == 0
