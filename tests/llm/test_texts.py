@@ -185,6 +185,51 @@ def test_the_query_bisects_and_repeats(spark, sf_dir):
     assert 0 < r["x"] < 1 and r["e"] >= 1 and r["most"] > 1.2
 
 
+def _loss(bags, bias, w, l1, l2):
+    """The negative log likelihood of document labels under the noisy-or of their sentences, each class weighing half, with the penalties."""
+    total = l1 * sum(map(abs, w)) + 0.5 * l2 * sum(x * x for x in w)
+    for label, n, held in bags:
+        clean = 1.0
+        for words in [*held, *([[]] * (n - len(held)))]:
+            clean *= 1 - 1 / (1 + math.exp(-(bias + sum(w[i] for i in words))))
+        share = 0.5 / sum(b[0] == label for b in bags)
+        total -= share * math.log(max(1 - clean if label else clean, 1e-300))
+    return total
+
+
+def test_fit_is_a_minimum_of_the_loss():
+    rng = random.Random(5)
+    bags = []
+    for i in range(60):
+        n = rng.randint(1, 6)
+        held = [[rng.randrange(4) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(0, n))]
+        label = int(any(0 in words for words in held)) if rng.random() < 0.9 else i % 2
+        bags.append((label, n, held))
+    l1, l2 = 1e-4, 5e-5
+    bias, w = toxicity.fit_noisy_or(bags, 4, rounds=3000, rate=0.02, l1=l1, l2=l2)
+    found = _loss(bags, bias, w, l1, l2)
+    assert found < _loss(bags, -1.0, [0.0] * 4, l1, l2) - 0.1 and w[0] == max(w)
+    for _ in range(200):
+        step = [rng.gauss(0, 0.05) for _ in range(5)]
+        assert found <= _loss(bags, bias + step[0], [x + d for x, d in zip(w, step[1:], strict=True)], l1, l2) + 2e-3
+
+
+def test_a_score_is_the_noisy_or_of_sentences():
+    model = toxicity.NoisyOr(-3.0, {"vile": 4.0, "vil*": 0.5, "nice": -1.0})
+    memory = toxicity._Weights(model.weights)
+    p = lambda z: 1 / (1 + math.exp(-z))
+    text = "You are VILE. Nice vilest day! ...\nplain"
+    want = 1 - (1 - p(-3 + 4.5)) * (1 - p(-3 - 1 + 0.5)) * (1 - p(-3))
+    assert abs(model.score(text, memory) - want) < 1e-12 and model.score(None, memory) == model.score("?!", memory) == 0
+    spans = model.locate(text, memory)
+    assert [(s["start"], s["end"]) for s in spans] == [(0, 13)] and abs(spans[0]["score"] - p(1.5)) < 1e-12
+    assert model.score("vile. " * 500_000, memory) > 0.999  # three million characters
+
+
+def _held_out(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
 def test_toxic_sentences_are_learned_from_document_labels(spark, frame):
     rng = random.Random(6)
     bad = ["vilefoo", "vilebar", "vilebaz", "rotten"]
@@ -202,17 +247,29 @@ def test_toxic_sentences_are_learned_from_document_labels(spark, frame):
         labels.append((i, int(toxic)))
     rows += [(2000, None), (2001, ""), (2002, "..."), (2002, "..."), (None, "rotten")]
     labels += [(3, None), (None, 1), (5000, 1), (6, 0)]
-    docs = frame(rows, "doc_id long, text string")
-    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 3 != 1)
+    docs = frame(rows, "doc_id long, text string").withColumn("toxicity", F.lit("old"))
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.remainder("doc_id", 3) != 1)
     got = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
     score = {i: r["toxicity"]["score"] for i, r in got.items()}
     assert all(0 <= s <= 1 for s in score.values()) and score[2000] == score[2001] == score[2002] == 0
-    held = [i for i in range(900) if i % 3 == 1]
-    tests = [i for i in faults if zlib.crc32(str(i).encode()) >= 0]
-    assert sum(score[i] >= 0.7 for i in tests) > 0.95 * len(tests)
+    held = [i for i in range(900) if _held_out(i)]
+    tests = [i for i in faults if _held_out(i)]
+    assert len(tests) > 30 and sum(score[i] >= 0.7 for i in tests) > 0.95 * len(tests)
     assert sum(score[i] >= 0.7 for i in held if i not in faults) <= 0.01 * len(held)
     found = {r["doc_id"]: r["sentence"] for r in toxicity.offending_sentences(docs, model).collect()}
-    assert sum(found.get(i, "").strip() == s.strip() for i, s in faults.items()) > 0.9 * len(faults)
+    assert sum(found.get(i, "").strip() == faults[i].strip() for i in tests) > 0.9 * len(tests)
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+    nobody = toxicity.train(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert all(r["toxicity"]["score"] < 0.01 for r in toxicity.scored(docs, nobody).collect())
+
+
+def test_the_query_finds_held_out_toxic_documents(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.op1_noisy_or(spark, sf_dir).join(labels, "doc_id").where("held_out").select("doc_id", "predicted", "toxic").collect()
+    assert all(_held_out(r["doc_id"]) for r in rows)
+    toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]  # some labels are noise
+    assert len(toxic) > 30 and sum(r["predicted"] for r in toxic) > 0.9 * len(toxic) and sum(r["predicted"] for r in clean) < 0.01 * len(clean)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, None)]])

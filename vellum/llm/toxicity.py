@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
 Only documents carry labels. A sentence's probability is logistic in its words and their
-beginnings; a document's is the noisy-or of its sentences, 1 - prod(1 - p). Fitting the documents' labels therefore teaches
-which sentences are at fault, and the fitted model locates them.
+beginnings; a document's is the noisy-or of its sentences, 1 - prod(1 - p). Fitting the
+documents' labels therefore teaches which sentences are at fault, and the fitted model locates
+them.
 
 The model is fitted on a bounded sample: at most ``PER_CLASS`` labelled documents of each class,
-the first by a hash of their id among the rows that may be learned from. Everything else (every
-text, every sentence) is covered in full and scored in Arrow batches.
+the first by a hash of their id among the rows that may be learned from and whose text has at
+most ``LEARNED_CHARS`` characters. Everything else (every text, every sentence) is covered in full
+and scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from .common import materialise, remainder, table
 
 #: Labelled documents of each class that the model is fitted on, at most.
 PER_CLASS = 4000
-#: Words and beginnings of words with a weight, at most; each stands in at least MIN_DOCS of the sample's documents.
-MAX_FEATURES, MIN_DOCS = 400, 8
+#: Characters of a document that is learned from, at most: it bounds the sample's size. Longer texts are scored like all.
+LEARNED_CHARS = 100_000
+#: Words and beginnings of words have a weight if at least MIN_DOCS of the sample's documents hold
+#: them, and the classes differ by more than chance: a chi-square of MIN_CHI.
+MIN_DOCS, MIN_CHI = 8, 20.0
 PREFIXES = range(3, 8)
 #: Distinct words whose weight a Python worker remembers; beyond it the memory starts anew.
 MEMORY = 500_000
@@ -138,20 +143,21 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> NoisyOr:
     """Fit on ``docs`` (doc_id, text) whose ``labels`` (doc_id, toxic) satisfy ``may_learn``.
 
     A document with a null label is not learned from; one with several label rows counts as
-    toxic if any says so. Without any labelled document the model finds nothing toxic.
+    toxic if any says so, and one with several rows brings each text. Equal hashes of ids go by
+    id. Without any labelled document, or any document, the model finds nothing toxic.
     """
     known = labels.where(may_learn).dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("toxic") == c).orderBy(*order).limit(PER_CLASS) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # at most 2 * PER_CLASS rows of two numbers
-    text = F.lower(F.coalesce("text", F.lit("")))
-    bags = materialise(docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id"), "labelled")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= LEARNED_CHARS)
+    bags = materialise(texts.join(F.broadcast(sample), "doc_id"), "labelled")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = (Counter(), Counter())
             for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-                seen[int(toxic > 0)].update({f for w in set(_UNITS.findall(text)) if w not in _ENDS for f in features(w)})
+                seen[int(toxic > 0)].update({f for w in set(_UNITS.findall(text.lower())) if w not in _ENDS for f in features(w)})
             names = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"word": names, "c0": [seen[0][w] for w in names], "c1": [seen[1][w] for w in names]})
 
@@ -163,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> NoisyOr:
     counted = words.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(F.col("c0") + F.col("c1") >= MIN_DOCS)
     c0, c1 = F.col("c0") / n0, F.col("c1") / n1
     both = (F.col("c0") + F.col("c1")) / (n0 + n1)
-    tested = counted.withColumn("chi", F.pow(c1 - c0, 2) / (both * (1 - both) + 1e-6))
-    chosen = [r["word"] for r in tested.orderBy(F.desc(F.round("chi", 9)), "word").limit(MAX_FEATURES).select("word").collect()]
+    tested = counted.withColumn("chi", F.pow(c1 - c0, 2) / (both * (1 - both) + 1e-6) * (n0 * n1 / (n0 + n1)))
+    chosen = sorted(r["word"] for r in tested.where(F.col("chi") >= MIN_CHI).select("word").collect())  # words of the sample, which is bounded
     number = {w: i for i, w in enumerate(chosen)}
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> NoisyOr:
             out = []
             for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
                 count, held, now, full = 0, [], [], False
-                for unit in (*_UNITS.findall(text), "\n"):
+                for unit in (*_UNITS.findall(text.lower()), "\n"):
                     if unit in _ENDS:
                         count += full
                         if now:
@@ -190,9 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> NoisyOr:
 
 
 def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
-    """``docs`` with ``toxicity``: the score of each whole text, and the sentences at fault.
+    """``docs`` with ``toxicity``, in place of a column of that name: the score of each whole text, and the sentences at fault.
 
-    A null or empty text, or one without words, scores 0. Repeated rows are scored each.
+    A null or empty text, or one without words, scores 0. Repeated rows are scored each. A text
+    of any length is scored whole, in the task that reads it. An empty table gives an empty
+    result.
     """
 
     @F.pandas_udf(SCORED)
