@@ -48,7 +48,10 @@ def _ppm_by_hand(train, text, order):
     return total
 
 
-def test_scores_equal_the_method_by_hand(frame, monkeypatch):
+@pytest.mark.parametrize("shard", [300_000, 60, 3])
+def test_scores_equal_the_method_by_hand(frame, monkeypatch, shard):
+    """Also where contexts have to be told by three, four and five bytes to have few enough grams."""
+    monkeypatch.setattr(lm_score, "SHARD_GRAMS", shard)
     rng = random.Random(4)
     texts = [None, "", "  ", "Ab aB", "éa　b", "ab " * 50, *[" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 25))) for _ in range(30)]]
     rows = [(i, t, i % 4 == 1 if i % 5 else None) for i, t in enumerate(texts)] + [(3, "Ab aB", False), (None, "ba", True)]

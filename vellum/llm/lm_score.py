@@ -2,11 +2,16 @@
 
 Documents are dealt to blocks of some tens of megabytes. A block only sends its distinct grams
 and words with their training counts; summed over blocks these are the model and the word
-counts, as large as the corpus makes them. The probability of a gram is worked out once, in
-shards by the last two context bytes: the levels from there up are complete in a shard, and the
-two below have at most 65,536 and 256 entries, so they can be handed to every task. Each block
-gets back the values of its own grams and words, and adds them up per document. Nothing is held
-that grows with the corpus: neither the model nor the counts are ever in one place.
+counts, as large as the corpus makes them. Words go by a 64-bit hash: of a million distinct words
+two share one with a chance of about one in forty million, and would then be counted as one.
+
+The probability of a gram is worked out once, in shards of grams whose contexts end alike: in the
+last two bytes, or in as many more as it takes to have at most SHARD_GRAMS of them (contexts of
+all ORDER bytes have at most 256). The levels of the trie from there up are complete in a shard.
+Of those below, the two lowest have at most 65,536 and 256 entries and are handed to every task;
+a shard gets the rest, at most 256 rows for each byte that its contexts end in, by a join. Each
+block gets back the values of its own grams and words, and adds them up per document. So neither
+the model nor the counts are ever in one place, and no shard grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +34,8 @@ from .common import materialise, remainder, table
 ORDER = 5
 #: UTF-8 bytes of text in a block, about.
 BLOCK_BYTES = 24_000_000
+#: Grams of a shard, about.
+SHARD_GRAMS = 300_000
 #: Bytes of text that are turned into grams at a time.
 _CHUNK = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,19 +129,56 @@ def _score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_sum": base, "score": scores})
 
 
-def _value_shard(part: pd.DataFrame, low: dict) -> pd.DataFrame:
+def _value_shard(part: pd.DataFrame, between: pd.DataFrame, low: dict) -> pd.DataFrame:
+    """Probabilities of a shard's grams. ``between``: level, key, n of the levels above ``low`` and below the shard's own."""
     part = part.sort_values("key")
+    low = dict(low)
+    for level, rows in between.sort_values("key").groupby("level"):
+        low[int(level)] = (rows["key"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64))
     keys = part["key"].to_numpy(np.int64).astype(np.uint64)
     return pd.DataFrame({"kind": np.int8(_GRAM), "key": part["key"], "value": ppm.log10_probabilities(keys, part["n"].to_numpy(np.int64), ORDER, low)})
 
 
+def _ending(key, n_bytes):
+    """The last bytes of a gram's context; ``n_bytes`` may be a column."""
+    if isinstance(n_bytes, int):
+        return F.shiftright(key, 8).bitwiseAND((1 << (8 * n_bytes)) - 1)
+    return reduce(lambda other, n: F.when(n_bytes == n, _ending(key, n)).otherwise(other), range(3, ORDER + 1), _ending(key, 2))
+
+
+def _values(grams: DataFrame, n_grams: int) -> DataFrame:
+    """kind, key, value of all grams (key, n)."""
+    low = {}
+    for k in (1, 0):  # at most 65,536 and 256 rows
+        found = grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toPandas()
+        low[k] = (found["key"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.int64))
+    dealt, depth, deepest = grams.withColumn("depth", F.lit(2)), F.col("depth"), 2
+    for d in range(2, ORDER):
+        here = dealt.where(depth == d).groupBy(_ending(F.col("key"), d).alias("hot")).agg(F.count("*").alias("size"))
+        hot = materialise(here.where(F.col("size") > SHARD_GRAMS).select("hot"), "hot")
+        if hot.isEmpty():
+            break
+        met = dealt.join(hot, (_ending(F.col("key"), d) == F.col("hot")) & (depth == d), "left")
+        dealt, deepest = met.withColumn("depth", F.when(F.col("hot").isNotNull(), d + 1).otherwise(depth)).drop("hot"), d + 1
+    pool = F.pmod(F.xxhash64(_ending(F.col("key"), depth)), F.lit(n_grams // SHARD_GRAMS + 1)).cast("int").alias("pool")
+    dealt = dealt.select("key", "n", "depth", pool)
+    below = grams.sparkSession.createDataFrame([], "to_depth int, to_pool int, level int, key long, n long")
+    for k in range(2, deepest):  # level k is handed to the shards that are told by more than k bytes
+        deeper = dealt.where(depth > k)
+        level = deeper.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")).withColumn("end", _ending(F.col("key"), k))
+        shards = deeper.select(depth.alias("to_depth"), F.col("pool").alias("to_pool"), _ending(F.col("key"), k).alias("end")).distinct()
+        below = below.unionByName(shards.join(level, "end").select("to_depth", "to_pool", F.lit(k).alias("level"), "key", "n"))
+    return dealt.groupBy("depth", "pool").cogroup(below.groupBy("to_depth", "to_pool")).applyInPandas(lambda part, levels: _value_shard(part, levels, low), "kind byte, key long, value double")
+
+
 def language_scores(docs: DataFrame) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, held_out); rows with ``held_out`` aren't learned from.
 
     The text that is scored is its tokens with a space between, then the end. A null text is
     empty and has the end as its one token. Repeated rows are scored, and learned from, each. A
     null ``held_out`` counts as false; other columns are ignored. With nothing to learn from, all
-    symbols are equally likely. An empty table gives an empty result.
+    symbols are equally likely. A text of any length is scored whole, in the task of its block,
+    which holds it and its grams. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held_out")).alias("learned")).first()
@@ -142,15 +187,10 @@ def language_scores(docs: DataFrame) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
     keys = materialise(dealt.groupBy("block").applyInArrow(_count_block, _KEYS), "keys", compression="zstd")
     summed = materialise(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "model", compression="zstd")
-    counted = summed.where(F.col("kind") == _WORD).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    word, gram = F.col("kind") == _WORD, F.col("kind") == _GRAM
+    counted = summed.agg(F.sum(F.when(word, F.col("n"))).alias("n"), F.count_if(word & (F.col("n") > 0)).alias("v"), F.count_if(gram).alias("grams")).first()
     n_train, n_distinct = (counted["n"] or 0) + learned, counted["v"] + (learned > 0)
-    grams = summed.where(F.col("kind") == _GRAM)
-    low = {}
-    for k in (1, 0):  # at most 65,536 and 256 rows
-        found = grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toPandas()
-        low[k] = (found["key"].to_numpy(np.int64).astype(np.uint64), found["n"].to_numpy(np.int64))
-    shard = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(4 * n_blocks + 8)).alias("shard")
-    values = grams.select("key", "n", shard).groupBy("shard").applyInPandas(lambda part: _value_shard(part, low), "kind byte, key long, value double")
+    values = _values(summed.where(gram).select("key", "n"), counted["grams"])
     values = values.unionByName(summed.where(F.col("kind") == _WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
     back = keys.select("block", "kind", "key").join(values, ["kind", "key"])
     scored = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block, _SCORES)
