@@ -68,6 +68,21 @@ def test_ids_pieces_and_places(frame):
     assert len(bins) <= -(-total // 64) + 2
 
 
+def test_rows_without_ids_are_dealt_to_many_groups_and_few_sequences_are_needed(spark, frame):
+    rng = np.random.default_rng(3)
+    rows = [(None, "word " * int(n)) for n in rng.integers(1, 1500, 1500)]
+    got = packing.packed_sequences(frame(rows, "doc_id long, text string")).select("length", "sequence_id").collect()
+    least = -(-sum(r["length"] for r in got) // 1024)
+    assert len({r["sequence_id"] for r in got}) <= 1.005 * least + 1
+
+
+def test_texts_are_counted_whole_where_pieces_hold_marks(model):
+    counter = token_counts.PieceCounts(public_tokenizers.path("piece_bpe_32k.model"))
+    assert counter.cuts
+    counter.cuts = False
+    assert [counter.count(t) for t in TEXTS if t] == [len(model.encode(t)) for t in TEXTS if t]
+
+
 def test_two_replace_one():
     # greedily 6 + 3 leaves a gap of 1 in 10; 3 makes room for 2 + 2
     plan = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)

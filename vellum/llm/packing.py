@@ -51,8 +51,9 @@ class WordIds(dict):
 
     The vocabulary's pattern puts one space in front of the word that follows, so a text may be
     cut at any single space between two other characters that aren't white space, and the ids
-    of the parts joined. Texts with other white space next to a space, or with the special
-    string, are encoded whole. New words go through the rank file of the same vocabulary.
+    of the parts joined. Texts with other white space next to a space, with the special string,
+    or with a word of more than 2,000 characters are encoded whole; the ids are the same, and
+    long words stay out of the memory. New words go through the rank file of the same vocabulary.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -113,7 +114,8 @@ def tokenised_pieces(
 
     Only the first piece of a document that is cut may be shorter than ``capacity``. A null or
     empty text is one piece of one token. Every row is a document of its own, so repeated rows
-    give repeated pieces. Other columns are ignored. ``ids`` is null unless ``with_ids``.
+    give repeated pieces. A text of any length is encoded whole, in the task that reads it. Other
+    columns are ignored. ``ids`` is null unless ``with_ids``.
     """
     if vocabulary is None:
         import public_tokenizers as public
@@ -203,10 +205,10 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to materialised pieces.
+    """Adds ``sequence_id`` and ``offset`` to materialised pieces, in place of their number ``at``.
 
-    ``pieces`` is read twice, so it must be a stored table (see :func:`materialise`). Pieces
-    that tie in every column are interchangeable. An empty table gives an empty result.
+    ``pieces`` is read twice, so it must be a stored table (see :func:`materialise`); ``at`` tells
+    its rows apart, also where ids are null or repeated. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -222,29 +224,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         base += bins
     # at most `capacity` rows, and at most a few slots for each of them: bounded by the capacity, not by the input
     groups = spark.createDataFrame([(k, math.isqrt(v) + 1) for k, v in counts.items()], "length long, n_groups int")
-    slots = spark.createDataFrame(slots, "length long, first_rank long, last_rank long, copies int, base long, at long")
-    keyed = pieces.join(F.broadcast(groups), "length").withColumn("grp", F.expr("pmod(xxhash64(doc_id, piece), n_groups)")).drop("n_groups")
+    slots = spark.createDataFrame(slots, "length long, first_rank long, last_rank long, copies int, base long, place long")
+    keyed = pieces.join(F.broadcast(groups), "length").withColumn("grp", F.expr("pmod(xxhash64(at), n_groups)")).drop("n_groups")
     before = (
         keyed.groupBy("length", "grp")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n"))
         .drop("n")
     )
-    in_group = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32")
+    in_group = Window.partitionBy("length", "grp").orderBy("at")
     ranked = keyed.withColumn("rn", F.row_number().over(in_group) - 1).join(before, ["length", "grp"]).withColumn("rank", F.col("before") + F.col("rn"))
     hit = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("last_rank"))
     slot = F.col("rank") - F.col("first_rank")
     return (
         ranked.join(F.broadcast(slots.withColumnRenamed("length", "slot_length")), (F.col("length") == F.col("slot_length")) & hit)
         .withColumn("sequence_id", F.col("base") + F.floor(slot / F.col("copies")))
-        .withColumn("offset", F.col("at") + F.pmod(slot, F.col("copies")) * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
+        .withColumn("offset", F.col("place") + F.pmod(slot, F.col("copies")) * F.col("length"))
+        .select(*[c for c in pieces.columns if c != "at"], "sequence_id", "offset")
     )
 
 
 def packed_sequences(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack documents; one row per piece. See the functions above for edge cases."""
-    return pack(materialise(tokenised_pieces(docs, capacity, end_id, with_ids), "pieces"), capacity)
+    pieces = tokenised_pieces(docs, capacity, end_id, with_ids).withColumn("at", F.monotonically_increasing_id())
+    return pack(materialise(pieces, "pieces"), capacity)
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A text's count is its initial symbols minus the merges. In this vocabulary a space is written
 as the mark U+2581 and no piece has a mark after another character, so no merge joins a mark
 to what stands before it: texts are cut in front of every run of marks, the parts are counted
-on their own, and each Python worker remembers the counts of words it has met.
+on their own, and each Python worker remembers the counts of words it has met. Of another
+vocabulary that is looked up when it is read; texts are then counted whole.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ class PieceCounts(dict):
         usable = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         #: Lower is merged earlier. Equal scores share a rank; the leftmost pair then goes first.
         self.rank = {model.id_to_piece(i): -model.get_score(i) for i in usable}
+        self.cuts = not any(MARK in piece.lstrip(MARK) for piece in self.rank)
+        for text in ("a b", " a  b ", "\u00e9x\u4e2d", "A\nb c"):
+            if self.count(text) != len(model.encode(text)):
+                raise ValueError(f"{model_path} isn't plain byte-pair merging with a mark for each space")
 
     def merged(self, part: str) -> int:
         """Symbols of ``part`` minus the merges done by always joining the lowest-rank adjacent pair."""
@@ -90,6 +95,8 @@ class PieceCounts(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
+        if not self.cuts:
+            return self.merged(MARK + text.replace(" ", MARK))
         if MARK not in text:
             try:
                 return sum(map(self.__getitem__, text.split(" ")))
@@ -105,7 +112,8 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, model_path: str | None = N
     """doc_id, n_bytes, n_tokens, over_limit of every row's whole text.
 
     A null text counts as empty: no bytes, no tokens. Repeated rows give repeated results, an
-    empty table an empty one; other columns are ignored.
+    empty table an empty one; other columns are ignored. A text of any length is counted whole,
+    in the task that reads it; pairs of equal rank are merged from the left.
     """
     if model_path is None:
         import public_tokenizers as public
