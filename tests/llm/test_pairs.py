@@ -204,7 +204,8 @@ def test_links_within_a_large_group_are_exact(frame, monkeypatch):
     assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (n[i], want[i]) for i in ids}
 
 
-def test_near_vectors_equal_brute_force(frame):
+def test_near_vectors_equal_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(near_vectors, "LIST_SIZE", 12)  # lists of both levels
     rng = np.random.default_rng(2)
     rows, vec_id = [], 0
 
@@ -228,14 +229,17 @@ def test_near_vectors_equal_brute_force(frame):
     for odd in (None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]):
         add(odd, 1)
     add(hub, None)
+    for size in (1e-200, 1e-160, 1e160, 1e300):  # squares of these aren't doubles
+        rows.append((4100 + len(rows), [float(v * size) for v in hub], 2))
     add([2.0, 4.0], 1)
     rows.append((4000, rows[0][1], 0))  # an id that is given twice
     x = {k: np.array(r[1], float) for k, r in enumerate(rows) if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])}
+    x = {k: v / np.abs(v).max() for k, v in x.items()}
     links = [(a, b) for a in x for b in x if b < a and rows[a][2] == rows[b][2] and len(x[a]) == len(x[b]) and x[a] @ x[b] / (np.linalg.norm(x[a]) * np.linalg.norm(x[b])) >= 0.98]
     n = Counter(k for pair in links for k in pair)
     component = _components([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in links])
     want = Counter((r[0], n[k], component[r[0]], component[r[0]] == r[0]) for k, r in enumerate(rows))
-    got = near_vectors.near_vectors(frame(rows, "vec_id long, embedding array<float>, label int"))
+    got = near_vectors.near_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
     assert sum(n.values()) > 10_000 and len(set(component.values())) > 500
     assert near_vectors.near_vectors(frame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -2,9 +2,10 @@
 
 Vectors are put to unit length; a cosine of at least t is a distance of at most
 r = sqrt(2 - 2t). Coarse centroids and the codebooks of the residuals are fitted on a bounded
-sample; every vector is indexed. A query probes each list whose border it is within r of, and
-in a list it keeps what the table lookup puts within r plus that vector's own quantisation
-error. Both tests are necessary for a true pair, so the exact cosine that follows sees them all.
+sample; every vector is indexed. Lists have two levels: coarse cells, each with fine cells of its
+own. A query probes each list whose border it is within r of, at both levels, and in a list it
+keeps what the table lookup puts within r plus that vector's own quantisation error. All these
+tests are necessary for a true pair, so the exact cosine that follows sees them all.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from .common import materialise, table
 from .graph import connected_components
 
 MIN_COSINE = 0.98
-#: Vectors that centroids and codebooks are fitted on, at most.
-SAMPLE = 20_000
-#: Vectors that a coarse list should hold, and lists in all, at most.
-LIST_SIZE, MAX_LISTS = 400, 1024
+#: Vectors that centroids and codebooks are fitted on: eight for each list, at least and at most.
+MIN_SAMPLE, SAMPLE = 20_000, 100_000
+#: Vectors that a list should hold. There are SAMPLE / 8 lists at most; what is beyond that makes lists longer.
+LIST_SIZE = 400
 SUBSPACES, CODES = 16, 64
 #: Rows of a list, and queries to it, that one task compares at a time.
 BLOCK = 4096
@@ -52,41 +53,77 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([_squares(x[i : i + 8192], centres).argmin(1) for i in range(0, len(x), 8192)] or [np.zeros(0, np.int64)])
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two, so that squares neither overflow nor vanish; cosines stay the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _gaps(centres: np.ndarray) -> np.ndarray:
+    gaps = np.sqrt(_squares(centres, centres))
+    return np.where(gaps > 0, gaps, np.inf)
+
+
+def _within(d: np.ndarray, gaps: np.ndarray, radius: float) -> np.ndarray:
+    """Which cells may hold a vector within ``radius`` of each row, given its squared distances to their centres.
+
+    A vector in another cell than the row's own lies beyond the plane halfway between the two
+    centres, so the distance to that plane bounds the distance to it.
+    """
+    own = d.argmin(1)
+    return (d - d[np.arange(len(d)), own][:, None]) / (2 * gaps[own]) <= radius + _EPS
+
+
 class Quantiser:
-    """Coarse centroids, and codebooks of the residuals' subspaces, for one dimension."""
+    """Coarse and fine centroids, and codebooks of the residuals' subspaces, for one dimension."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
         dim = sample.shape[1]
-        self.centres = _kmeans(sample, lists, 8, seed)
-        residuals = sample - self.centres[_nearest(sample, self.centres)]
+        self.coarse = _kmeans(sample, max(1, round(lists**0.5)), 8, seed)
+        cell = _nearest(sample, self.coarse)
+        each = -(-lists // len(self.coarse))
+        self.fine = [_kmeans(sample[cell == i], each, 8, seed + i) if (cell == i).any() else self.coarse[i : i + 1] for i in range(len(self.coarse))]
+        self.first = np.cumsum([0] + [len(f) for f in self.fine])
+        self.centres = np.concatenate(self.fine)
+        self.coarse_gaps, self.fine_gaps = _gaps(self.coarse), [_gaps(f) for f in self.fine]
+        residuals = sample - self.centres[self.lists(sample)]
         self.parts = np.array_split(np.arange(dim), min(SUBSPACES, dim))
         self.books = [_kmeans(residuals[:, p], CODES, 6, seed + 1 + i) for i, p in enumerate(self.parts)]
-        gaps = np.sqrt(_squares(self.centres, self.centres))
-        self.gaps = np.where(gaps > 0, gaps, np.inf)
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row: the nearest fine cell of the nearest coarse cell."""
+        cell, out = _nearest(x, self.coarse), np.zeros(len(x), np.int64)
+        for i in np.unique(cell):
+            mine = np.flatnonzero(cell == i)
+            out[mine] = self.first[i] + _nearest(x[mine], self.fine[i])
+        return out
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and quantisation error of each row."""
-        nearest = _nearest(x, self.centres)
-        residuals = x - self.centres[nearest]
+        lists = self.lists(x)
+        residuals = x - self.centres[lists]
         codes = np.stack([_nearest(residuals[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
-        return nearest, codes, np.sqrt(((residuals - self.decode(codes)) ** 2).sum(1))
+        return lists, codes, np.sqrt(((residuals - self.decode(codes)) ** 2).sum(1))
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """For each row, every list that may hold a vector within ``radius``.
-
-        A vector in another cell lies beyond the plane halfway between the two centres, so the
-        distance to that plane bounds the distance to it.
-        """
-        out = []
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of every list that may hold a vector within ``radius`` of a row."""
+        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(x), 4096):
-            d = _squares(x[i : i + 4096], self.centres)
-            own = d.argmin(1)
-            planes = (d - d[np.arange(len(d)), own][:, None]) / (2 * self.gaps[own])
-            out += [np.flatnonzero(row <= radius + _EPS) for row in planes]
-        return out
+            part = x[i : i + 4096]
+            cells = _within(_squares(part, self.coarse), self.coarse_gaps, radius)
+            for c in np.flatnonzero(cells.any(0)):
+                mine = np.flatnonzero(cells[:, c])
+                row, found = np.nonzero(_within(_squares(part[mine], self.fine[c]), self.fine_gaps[c], radius))
+                rows.append(mine[row] + i)
+                lists.append(found + self.first[c])
+        return np.concatenate(rows), np.concatenate(lists)
 
     def lookups(self, queries: np.ndarray, at: int) -> list[np.ndarray]:
         """Squared distances of the queries' residuals to list ``at`` to every code, by subspace."""
@@ -105,7 +142,7 @@ def _join_in_list(part: pd.DataFrame, quantiser: Quantiser, min_cosine: float, r
     rows, queries = part[~is_query], part[is_query]
     if rows.empty or queries.empty:
         return nothing
-    x, q = np.stack(rows["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
+    x, q = _scaled(np.stack(rows["vector"].to_numpy())), _scaled(np.stack(queries["vector"].to_numpy()))
     xn, qn = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     x_ids, q_ids, copies = rows["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
     codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["codes"]])
@@ -145,10 +182,9 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     or hold a null or non-finite component, and those without a label, link with nothing and
     are a component of their own. Equal vectors of a label are one class that is compared once
     and whose members all link with each other, so a group of copies costs no more than one
-    vector. Repeated rows are vectors of their own (also those with the same id). An empty table
-    gives an empty result; other columns are ignored.
+    vector. Repeated rows are vectors of their own (also those with the same id). Components of
+    any finite size are sound. An empty table gives an empty result; other columns are ignored.
     """
-    spark = vectors.sparkSession
     radius = float(np.sqrt(2 - 2 * min_cosine))
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
@@ -172,21 +208,20 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     )  # stored with numbers of our own, because different vectors may share a vec_id
     quantisers: dict[int, Quantiser] = {}
     for r in classes.groupBy("dim").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).collect():  # one row for each dimension
-        sample = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("least", "vector"), "least", "vector").select("vector").limit(SAMPLE).toPandas()
-        x = np.stack(sample["vector"].to_numpy())
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        quantisers[r["dim"]] = Quantiser(x, int(np.clip(r["n"] // (LIST_SIZE * r["labels"]), 1, MAX_LISTS)))
+        lists = int(np.clip(r["n"] // (LIST_SIZE * r["labels"]), 1, SAMPLE // 8))
+        sample = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("least", "vector"), "least", "vector").select("vector").limit(max(MIN_SAMPLE, 8 * lists)).toPandas()
+        quantisers[r["dim"]] = Quantiser(_unit(np.stack(sample["vector"].to_numpy())), lists)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 quantiser = quantisers[dim]
-                x = np.stack(part["vector"].to_numpy())
-                x = x / np.sqrt((x * x).sum(1))[:, None]
+                x = _unit(np.stack(part["vector"].to_numpy()))
                 lists, codes, errors = quantiser.encode(x)
                 yield part.assign(list=lists, is_query=False, codes=[c.tobytes() for c in codes], error=errors)[_NAMES]
-                probes = quantiser.probes(x, radius)
-                yield part.loc[part.index.repeat([len(p) for p in probes])].assign(list=np.concatenate(probes), is_query=True, codes=None, error=None)[_NAMES]
+                at, probed = quantiser.probes(x, radius)
+                for i in range(0, len(at), 20_000):
+                    yield part.iloc[at[i : i + 20_000]].assign(list=probed[i : i + 20_000], is_query=True, codes=None, error=None)[_NAMES]
 
     indexed = materialise(classes.mapInPandas(index, _INDEXED), "index")
     key = ["label", "dim", "list"]
