@@ -54,7 +54,7 @@ def test_names_keys_and_tags(spark):
     facts = spark.createDataFrame([("居住地", "居住地"), ("住在杭州市", "居住地"), ("居住地: 杭", "居住地"), (None, "k"), ("k", None)], "t string, k string")
     assert [r[0] for r in facts.select(tx.good_fact(F.col("t"), F.col("k"))).collect()] == [False, True, True, False, False]
     assert [r[0] for r in facts.select(tx.good_update(F.col("t"), F.col("k"))).collect()] == [False, True, False, False, False]
-    assert [value(spark, tx.is_binary, bytearray(b), "binary") for b in (b"a\x00", b"ab", b"\x10\x0f", b"")] == [True, False, False, False]
+    assert [value(spark, tx.is_binary, bytearray(b), "binary") for b in (b"a\x00", b"ab", b"\x10\x0f", b"", b"\xff\x00", b"x" * 8192 + b"\x00")] == [True, False, False, False, True, False]
 
 
 @pytest.mark.parametrize(("n", "starts"), [(0, []), (1, [0]), (200, [0]), (201, [0, 160]), (360, [0, 160]), (361, [0, 160, 320])])
@@ -64,6 +64,19 @@ def test_sliding_chunks(spark, n, starts):
     assert [r["start"] for r in got] == starts and all(r["content"] == text[r["start"] : r["start"] + 200] for r in got)
 
 
+def test_windows_of_a_long_text_take_time_in_proportion(spark):
+    import time
+
+    seconds = []
+    for n in (80_000, 80_000, 320_000):
+        docs = spark.createDataFrame([(1, "aé😀\n" * (n // 4))], "doc_id long, text string")
+        began = time.time()
+        got = chunk.sliding_chunks(docs).agg(F.sum(F.char_length("content"))).first()[0]
+        seconds.append(time.time() - began)
+        assert got == n + 40 * (n // 160 - 1)
+    assert seconds[2] < 12 * seconds[1] + 2
+
+
 def test_recursive_splitting():
     text = "\n\n".join(f"段落{i}。" + "内容" * 45 for i in range(6))
     parts = chunk.split_text(text, 200, 0)

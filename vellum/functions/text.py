@@ -16,7 +16,7 @@ OTHER_TAG = "其他"
 REFUSAL_MARKERS = ("无法回答", "没有相关", "不包含", "未提及", "无法确定", "无相关")
 ALLOWED_DOMAINS = ("example.com", "example.org", "example.net", "users.noreply.github.com", "localhost")
 
-#: Rules of the scan for personal data and secrets; "邮箱" has the allow-list above.
+# Fixed values too: rules of the scan for personal data and secrets; "邮箱" has the allow-list above.
 PRIVACY_RULES = {
     "手机号": r"(?<!\d)1[3-9]\d{9}(?!\d)",
     "邮箱": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}",
@@ -107,20 +107,24 @@ def render_rows(rows: Column) -> Column:
     """
     trimmed = F.transform(rows, lambda r: F.transform(r, lambda c: F.btrim(F.coalesce(c, F.lit("")))))
     full = F.filter(trimmed, lambda r: F.exists(r, lambda c: c != ""))
-    header = F.try_element_at(full, F.lit(1))
 
-    def line(row: Column) -> Column:
+    def line(header: Column, row: Column) -> Column:
         cells = F.transform(row, lambda c, i: F.struct(F.coalesce(F.get(header, i), F.lit("")).alias("h"), c.alias("c")))
         kept = F.filter(cells, lambda x: x["c"] != "")
         return F.array_join(F.transform(kept, lambda x: F.when(x["h"] != "", F.concat(x["h"], F.lit(": "), x["c"])).otherwise(x["c"])), "; ")
 
-    body = F.array_join(F.transform(F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0))), line), "\n")
-    return F.when(F.size(full) == 0, "").when(F.size(full) == 1, F.array_join(header, " | ")).otherwise(body)
+    def table(t: Column) -> Column:
+        header = F.try_element_at(t, F.lit(1))
+        body = F.array_join(F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda row: line(header, row)), "\n")
+        return F.when(F.size(t) == 0, "").when(F.size(t) == 1, F.array_join(header, " | ")).otherwise(body)
+
+    # inside a lambda the trimmed table is a value; outside it would be worked out anew for every row
+    return F.transform(F.array(full), table)[0]
 
 
 def is_binary(content: Column) -> Column:
     """A zero byte among the first 8,192."""
-    return F.locate("00", F.regexp_replace(F.hex(F.substring(content, 1, 8192)), "(..)", "$1 ")) > 0
+    return F.instr(F.decode(F.substring(content, 1, 8192), F.lit("ISO-8859-1")), F.lit("\0")) > 0
 
 
 def good_fact(text: Column, key: Column) -> Column:

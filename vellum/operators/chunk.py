@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 200, 40
 SEPARATORS = ("\n\n", "\n", "。", " ", "")
 
 
-def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Start offsets and contents of fixed windows of ``size`` characters that overlap; none for an empty text.
+def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id, chunk_index (from 0), start, content: windows of ``size`` characters that overlap; none for an empty or null text.
 
-    The text is taken apart once, so the cost grows with its length and not with its square.
+    The text is cut once into pieces of one step; a window is a piece and the beginning of the
+    next, so the cost grows with the length and not with its square. ``overlap`` is at most half
+    of ``size``. A last piece that the window before it holds whole begins no window.
     """
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    n, step = F.size(chars), size - overlap
-    last = F.greatest(F.ceil((n - overlap) / step).cast("int"), F.lit(1)) - 1
-    starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct((i * step).alias("start"), F.array_join(F.slice(chars, i * step + 1, size), "").alias("content")))
-
-
-def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, chunk_index (from 0), start, content."""
-    return docs.select("doc_id", F.posexplode(windows(F.col("text"), size, overlap)).alias("chunk_index", "w")).select("doc_id", "chunk_index", "w.start", "w.content")
+    step = size - overlap
+    if overlap > step:
+        raise ValueError("windows may overlap by half of their size at most")
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), 0).alias("pieces"))
+    n = F.size("pieces")
+    held = (n > 1) & (F.char_length(F.try_element_at("pieces", F.lit(-1))) <= overlap)
+    used = F.slice("pieces", F.lit(1), F.when(held, n - 1).otherwise(n))
+    following = lambda i: F.coalesce(F.left(F.get("pieces", i + 1), F.lit(overlap)), F.lit(""))
+    cut = pieces.where("size(pieces) > 0").select("doc_id", F.posexplode(F.transform(used, lambda x, i: F.concat(x, following(i)))).alias("chunk_index", "content"))
+    return cut.select("doc_id", "chunk_index", (F.col("chunk_index") * step).alias("start"), "content")
 
 
 def _pieces(text: str, separators: tuple[str, ...], size: int) -> list[str]:

@@ -87,10 +87,36 @@ def last_value(log: DataFrame, value: str, order: Column, labels: list[str]) ->
     return log.groupBy(*labels).agg(F.max_by(value, order).alias("last"))
 
 
+def expected(text: Column, any_of: Column, none_of: Column) -> Column:
+    """Whether a text holds any of ``any_of`` (or that is empty) and none of ``none_of``; the latter wins. A null text is empty."""
+    words = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    holds = lambda c: F.exists(words(c), lambda w: F.contains(F.coalesce(text, F.lit("")), w))
+    return ((F.size(words(any_of)) == 0) | holds(any_of)) & ~holds(none_of)
+
+
+def probe_verdicts(probes: DataFrame, answers: DataFrame, memories: DataFrame) -> DataFrame:
+    """``probes`` (step, kind, expect_any, expect_none, memory_any, memory_none) with ``passed``.
+
+    A probe of kind "check" is judged by the answer to its step (``answers``: step, text); if
+    that passes, by all that is stored then (``memories``: step, text). Other kinds pass.
+    """
+    stored = memories.groupBy("step").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("stored"))  # one user's memories
+    rows = probes.join(answers.select("step", F.col("text").alias("said")), "step", "left").join(stored, "step", "left")
+    good = expected(F.col("said"), F.col("expect_any"), F.col("expect_none")) & expected(F.col("stored"), F.col("memory_any"), F.col("memory_none"))
+    return rows.withColumn("passed", (F.col("kind") != "check") | good).drop("said", "stored")
+
+
+def growth(counts: DataFrame) -> DataFrame:
+    """step, memories_before, memories_after of ordered counts (user, step, memories): what a step began with and left."""
+    w = Window.partitionBy("user").orderBy("step")
+    return counts.select("user", "step", F.coalesce(F.lag("memories").over(w), F.lit(0)).alias("memories_before"), F.col("memories").alias("memories_after"))
+
+
 def probe_rates(results: DataFrame) -> DataFrame:
-    """dimension, n, rate of probes passed; and false memories: steps that should store nothing and did."""
+    """dimension, n, rate over the probes (kind "check"), null if none was judged; and the share of steps that should store nothing (kind "no_memory") and did."""
+    check = F.col("kind") == "check"
     return results.groupBy("dimension").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(F.col("passed").cast("double")), 6).alias("rate"),
+        F.count_if(check).alias("n"),
+        F.round(F.avg(F.when(check, F.col("passed").cast("double"))), 6).alias("rate"),
         F.round(F.avg(F.when(F.col("kind") == "no_memory", (F.col("memories_after") > F.col("memories_before")).cast("double"))), 6).alias("false_memory_rate"),
     )

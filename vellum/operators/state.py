@@ -33,8 +33,8 @@ def rate_limit(calls: DataFrame, capacity: int, us_per_token: int, daily_quota:
         return (tokens - us_per_token, us, today, used + 1), (event_id, key, True, None, daily_quota - used - 1)
 
     rows = calls.select("event_id", "key", "us")
-    out = keyed_fold(rows, "key", ["us", "event_id"], lambda: None, step, "event_id long, key long, allowed boolean, retry_after double, remaining double")
-    return out.select("event_id", "key", "allowed", F.col("retry_after").cast("long").alias("retry_after"), F.col("remaining").cast("long").alias("remaining"))
+    kind = dict(rows.dtypes)["key"].replace("bigint", "long")
+    return keyed_fold(rows, "key", ["us", "event_id"], lambda: None, step, f"event_id long, key {kind}, allowed boolean, retry_after long, remaining long")
 
 
 def cache_hits(lookups: DataFrame, ttl_us: int) -> DataFrame:

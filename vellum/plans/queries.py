@@ -377,24 +377,31 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.sessions(read(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts")
 
 
-_CALLS = "e AS (SELECT event_id, user_id AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+_KEY = "CASE WHEN user_id % 10 = 9 THEN NULL WHEN user_id % 10 = 8 THEN 9007199254740992 + user_id // 10 % 3 ELSE user_id END"
+_CALLS = f"""
+calls AS (SELECT event_id, {_KEY} AS key, epoch_us(ts) AS us FROM events),
+e AS (SELECT event_id, key, coalesce(key, -1) AS k, us, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS n FROM calls)
+"""
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    """Calls of users, some of whom have no key, and some neighbouring keys beyond 2 ** 53."""
+    user = F.col("user_id")
+    key = F.when(user % 10 == 9, None).when(user % 10 == 8, F.lit(2**53) + F.floor(user / 10) % 3).otherwise(user)
+    return read(spark, sf_dir, "events").select("event_id", key.cast("long").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 @query(f"""
 WITH RECURSIVE {_CALLS},
-r(key, n, event_id, tokens, us, day, used, verdict, retry) AS (
-  SELECT key, n, event_id, 2 * 21600000000, us, us // 86400000000, 1, 'ok', NULL::BIGINT FROM e WHERE n = 1
+r(key, k, n, event_id, tokens, us, day, used, verdict, retry) AS (
+  SELECT key, k, n, event_id, 2 * 21600000000, us, us // 86400000000, 1, 'ok', NULL::BIGINT FROM e WHERE n = 1
   UNION ALL
-  SELECT key, n, event_id, CASE WHEN verdict = 'ok' THEN t - 21600000000 ELSE t END, us, us // 86400000000, CASE WHEN verdict = 'ok' THEN u + 1 ELSE u END, verdict,
+  SELECT key, k, n, event_id, CASE WHEN verdict = 'ok' THEN t - 21600000000 ELSE t END, us, us // 86400000000, CASE WHEN verdict = 'ok' THEN u + 1 ELSE u END, verdict,
          CASE WHEN verdict = 'rate' THEN greatest(1, CAST(ceil((21600000000 - t) / 1000000) AS BIGINT))
               WHEN verdict = 'quota' THEN greatest(1, CAST(ceil(((us // 86400000000 + 1) * 86400000000 - us) / 1000000) AS BIGINT)) END
   FROM (SELECT *, CASE WHEN t < 21600000000 THEN 'rate' WHEN u >= 2 THEN 'quota' ELSE 'ok' END AS verdict
-        FROM (SELECT e.key, e.n, e.event_id, e.us, least(3 * 21600000000, r.tokens + e.us - r.us) AS t, CASE WHEN r.day = e.us // 86400000000 THEN r.used ELSE 0 END AS u
-              FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+        FROM (SELECT e.key, e.k, e.n, e.event_id, e.us, least(3 * 21600000000, r.tokens + e.us - r.us) AS t, CASE WHEN r.day = e.us // 86400000000 THEN r.used ELSE 0 END AS u
+              FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
 )
 SELECT event_id, key, verdict = 'ok' AS allowed, retry AS retry_after, CASE verdict WHEN 'ok' THEN 2 - used WHEN 'quota' THEN 0 END AS remaining FROM r
 """)
@@ -486,35 +493,43 @@ def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MEMORY = """
-turns AS (SELECT 't' || (conv_id % 4) AS tenant, 'u' || (conv_id % 9) AS "user", conv_id * 1000 + turn AS seq, 'slot' || (turn % 5) AS key, text, round((conv_id % 10) / 10.0, 6) AS importance, conv_id, turn FROM conversations WHERE role = 'user'),
+turns AS (
+  SELECT 't' || (conv_id % 4) AS tenant, 'u' || (conv_id % 9) AS "user", conv_id * 1000 + turn AS seq,
+         CASE WHEN (conv_id + turn) % 7 = 5 THEN '' WHEN (conv_id + turn) % 7 = 4 THEN NULL ELSE 'slot' || (turn % 5) END AS key, text, round((conv_id % 10) / 10.0, 6) AS importance, conv_id, turn
+  FROM conversations WHERE role = 'user'
+),
 stored AS (
   SELECT tenant, "user", 'm' || min(seq) AS memory_id, key, arg_min(text, seq) AS text, arg_min(importance, seq) AS importance,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(min(seq) % 300 AS INTEGER)) AS updated_at
   FROM turns WHERE turn < 2 GROUP BY tenant, "user", key
 ),
 facts AS (SELECT * FROM turns WHERE turn >= 2 AND length(trim(text)) >= 5),
-newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, "user", key ORDER BY seq DESC) AS n FROM facts) WHERE n = 1),
+newest AS (SELECT *, row_number() OVER (PARTITION BY tenant, "user", key ORDER BY seq DESC) AS n FROM facts WHERE key <> ''),
 ops AS (
   SELECT n.tenant, n."user", n.key, n.seq, n.text, n.importance, s.memory_id AS target_id, CASE WHEN s.memory_id IS NULL THEN 'ADD' WHEN s.text = n.text THEN 'NOOP' ELSE 'UPDATE' END AS op
-  FROM newest n LEFT JOIN stored s ON s.tenant = n.tenant AND s."user" = n."user" AND s.key = n.key
+  FROM newest n LEFT JOIN stored s ON s.tenant = n.tenant AND s."user" = n."user" AND s.key = n.key WHERE n.n = 1
+  UNION ALL
+  SELECT tenant, "user", key, seq, text, importance, NULL, 'ADD' FROM facts WHERE key IS NULL OR key = ''
 ),
 merged AS (
   SELECT s.tenant, s."user", s.memory_id, s.key, coalesce(o.text, s.text) AS text, coalesce(o.importance, s.importance) AS importance,
          CASE WHEN o.op IS NULL THEN s.updated_at ELSE TIMESTAMP '2024-12-01 00:00:00' END AS updated_at
   FROM stored s LEFT JOIN (SELECT * FROM ops WHERE op = 'UPDATE') o ON o.target_id = s.memory_id AND o.tenant = s.tenant AND o."user" = s."user"
   UNION ALL
-  SELECT tenant, "user", substr(md5(tenant || '|' || "user" || '|' || key || '|' || text), 1, 16), key, text, importance, TIMESTAMP '2024-12-01 00:00:00' FROM ops WHERE op = 'ADD'
+  SELECT tenant, "user", substr(md5(tenant || '|' || "user" || '|' || coalesce(key, '') || '|' || text || '|' || seq), 1, 16), key, text, importance, TIMESTAMP '2024-12-01 00:00:00' FROM ops WHERE op = 'ADD'
 )
 """
 _NOW = "2024-12-01 00:00:00"
 
 
 def _memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stored memories from the first turns of the conversations, and facts from the later ones."""
+    """Stored memories from the first turns of the conversations, and facts from the later ones; some of both without a slot."""
     turns = read(spark, sf_dir, "conversations").where("role = 'user'")
+    kind = (F.col("conv_id") + F.col("turn")) % 7
+    key = F.when(kind == 5, "").when(kind != 4, F.concat(F.lit("slot"), F.col("turn") % 5))
     turns = turns.select(
         F.concat(F.lit("t"), F.col("conv_id") % 4).alias("tenant"), F.concat(F.lit("u"), F.col("conv_id") % 9).alias("user"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
-        F.concat(F.lit("slot"), F.col("turn") % 5).alias("key"), "text", F.round((F.col("conv_id") % 10) / 10, 6).alias("importance"), "turn",
+        key.alias("key"), "text", F.round((F.col("conv_id") % 10) / 10, 6).alias("importance"), "turn",
     )
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.min("seq") % 300).cast("int")).cast("timestamp")
     stored = turns.where("turn < 2").groupBy("tenant", "user", "key").agg(

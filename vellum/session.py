@@ -30,9 +30,9 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
-def session(app: str = "vellum", **conf: str) -> SparkSession:
-    """UTC and adaptive execution; everything else is the cluster's, or given in ``conf`` (``a_b`` for ``a.b``)."""
+def session(app: str = "vellum", conf: dict[str, str] | None = None) -> SparkSession:
+    """UTC and adaptive execution; everything else is the cluster's, or given in ``conf`` by the settings' own names."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    for k, v in conf.items():
-        builder = builder.config(k.replace("_", "."), v)
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     return builder.getOrCreate()
