@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
-from vellum.plans import queries as plans
+from vellum.plans import all as plans
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -43,4 +43,4 @@ def test_query_equals_sql(spark, tables, name):
 def test_entry_and_names(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert plans.recursive_chunks(spark, SF_DIR).count() > 0
+    assert plans.QUERIES["recursive_chunks"](spark, SF_DIR).count() > 0

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.operators import evaluate, maintain, memory, retrieval
@@ -86,3 +89,48 @@ def test_memories_of_others_are_not_touched(spark):
     assert got == {"m1": ("lives in Bern", 0.5, "city"), "m2": ("lives in Oslo", 0.5, "city")}
     six = spark.createDataFrame([("t", "u", f"m{i}", i / 10, None) for i in range(6)], "tenant string, user string, memory_id string, importance double, updated_at timestamp")
     assert sorted(r["importance"] for r in memory.capped(six, 3).collect()) == [0.3, 0.4, 0.5]
+
+
+def test_a_fact_without_a_slot_matches_nothing(spark):
+    stored = spark.createDataFrame([("t", "u", "m1", "", "has no slot", 0.5, None), ("t", "u", "m2", None, "has none either", 0.5, None), ("t", "u", "m3", "city", "lives in Rome", 0.5, None)], "tenant string, user string, memory_id string, key string, text string, importance double, updated_at timestamp")
+    facts = spark.createDataFrame([("t", "u", i, k, f"a fact {i}", 0.5) for i, k in enumerate(["", "", None, None, "city", "city"])], "tenant string, user string, seq int, key string, text string, importance double")
+    ops = memory.operations(facts, stored)
+    assert sorted((r["seq"], r["op"], r["target_id"]) for r in ops.collect()) == [(0, "ADD", None), (1, "ADD", None), (2, "ADD", None), (3, "ADD", None), (5, "UPDATE", "m3")]
+    merged = {r["memory_id"]: r["text"] for r in memory.merge(stored, ops, F.current_timestamp()).collect()}
+    assert len(merged) == 7 and merged["m1"] == "has no slot" and merged["m2"] == "has none either" and merged["m3"] == "a fact 5"
+    assert memory.merge(stored, memory.operations(facts.limit(0), stored), F.current_timestamp()).count() == 3
+
+
+def test_expectations(spark):
+    rows = [("the cat", ["cat", "dog"], [], True), ("the cat", ["dog"], [], False), ("the cat", ["cat"], ["the"], False), ("", [], [], True), (None, None, ["x"], True), (None, ["x"], None, False)]
+    got = spark.createDataFrame([r[:3] for r in rows], "t string, a array<string>, n array<string>").select(evaluate.expected(F.col("t"), F.col("a"), F.col("n"))).collect()
+    assert [r[0] for r in got] == [r[3] for r in rows]
+
+
+def test_bm25_in_batches_equals_the_whole_ranking(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdé日x😀") for _ in range(rng.randint(1, 4)))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(900, None), (901, "a"), (902, "")], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 5)))) for i in range(30)] + [(77, "a"), (78, None)], "query_id long, text string")
+    want = sorted(map(tuple, retrieval.top(retrieval.bm25(docs, asked), "query_id", [F.desc("score"), F.asc("doc_id")], 7).select("query_id", "doc_id", "score", "rank").collect()))
+    for size in (2_000_000, 40):
+        monkeypatch.setattr(retrieval, "BATCH_TOKENS", size)
+        assert sorted(map(tuple, retrieval.bm25_top(docs, asked, 7).select("query_id", "doc_id", "score", "rank").collect())) == want
+    assert retrieval.bm25_top(docs.limit(0), asked, 3).count() == retrieval.bm25_top(docs, asked.limit(0), 3).count() == 0
+
+
+def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, f"t{i % 3}" if i % 11 else None, [float(x) for x in rng.normal(size=4 if i % 7 else 3)]) for i in range(200)]
+    rows += [(500, "t1", [0.0] * 4), (501, "t1", None), (502, "t1", []), (503, "t1", rows[1][2]), (504, "t1", rows[1][2])]
+    vectors = spark.createDataFrame(rows, "id long, tenant string, vector array<double>")
+    queries = vectors.where("id % 10 < 3 or id > 499").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 13)
+    got = sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in retrieval.nearest(vectors, queries, 5).collect())
+    want = []
+    for q, tenant, v in rows:
+        if (q % 10 < 3 or q > 499) and v and any(v) and tenant:
+            near = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 6), i) for i, t, w in rows if t == tenant and w and len(w) == len(v) and any(w))
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near[:5])]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    assert retrieval.nearest(vectors.limit(0), queries, 3).count() == 0

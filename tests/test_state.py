@@ -3,7 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from vellum.operators import state
+from vellum.operators import answering, maintain, state
 from vellum.sources import files, logs
 from vellum.streaming import state as streams
 
@@ -64,6 +64,44 @@ def test_stream_decides_as_the_batch_does(spark):
     assert got == _by_hand(calls, 3, 900_000_000, 40)
 
 
+def test_only_real_answers_are_written_back(spark, tmp_path):
+    rows = [(1, "rag_qa", "ok", "a"), (2, "degraded", "ok", "b"), (3, "rag_qa", "error", "c"), (4, "rag_qa", None, "d"), (5, None, "timeout", "e")]
+    frame = spark.createDataFrame(rows, "answer_id long, intent string, outcome string, text string")
+    for i in range(2):
+        frame.where(F.col("answer_id") % 2 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+        query = streams.write_back(stream, lambda x: x.select("answer_id", "text"), f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert sorted(r["answer_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 4]
+
+
+def test_manifests_are_saved_and_loaded(spark, tmp_path):
+    contract = {"schema_version": 2, "chunk_size": 200, "chunk_overlap": 40}
+    where = f"{tmp_path}/manifest"
+    assert maintain.load_manifest(spark, where) is None
+    for chunks in (3, 5):
+        maintain.save_manifest(spark.createDataFrame([("a", "x", chunks), ("b", "y", 1)], "doc_id string, sha1 string, chunks int"), contract, where)
+    docs, found = maintain.load_manifest(spark, where)
+    assert found == contract and sorted(map(tuple, docs.collect())) == [("a", "x", 5), ("b", "y", 1)]
+    assert tuple(maintain.total_chunks(docs).first()) == (2, 6) and tuple(maintain.total_chunks(docs.limit(0)).first()) == (0, 0)
+    after = spark.createDataFrame([("b", "z"), ("c", "w")], "doc_id string, sha1 string")
+    assert [tuple(r) for r in maintain.to_rebuild_and_remove(maintain.diff(docs, after)).collect()] == [("b", "rebuild"), ("c", "rebuild"), ("a", "remove")]
+    (tmp_path / "other").mkdir()
+    assert maintain.load_manifest(spark, f"{tmp_path}/other") is None
+    gone = spark.createDataFrame([("t", "a"), ("t", "q")], "tenant string, doc_id string")
+    stored = spark.createDataFrame([("t", "a"), ("t", "a"), ("u", "a")], "tenant string, doc_id string")
+    assert sorted(map(tuple, maintain.removed(stored, gone, ["tenant", "doc_id"]).collect())) == [("t", "a", 2), ("t", "q", 0)]
+
+
+def test_models_come_in_batches(spark):
+    texts = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
+    assert {r["id"]: r["vector"] for r in answering.embedded(texts, "id", lambda batch: [[len(t), 1] for t in batch]).collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+    pairs = spark.createDataFrame([(1, 0, "x"), (1, 1, "yy")], "query_id long, idx int, text string")
+    got = answering.scored(pairs, lambda batch: [0.5 if t == "x" else "bad" for t in batch["text"]]).collect()
+    assert {r["idx"]: r["relevance"] for r in got} == {0: 0.5, 1: None}
+
+
 def test_cache_ages_from_the_write(spark):
     rows = [(i, "k", us) for i, us in enumerate([0, 100, 300, 301, 500, 700])]
     got = {r["event_id"]: r["hit"] for r in state.cache_hits(spark.createDataFrame(rows, "event_id long, key string, us long"), 300).collect()}
@@ -78,11 +116,37 @@ def test_files_become_rows_or_errors(spark):
     got = {r["path"]: r for r in files.extract(spark.createDataFrame(rows, "path string, content binary"), max_bytes=50, max_chars=5).collect()}
     assert [got[f"/a/{p}"]["encoding"] for p in ("u.txt", "g.TXT", "b.md", "w.log")] == ["utf-8", "gb18030", "utf-8-sig", "utf-16"]
     assert got["/a/u.txt"]["text"] == "理赔流程" == got["/a/g.TXT"]["text"] and got["/a/t.csv"]["text"] == "k: 1;" and got["/a/t.csv"]["truncated"]
-    assert [got[f"/a/{p}"]["error"] for p in ("x.exe", "e.txt", "s.txt", "big.txt", "none.pdf")] == ["unsupported format: .exe", "empty file", "no text", "file too large", "no text"]
+    assert [got[f"/a/{p}"]["error"] for p in ("x.exe", "e.txt", "s.txt", "big.txt")] == ["unsupported format: .exe", "empty file", "no text", "file too large"]
+    assert "Error" in got["/a/none.pdf"]["error"]  # the parser is missing, or can't read it
     assert (got["/a/l.txt"]["chars_raw"], got["/a/l.txt"]["chars"], got["/a/l.txt"]["truncated"]) == (8, 5, True)
     assert files.formats(spark).count() == 10
 
 
+def test_parsers_can_be_added_and_tables_keep_their_headers(spark):
+    def _sheets(raw):
+        if raw == b"broken":
+            raise ValueError("no sheets")
+        return [("First:\n", [["k", "v"], ["", " "], ["1", "x"]]), ("Blank:\n", [["", " "]]), ("", "a paragraph"), ("Header:\n", [["a", "", "b"]])]
+
+    parsers = {".sheet": files.Parser(_sheets, "\n\n")}
+    rows = [("/a/b.sheet", b"x"), ("/a/c.sheet", b"broken"), ("/a/d.pdf", b"x"), ("/a/理赔.txt", b"ok")]
+    found = files.extract(spark.createDataFrame(rows, "path string, content binary"), parsers=parsers)
+    got = {r["path"]: r for r in found.collect()}
+    assert got["/a/b.sheet"]["text"] == "First:\nk: 1; v: x\n\na paragraph\n\nHeader:\na | | b" and got["/a/b.sheet"]["encoding"] is None
+    assert got["/a/c.sheet"]["error"] == "ValueError: no sheets" and got["/a/d.pdf"]["error"] == "unsupported format: .pdf"
+    assert files.formats(spark, parsers).count() == 7
+    stored = {r["title"]: r["doc_id"] for r in files.uploads(found).collect()}
+    assert stored["b"] == "b" and stored["理赔"].startswith("doc_")
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name, raw in (("a.txt", b"hello"), ("deep/b.csv", b"k,v\n1,2\n"), (".hidden.txt", b"no"), ("none", b"no suffix")):
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.extract(files.files(spark, str(tmp_path))).collect()}
+    assert got == {"a.txt": "hello", "b.csv": "k: 1; v: 2"}
+
+
 def test_logs_skip_what_they_cannot_read(spark):
     where = tempfile.mkdtemp(prefix="spark-log-", dir="/tmp")
     rows = spark.createDataFrame([(i, f"q{i}") for i in range(5)], "ts long, question string")

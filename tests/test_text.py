@@ -95,3 +95,24 @@ def test_privacy_scan_is_masked(spark):
     strict = {(r["line"], r["rule"]) for r in privacy.scan(files, strict=True).collect()}
     assert {(4, "邮箱"), (6, "邮箱")} <= strict
     assert privacy.summary(hits).where("rule = '手机号'").first()["n"] == 1
+
+
+def test_scans_of_files_messages_histories_and_identities(spark):
+    phone, mail = "138" + "00138000", "someone@corp.example"
+    raw = spark.createDataFrame([("a/Resume.txt", b"x"), ("b.bin", f"\0{phone}".encode()), ("c.txt", f"\xff {phone}".encode("latin-1")), ("简历.md", b"\0")], "path string, content binary")
+    assert {(r["path"], r["line"], r["rule"]) for r in privacy.scan_files(raw).collect()} == {("a/Resume.txt", 0, tx.PRIVATE_NAME_RULE), ("简历.md", 0, tx.PRIVATE_NAME_RULE), ("c.txt", 1, "手机号")}
+    message = spark.createDataFrame([("m", f"fix\n  # {mail}\nby {mail}")], "path string, text string")
+    assert [(r["line"], r["rule"]) for r in privacy.scan_messages(message).collect()] == [(3, "邮箱")]
+    diff = f"fix {phone}\n+++ b/x/y.py\n+@app.get\n-call {phone}\n+++ b/{mail}\n unchanged"
+    found = privacy.scan_history(spark.createDataFrame([("abc1234", diff)], "path string, text string")).collect()
+    assert {(r["path"], r["line"], r["rule"]) for r in found} == {("abc1234:(commit message)", 1, "手机号"), ("abc1234:x/y.py", 4, "手机号")}
+    people = spark.createDataFrame([(f"A <{mail}>",), (f"B {phone}",), ("c <C@x.org>",)], "identity string")
+    assert {(r["identity"], r["rule"]) for r in privacy.identity_hits(people).collect()} == {(f"B {phone}", "身份含手机号")}
+    allowed = spark.createDataFrame([(f"a <{mail}>",), (" C <c@X.org>",)], "identity string")
+    assert {r["identity"] for r in privacy.identity_hits(people, allowed).collect()} == {f"B {phone}"}
+    assert privacy.identity_hits(people, allowed.limit(0)).count() == 1
+
+
+def test_route_labels(spark):
+    for url, want in (("http://h:80/chat/12/x?q=1", "/chat/{id}/x"), ("/a/b#c", "/a/b"), ("https://h", "/"), ("", "/")):
+        assert value(spark, tx.route_label, url) == want

@@ -25,6 +25,10 @@ PRIVACY_RULES = {
     "密钥样式": r"sk-[A-Za-z0-9_-]{20,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 EMAIL_RULE = "邮箱"
+#: Rules that don't fit identities, which hold an address; names of files with personal papers, and what a hit is called.
+IDENTITY_EXEMPT = ("邮箱", "密钥样式")
+PRIVATE_NAMES = "简历|resume|证件|身份证"
+PRIVATE_NAME_RULE = "私密文件名(个人材料类)"
 #: Rules of our own for shapes that those leave out.
 MORE_RULES = {"card": r"(?<!\d)\d{16}(?!\d)", "token": r'token = "[0-9a-f]{16,}"'}
 
@@ -124,7 +128,7 @@ def render_rows(rows: Column) -> Column:
 
 def is_binary(content: Column) -> Column:
     """A zero byte among the first 8,192."""
-    return F.instr(F.decode(F.substring(content, 1, 8192), F.lit("ISO-8859-1")), F.lit("\0")) > 0
+    return F.instr(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), F.lit("\0")) > 0
 
 
 def good_fact(text: Column, key: Column) -> Column:
@@ -140,6 +144,13 @@ def good_update(text: Column, key: Column) -> Column:
     return good_fact(text, key) & ~bare_value
 
 
+def route_label(url: Column) -> Column:
+    """A path of few forms for metrics: without host, query and fragment, and with {id} for segments that hold a digit."""
+    path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    label = F.regexp_replace(path, r"[^/]*[0-9][^/]*", "{id}")
+    return F.when(label == "", "/").otherwise(label)
+
+
 def prompt_line(role: Column, text: Column) -> Column:
     return F.concat(F.when(role == "user", F.lit("用户: ")).otherwise(F.lit("助手: ")), text)
 

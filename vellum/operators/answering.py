@@ -5,12 +5,14 @@ Models are columns or functions that the caller gives; each has a plain rule as
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams
+from ..functions.text import REFUSAL_MARKERS, bigrams
 from .retrieval import best_per_chunk, top
 
 
@@ -62,9 +64,70 @@ def assembled(parts: DataFrame) -> DataFrame:
     return parts.groupBy("answer_id").agg(F.array_join(deltas, "").alias("answer"), F.coalesce(F.bool_or(F.col("kind") == "done"), F.lit(False)).alias("complete"))
 
 
+def _bucket(dimensions: int) -> Column:
+    return F.conv(F.substring(F.md5(F.col("tok").cast("binary")), 1, 6), 16, 10).cast("long") % dimensions
+
+
+def hashed_vectors(texts: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
+    """key, vector: the default embedding of (key, text) as an array; null for texts without bigrams. Other embeddings come as such a table."""
+    tokens = texts.select(key, F.explode_outer(bigrams(F.col("text"))).alias("tok")).select(key, F.when(F.col("tok").isNotNull(), _bucket(dimensions)).alias("bucket"))
+    counts = tokens.groupBy(key).agg(F.array(*[F.count_if(F.col("bucket") == i).cast("double") for i in range(dimensions)]).alias("n"))
+    norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x))
+    return counts.withColumn("norm", norm).select(key, F.when(F.col("norm") > 0, F.transform("n", lambda x: x / F.col("norm"))).alias("vector"))
+
+
+def embedded(texts: DataFrame, key: str, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """key, vector of (key, text) by a model: ``embed`` gets a batch of texts inside a task and gives a row of numbers for each."""
+
+    @F.pandas_udf("array<double>")
+    def apply(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(embed(batch.fillna("").tolist()), float)))
+
+    return texts.select(key, apply("text").alias("vector"))
+
+
+def scored(pairs: DataFrame, score: Callable[[pd.DataFrame], list[float]]) -> DataFrame:
+    """``pairs`` with ``relevance`` by a model, batch by batch inside tasks; a score that isn't a number is null."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(relevance=pd.to_numeric(pd.Series(score(batch), index=batch.index), errors="coerce"))
+
+    return pairs.mapInPandas(run, schema + ", relevance double").withColumn("relevance", F.nanvl("relevance", F.lit(None).cast("double")))
+
+
+def extractive_answer(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, answer: the plain default for a model's answer: the text of the first hit, or a refusal where there is none."""
+    first = hits.where("rank = 1").select("query_id", "content")
+    return queries.select("query_id").join(first, "query_id", "left").select("query_id", F.coalesce("content", F.lit(REFUSAL_MARKERS[0])).alias("answer"))
+
+
+def chat_events(answers: DataFrame) -> DataFrame:
+    """answer_id, seq, kind, text: what a client is sent for each answer.
+
+    ``answers``: answer_id, memory, intent, deltas (array), sources, outcome. Memory comes first
+    where there is any, then intent and the deltas. A finished answer ends with sources and
+    done; one whose ``outcome`` is "error" or "timeout" ends with that, after what it had said.
+    """
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    finished = F.coalesce(F.col("outcome"), F.lit("ok")) == "ok"
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    head = F.when(F.coalesce("memory", F.lit("")) != "", F.array(event("memory", F.col("memory")))).otherwise(none)
+    deltas = F.transform(F.coalesce("deltas", F.array().cast("array<string>")), lambda d: event("delta", d))
+    last = F.array(F.struct(F.col("outcome").alias("kind"), F.lit(None).cast("string").alias("text")))
+    tail = F.when(finished, F.array(event("sources", F.col("sources")), event("done", F.lit(None).cast("string")))).otherwise(last)
+    return answers.select("answer_id", F.posexplode(F.concat(head, F.array(event("intent", F.col("intent"))), deltas, tail)).alias("seq", "e")).select("answer_id", "seq", "e.kind", "e.text")
+
+
+def worth_remembering(answers: DataFrame) -> DataFrame:
+    """The answers that memories may be made of and that may be cached: finished ones that aren't stand-ins for a model that failed."""
+    return answers.where((F.coalesce(F.col("outcome"), F.lit("ok")) == "ok") & (F.coalesce(F.col("intent"), F.lit("")) != "degraded"))
+
+
 def hashed_features(docs: DataFrame, dimensions: int = 64) -> DataFrame:
     """doc_id, bucket, weight: the default embedding, sparse. Bigrams are hashed to buckets; weights have unit length."""
-    bucket = F.conv(F.substring(F.md5(F.col("tok").cast("binary")), 1, 6), 16, 10).cast("long") % dimensions
+    bucket = _bucket(dimensions)
     tokens = docs.select("doc_id", F.explode_outer(bigrams(F.col("text"))).alias("tok")).where("tok is not null")
     counted = tokens.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     norms = counted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,25 @@ def growth(counts: DataFrame) -> DataFrame:
     return counts.select("user", "step", F.coalesce(F.lag("memories").over(w), F.lit(0)).alias("memories_before"), F.col("memories").alias("memories_after"))
 
 
+def sizes(tables: dict[str, tuple[DataFrame, str | None, str | None]]) -> DataFrame:
+    """name, owner, n: how many rows, or distinct keys, each table holds, by owner where it has one.
+
+    ``tables``: by name a table, its owner's column and its key's column, either of which may be None.
+    """
+    parts = []
+    for name, (df, owner, key) in tables.items():
+        n = F.count_distinct(key) if key else F.count("*")
+        whose = F.col(owner).cast("string") if owner else F.lit(None).cast("string")
+        parts.append(df.groupBy(whose.alias("owner")).agg(n.alias("n")).select(F.lit(name).alias("name"), "owner", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def metrics(tables: dict[str, tuple[DataFrame, list[str], str]]) -> DataFrame:
+    """metric, labels, value: tables of counts and values (by name: table, label columns, value column) as one."""
+    line = lambda labels: F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in labels])
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("metric"), line(labels).alias("labels"), F.col(value).cast("double").alias("value")) for name, (df, labels, value) in tables.items()])
+
+
 def probe_rates(results: DataFrame) -> DataFrame:
     """dimension, n, rate over the probes (kind "check"), null if none was judged; and the share of steps that should store nothing (kind "no_memory") and did."""
     check = F.col("kind") == "check"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 2
+CONTRACT = ("schema_version", "chunk_size", "chunk_overlap")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -23,7 +25,40 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def same_contract(a: dict, b: dict | None) -> bool:
     """Whether an index can be kept: equal schema version, chunk size and overlap."""
-    return b is not None and all(a.get(k) == b.get(k) for k in ("schema_version", "chunk_size", "chunk_overlap"))
+    return b is not None and all(a.get(k) == b.get(k) for k in CONTRACT)
+
+
+def save_manifest(docs: DataFrame, contract: dict, path: str) -> None:
+    """Write a manifest (doc_id, sha1, chunks) with its contract and a time, as the newest version below ``path``.
+
+    A version is complete when its job has committed, so a reader never sees half of one, and
+    the versions before it stay.
+    """
+    fields = [F.lit(contract[k]).cast("int").alias(k) for k in CONTRACT]
+    docs.select("doc_id", "sha1", "chunks", *fields, F.current_timestamp().alias("saved_at")).write.mode("append").parquet(path)
+
+
+def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:
+    """The newest manifest below ``path`` and its contract; None where there is none that can be read, and all has to be rebuilt."""
+    try:
+        every = spark.read.parquet(path)
+        last = every.agg(F.max("saved_at").alias("at")).first()["at"]
+    except AnalysisException:
+        return None
+    if last is None or not {*CONTRACT, "doc_id", "sha1", "chunks"} <= set(every.columns):
+        return None
+    newest = every.where(F.col("saved_at") == F.lit(last))
+    return newest.select("doc_id", "sha1", "chunks"), newest.select(*CONTRACT).first().asDict()
+
+
+def total_chunks(docs: DataFrame) -> DataFrame:
+    """One row: documents and chunks of a manifest."""
+    return docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+
+
+def versions(writes: DataFrame) -> DataFrame:
+    """``writes`` (tenant, seq) with ``kb_version``: how many writes a tenant's documents have seen, this one included."""
+    return writes.withColumn("kb_version", F.row_number().over(Window.partitionBy("tenant").orderBy("seq")))
 
 
 def plan(before: DataFrame, after: DataFrame, rebuild: bool, failed: Column | None = None) -> DataFrame:
@@ -53,6 +88,18 @@ def delete(stored: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return stored.join(gone.select(*key).distinct(), key, "left_anti")
 
 
+def removed(stored: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, n: how many rows :func:`delete` takes away for each key in ``gone``; 0 where there is none."""
+    keys = gone.select(*key).distinct()
+    return keys.join(stored.groupBy(*key).agg(F.count("*").alias("found")), key, "left").select(*key, F.coalesce("found", F.lit(0)).alias("n"))
+
+
+def to_rebuild_and_remove(found: DataFrame) -> DataFrame:
+    """doc_id, action of a :func:`diff`, sorted: what has to be built again, and what goes."""
+    action = F.when(F.col("change") == "removed", "remove").when(F.col("change") != "same", "rebuild")
+    return found.select("doc_id", action.alias("action")).where("action is not null").orderBy("action", "doc_id")
+
+
 def visible(docs: DataFrame, tenant: str, shared: str | None = None) -> DataFrame:
     """Rows of a tenant and of the shared one; a predicate that reaches the scan."""
     return docs.where(F.col("tenant").isin(tenant, shared) if shared else F.col("tenant") == tenant)

@@ -65,6 +65,13 @@ def least_recently_used(touches: DataFrame, key: str, ts: str, keep: int) -> Dat
     return touches.groupBy(key).agg(F.max(ts).alias("last_access")).orderBy(F.desc("last_access"), key).limit(keep)
 
 
+def swept(touches: DataFrame, key: str, ts: str, idle: str, keep: int) -> DataFrame:
+    """The keys that a sweep at the time of the last touch leaves: not idle for longer than ``idle``, and of those the ``keep`` touched last."""
+    now = F.broadcast(touches.agg(F.max(ts).alias("now")))  # one row
+    last = touches.groupBy(key).agg(F.max(ts).alias("last_access")).join(now)
+    return last.where(F.col("last_access") >= F.col("now") - F.expr(f"INTERVAL {idle}")).orderBy(F.desc("last_access"), key).limit(keep).select(key, "last_access")
+
+
 def seconds_to_midnight(ts: Column) -> Column:
     """Whole seconds until the next day, at least 1."""
     left = F.unix_micros(F.date_trunc("day", ts) + F.expr("INTERVAL 1 DAY")) - F.unix_micros(ts)

@@ -19,6 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: The tenant whose documents all others see.
+_SHARED = "src0"
 #: Words of the test tables that stand in for tags and keywords.
 WORDS = ("the", "les", "und", "que", "ation")
 
@@ -184,15 +186,18 @@ def tenant_visible_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.listing(seen)
 
 
-@query(r"""
-WITH a AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+#: SQL that normalises the texts of documents: f (doc_id, t).
+NORMALIZED = r"""
+a AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS t FROM a),
 c AS (SELECT doc_id, replace(replace(t, chr(160), ' '), chr(12288), ' ') AS t FROM b),
 d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\x{4e00}-\x{9fff}])[ \t]+([\x{4e00}-\x{9fff}])', '\1\2', 'g'), '([\x{4e00}-\x{9fff}])[ \t]+([\x{4e00}-\x{9fff}])', '\1\2', 'g') AS t FROM c),
 e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM d),
 f AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(l)), chr(10)), '^\s+|\s+$', '', 'g') AS t FROM e)
-SELECT doc_id, t AS text, length(t) AS chars FROM f
-""")
+"""
+
+
+@query(f"WITH {NORMALIZED} SELECT doc_id, t AS text, length(t) AS chars FROM f")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", tx.normalize(F.col("text")).alias("text"))
     return docs.withColumn("chars", F.char_length("text").cast("long"))

@@ -3,21 +3,62 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, render_rows
+from ..functions.text import doc_id_of, normalize, render_rows, stem
 
 PLAIN = (".txt", ".md", ".markdown", ".log")
 TABLES = (".csv", ".tsv")
-OFFICE = (".pdf", ".docx", ".xlsx", ".xlsm")
 MAX_BYTES, MAX_CHARS = 20 * 1024 * 1024, 2_000_000
 
 
-def formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in sorted(PLAIN + TABLES + OFFICE)], "extension string")
+#: What a parser gives: texts as they are, and tables as rows of cells, in their order.
+Parts = list[tuple[str, str | list[list[str]]]]
+
+
+def _pdf(raw: bytes) -> Parts:
+    import pypdf
+
+    reader = pypdf.PdfReader(io.BytesIO(raw))
+    if reader.is_encrypted:
+        reader.decrypt("")
+    return [("", t) for page in reader.pages if (t := (page.extract_text() or "").strip())]
+
+
+def _docx(raw: bytes) -> Parts:
+    import docx
+
+    document = docx.Document(io.BytesIO(raw))
+    texts: Parts = [("", t) for p in document.paragraphs if (t := p.text.strip())]
+    return texts + [("", [[c.text for c in r.cells] for r in t.rows]) for t in document.tables]
+
+
+def _xlsx(raw: bytes) -> Parts:
+    import openpyxl
+
+    book = openpyxl.load_workbook(io.BytesIO(raw), read_only=True, data_only=True)
+    return [(f"【工作表: {s.title}】\n", [["" if c is None else str(c) for c in r] for r in s.iter_rows(values_only=True)]) for s in book]
+
+
+@dataclass(frozen=True)
+class Parser:
+    """``parse`` takes a file's bytes; ``joint`` stands between its parts. A part is left out where it is blank, its heading too."""
+
+    parse: Callable[[bytes], Parts]
+    joint: str
+
+
+#: Parsers by suffix; give :func:`extract` a table of your own to add formats.
+PARSERS = {".pdf": Parser(_pdf, "\n\n"), ".docx": Parser(_docx, "\n"), ".xlsx": Parser(_xlsx, "\n\n"), ".xlsm": Parser(_xlsx, "\n\n")}
+
+
+def formats(spark: SparkSession, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in sorted({*PLAIN, *TABLES, *(PARSERS if parsers is None else parsers)})], "extension string")
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.*") -> DataFrame:
@@ -64,54 +105,64 @@ def csv_rows(text: Column, kind: Column) -> Column:
     return parse(text, kind)
 
 
-def office_text(kind: Column, content: Column) -> Column:
-    """Text of PDF, DOCX and XLSX files where the parser for it is installed; null where it isn't or fails."""
+_PARTS = "parts array<struct<heading:string,text:string,cells:array<array<string>>>>, failure string"
 
-    def one(suffix: str, raw: bytes) -> str | None:
-        try:
-            if suffix == ".pdf":
-                import pypdf
 
-                reader = pypdf.PdfReader(io.BytesIO(raw))
-                if reader.is_encrypted:
-                    reader.decrypt("")
-                return "\n\n".join(t for p in reader.pages if (t := (p.extract_text() or "").strip())) or None
-            if suffix == ".docx":
-                import docx
+def parsed(kind: Column, content: Column, parsers: dict[str, Parser]) -> Column:
+    """parts, failure of files that a parser takes: a parser that is missing, or fails, is named in ``failure``."""
+
+    def one(suffix: str, raw: bytes | None) -> tuple:
+        if suffix not in parsers or raw is None:
+            return None, None
+        try:
+            found = parsers[suffix].parse(bytes(raw))
+        except Exception as e:  # whatever a parser raises is this file's error
+            return None, f"{type(e).__name__}: {e}"
+        return [{"heading": h, "text": x if isinstance(x, str) else None, "cells": None if isinstance(x, str) else x} for h, x in found], None
 
-                return "\n".join(p.text for p in docx.Document(io.BytesIO(raw)).paragraphs if p.text.strip()) or None
-            import openpyxl
+    @F.pandas_udf(_PARTS)
+    def apply(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(k, c) for k, c in zip(kinds, contents, strict=True)], columns=["parts", "failure"])
 
-            book = openpyxl.load_workbook(io.BytesIO(raw), read_only=True, data_only=True)
-            sheets = ((s.title, ["; ".join(str(c) for c in r if c is not None) for r in s.iter_rows(values_only=True)]) for s in book)
-            return "\n\n".join(f"【工作表: {t}】\n" + "\n".join(x for x in r if x) for t, r in sheets if any(r)) or None
-        except Exception:  # whatever a parser raises is this file's error
-            return None
+    return apply(kind, content)
 
-    @F.pandas_udf("string")
-    def parse(kinds: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([one(k, bytes(c)) if k in OFFICE and c is not None else None for k, c in zip(kinds, contents, strict=True)], dtype=object)
 
-    return parse(kind, content)
+def joined_parts(kind: Column, parts: Column, parsers: dict[str, Parser]) -> Column:
+    """The text of a file's parts, tables rendered."""
+    body = lambda p: F.coalesce(p["text"], render_rows(p["cells"]))
+    full = F.filter(F.transform(parts, lambda p: F.struct(p["heading"].alias("heading"), body(p).alias("body"))), lambda p: F.btrim(p["body"]) != "")
+    whole = F.transform(full, lambda p: F.concat(F.coalesce(p["heading"], F.lit("")), p["body"]))
+    joint = F.lit("\n")
+    for suffix, parser in parsers.items():
+        joint = F.when(kind == suffix, parser.joint).otherwise(joint)
+    return F.aggregate(whole, F.lit(None).cast("string"), lambda all_, x: F.when(all_.isNull(), x).otherwise(F.concat(all_, joint, x)))
 
 
-def extract(raw: DataFrame, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHARS) -> DataFrame:
+def extract(raw: DataFrame, max_bytes: int = MAX_BYTES, max_chars: int = MAX_CHARS, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """path, extension, encoding, text, chars_raw, chars, truncated, error for (path, content)."""
+    parsers = PARSERS if parsers is None else parsers
     rows = raw.withColumn("extension", extension(F.col("path"))).withColumn("bytes", F.octet_length("content"))
     guard = (
-        F.when(~F.col("extension").isin(*PLAIN, *TABLES, *OFFICE), F.concat(F.lit("unsupported format: "), "extension"))
+        F.when(~F.col("extension").isin(*PLAIN, *TABLES, *parsers), F.concat(F.lit("unsupported format: "), "extension"))
         .when(F.coalesce("bytes", F.lit(0)) == 0, "empty file")
         .when(F.col("bytes") > max_bytes, "file too large")
     )
-    decoded = rows.withColumn("error", guard).withColumn("d", decode(F.when(F.col("error").isNull(), F.col("content"))))
+    good = F.when(F.col("error").isNull(), F.col("content"))
+    is_parsed = F.col("extension").isin(*parsers)
+    decoded = rows.withColumn("error", guard).withColumn("d", decode(F.when(~is_parsed, good))).withColumn("p", parsed(F.col("extension"), F.when(is_parsed, good), parsers))
     decoded = decoded.withColumn("cells", csv_rows(F.col("d.text"), F.col("extension")))
-    office = office_text(F.col("extension"), F.when(F.col("error").isNull(), F.col("content")))
-    text = F.when(F.col("extension").isin(*TABLES), render_rows(F.col("cells"))).when(F.col("extension").isin(*OFFICE), office).otherwise(F.col("d.text"))
+    text = F.when(F.col("extension").isin(*TABLES), render_rows(F.col("cells"))).when(is_parsed, joined_parts(F.col("extension"), F.col("p.parts"), parsers)).otherwise(F.col("d.text"))
     clean = decoded.withColumn("whole", F.when(F.col("error").isNull(), normalize(text)))
-    error = F.coalesce("error", F.when(F.coalesce("whole", F.lit("")) == "", "no text"))
+    error = F.coalesce("error", "p.failure", F.when(F.coalesce("whole", F.lit("")) == "", "no text"))
     good = F.when(error.isNull(), F.col("whole"))
     return clean.select(
-        "path", "extension", F.when(error.isNull(), F.col("d.encoding")).alias("encoding"),
+        "path", "extension", F.when(error.isNull() & ~is_parsed, F.col("d.encoding")).alias("encoding"),
         F.substring(good, 1, max_chars).alias("text"), F.char_length(good).alias("chars_raw"),
-        F.least(F.char_length(good), F.lit(max_chars)).alias("chars"), (F.char_length(good) > max_chars).alias("truncated"), error.alias("error"),
+        F.char_length(F.substring(good, 1, max_chars)).alias("chars"), (F.char_length(good) > max_chars).alias("truncated"), error.alias("error"),
     )
+
+
+def uploads(extracted: DataFrame) -> DataFrame:
+    """doc_id, title, text, truncated, error of extracted files: what an upload is stored as. The title is the name without its suffix."""
+    title = stem(F.col("path"))
+    return extracted.select(doc_id_of(F.col("path")).alias("doc_id"), F.when(title == "", F.col("path")).otherwise(title).alias("title"), "text", "truncated", "error")

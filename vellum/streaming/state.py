@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.answering import worth_remembering
 from ..operators.state import DAY_US
 
 LIMITED = "event_id long, key long, allowed boolean"
@@ -45,6 +47,19 @@ def rate_limit_stream(calls: DataFrame, capacity: int, us_per_token: int, daily_
     return calls.groupBy("key").applyInPandasWithState(decide, LIMITED, "tokens long, last long, day long, used long", "append", timeout)
 
 
+def write_back(answers: DataFrame, made_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
+    """Keep what ``made_of`` makes of a stream of answers (memories, cache entries), a folder below ``path`` for each micro-batch.
+
+    Only finished answers that aren't stand-ins are looked at. A batch that is run again after a
+    failure replaces its folder, so nothing is kept twice. Start the writer that is returned.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        made_of(worth_remembering(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return answers.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+
+
 def windowed_counts(events: DataFrame, ts: str, width: str, lateness: str, labels: list[str]) -> DataFrame:
     """An extension: counts per tumbling window, final once the watermark has passed."""
     stamped = events.withColumn("ts_", F.col(ts).cast("timestamp")).withWatermark("ts_", lateness)
