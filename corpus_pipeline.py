@@ -2,8 +2,17 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
 and read back as the next stage's ``docs``. All but the last return the columns of documents.
-The rules of each stage for nulls, empty and long texts, ties, repeated rows and empty tables are
-those of the operator that it calls.
+The rules of each stage are those of the operator that it calls. In short:
+
+* nulls: a null text fails the quality rules; a null source is a source of its own; rows with a
+  null doc_id stay where groups are thinned; other columns may be null and are carried along;
+* empty texts fail the quality rules; texts that lose all lines go on as empty ones, link with
+  nothing, are read once and are packed as one token;
+* texts of any length are taken whole, each in one task;
+* ties: of a group the smallest doc_id stays, of several texts under it the one with the smallest
+  hash; sequences and permutations break ties by digests and numbers;
+* repeated rows are pages each, one of them stays where groups are thinned;
+* an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
