@@ -145,12 +145,12 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_PII.replace("content, '[", "probe, '[").replace("content, '(", "probe, '(").replace("content, 's", "probe, 's").replace("content, '/", "probe, '/").replace("content, 't", "probe, 't").replace("FROM lines", "FROM probes").replace("found AS (", "probes AS (SELECT path, line, content AS probe FROM lines WHERE NOT starts_with(ltrim(content), '#') AND path LIKE 'page/%'), found AS (")}
+WITH {_PII.replace("content, '[", "probe, '[").replace("content, '(", "probe, '(").replace("content, 's", "probe, 's").replace("content, '/", "probe, '/").replace("content, 't", "probe, 't").replace("FROM lines", "FROM probes").replace("found AS (", "probes AS (SELECT path, line, content AS probe FROM lines WHERE NOT starts_with(ltrim(content), '#') AND path LIKE 'doc/%'), found AS (")}
 SELECT path, line, rule, length FROM hits WHERE rule NOT IN ('card', 'token')
 """)
 def scanned_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as commit messages, whose lines of comment don't count."""
-    return privacy.scan_messages(read(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), "page_id").alias("path"), F.col("html").alias("text")))
+    """Documents as commit messages, whose lines of comment don't count."""
+    return privacy.scan_messages(read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "text"))
 
 
 @query("""
@@ -169,10 +169,10 @@ def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT user_id, max(ts) AS touched FROM events GROUP BY user_id), now_ AS (SELECT max(ts) AS now FROM events)
-SELECT user_id, CAST(touched AS VARCHAR) AS touched FROM t, now_ WHERE touched >= now - INTERVAL 30 MINUTE ORDER BY touched DESC, user_id LIMIT 2000
+SELECT user_id, epoch_us(touched) AS touched_us FROM t, now_ WHERE touched >= now - INTERVAL 30 MINUTE ORDER BY touched DESC, user_id LIMIT 2000
 """)
 def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions that a sweep leaves: touched in the last half hour of the log, and the two thousand last touched of those."""
     events = read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     left = state.swept(events, "user_id", "ts", "30 minutes", 2000)
-    return left.select("user_id", F.date_format("last_access", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("touched"))
+    return left.select("user_id", F.unix_micros("last_access").alias("touched_us"))
