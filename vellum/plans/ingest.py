@@ -146,11 +146,12 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_PII.replace("content, '[", "probe, '[").replace("content, '(", "probe, '(").replace("content, 's", "probe, 's").replace("content, '/", "probe, '/").replace("content, 't", "probe, 't").replace("FROM lines", "FROM probes").replace("found AS (", "probes AS (SELECT path, line, content AS probe FROM lines WHERE NOT starts_with(ltrim(content), '#') AND path LIKE 'doc/%'), found AS (")}
-SELECT path, line, rule, length FROM hits WHERE rule NOT IN ('card', 'token')
+SELECT path, line, rule, length FROM hits
 """)
 def scanned_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as commit messages, whose lines of comment don't count."""
-    return privacy.scan_messages(read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "text"))
+    messages = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), "text")
+    return privacy.scan_messages(messages, {**tx.PRIVACY_RULES, **tx.MORE_RULES})
 
 
 @query("""
