@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import boilerplate, mixing, near_vectors, warc
+from . import boilerplate, filter_audit, mixing, near_vectors, recipes, vector_codes, warc
 from .boilerplate import op3_site_lines
 from .fertility import op6_tokeniser_fertility
+from .filter_audit import op12_relational_replay
 from .lm_score import op2_ppm
 from .mixing import op5_temperature
 from .near_vectors import op10_product_quantisation
 from .packing import op9_best_two_fit
+from .recipes import op11_chunk_recipes
 from .shingle_join import op8_lsh_forest
 from .token_counts import op7_heap_bpe
 from .toxicity import op1_noisy_or
+from .vector_codes import op13_exponion
 from .warc import op4_boundary_chain
 
 QUERIES = {
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_lsh_forest": op8_lsh_forest,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_product_quantisation": op10_product_quantisation,
+    "op11_chunk_recipes": op11_chunk_recipes,
+    "op12_relational_replay": op12_relational_replay,
+    "op13_exponion": op13_exponion,
 }
 
 ORACLE_SQL = {
@@ -32,4 +38,7 @@ ORACLE_SQL = {
     "op4_boundary_chain": warc.ORACLE_SQL,
     "op5_temperature": mixing.ORACLE_SQL,
     "op10_product_quantisation": near_vectors.ORACLE_SQL,
+    "op11_chunk_recipes": recipes.ORACLE_SQL,
+    "op12_relational_replay": filter_audit.ORACLE_SQL,
+    "op13_exponion": vector_codes.ORACLE_SQL,
 }
