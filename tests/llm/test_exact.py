@@ -148,7 +148,7 @@ def _codes_by_hand(vectors, entries, rounds, parts=4):
 @pytest.mark.parametrize(("kind", "entries"), [("normal", 9), ("ties", 6), ("large", 5), ("few", 40)])
 def test_codes_equal_brute_force(spark, frame, kind, entries):
     rng = np.random.default_rng(3)
-    x = {"normal": rng.normal(size=(300, 8)), "ties": rng.integers(-1, 2, (200, 8)) / 1024, "large": rng.normal(size=(80, 8)) * 400_000, "few": rng.normal(size=(12, 8))}[kind]
+    x = {"normal": rng.normal(size=(300, 8)), "ties": rng.integers(-1, 2, (200, 8)) / 1024, "large": rng.normal(size=(80, 8)) * 60_000, "few": rng.normal(size=(12, 8))}[kind]
     vectors = [[float(c) for c in v] for v in x]
     vectors[5], vectors[7] = vectors[2], vectors[2]  # equal entries in the first codebooks
     rows = [(i * 3, v, 1) for i, v in enumerate(vectors)]

@@ -9,6 +9,8 @@ bytes for each thousand of text.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,11 +25,12 @@ WINDOW = 16
 _STEP = 1 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
 
 
-def normalised(text: Column) -> Column:
-    """What is compared: the text with A-Z, and nothing else, in lower case; a null text is an empty one."""
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+def normalised(data: bytes | None) -> bytes:
+    """What is compared: a text's bytes with A-Z, and nothing else, in lower case; a null text is an empty one."""
+    return (data or b"").translate(_TO_LOWER)
 
 
 def _marks(data: np.ndarray) -> np.ndarray:
@@ -56,9 +59,9 @@ def chunk_ends(data: bytes) -> list[int]:
     return [*ends, len(data)] if at < len(data) else ends
 
 
-def _chunks(whole: Column, ends: Column) -> Column:
-    """The chunks of a text's bytes, in order."""
-    return F.transform(ends, lambda end, i: F.substring(whole, F.coalesce(F.get(ends, i - 1), F.lit(0)) + 1, end - F.coalesce(F.get(ends, i - 1), F.lit(0))))
+def chunks_of(data: bytes) -> list[bytes]:
+    ends = chunk_ends(data)
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _fingerprint(chunk: Column) -> Column:
@@ -75,18 +78,19 @@ def recipes(docs: DataFrame) -> DataFrame:
     ``digest`` is the SHA-256 of the normalised text.
     """
 
-    @F.pandas_udf("array<int>")
-    def ends(texts: pd.Series) -> pd.Series:
-        return texts.map(chunk_ends)
+    @F.pandas_udf("digest binary, chunks array<binary>")
+    def cut_up(texts: pd.Series) -> pd.DataFrame:
+        whole = texts.map(normalised)
+        return pd.DataFrame({"digest": whole.map(lambda data: hashlib.sha256(data).digest()), "chunks": whole.map(chunks_of)})
 
-    named = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("whole", F.col("text").cast("binary"))
-    cut = named.withColumn("ends", ends("whole"))
+    # cut in Python: an expression would copy a text's bytes for each of its chunks, and Spark's translate is slow
+    cut = docs.select("doc_id", cut_up(F.col("text").cast("binary")).alias("cut")).select("doc_id", "cut.digest", "cut.chunks")
     made = materialise(
         cut.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
-            F.unhex(F.sha2("whole", 256)).alias("digest"),
-            F.transform(_chunks(F.col("whole"), F.col("ends")), _fingerprint).alias("parts"),
+            "digest",
+            F.transform("chunks", _fingerprint).alias("parts"),
         ),
         "recipes",
     )
@@ -95,8 +99,7 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 def _verified(cut: DataFrame, made: DataFrame) -> DataFrame:
     """``made`` with the turns of fingerprints that don't tell their chunks apart."""
-    chunks = cut.select(F.explode(_chunks(F.col("whole"), F.col("ends"))).alias("chunk"))
-    distinct = chunks.select(_fingerprint(F.col("chunk")).alias("part"), "chunk").groupBy("part", "chunk").agg(F.count("*").alias("uses"))
+    distinct = cut.select(F.explode("chunks").alias("chunk")).select(_fingerprint(F.col("chunk")).alias("part"), "chunk").groupBy("part", "chunk").agg(F.count("*").alias("uses"))
     unclear = materialise(distinct.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "unclear")
     plain = made.withColumn("turns", F.array().cast("array<int>"))
     if unclear.isEmpty():  # as always with a fingerprint of 64 bits and less than billions of chunks
@@ -105,12 +108,11 @@ def _verified(cut: DataFrame, made: DataFrame) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("part").orderBy("chunk"))
     numbered = materialise(distinct.join(unclear, "part", "left_semi").select("part", "chunk", turn.alias("turn")), "numbered")
     touched = materialise(made.select("row", "digest", F.explode("parts").alias("part")).join(unclear, "part", "left_semi").select("row", "digest").distinct(), "touched")
-    texts = cut.withColumn("digest", F.unhex(F.sha2("whole", 256))).join(touched.select("digest").distinct(), "digest", "left_semi")
-    one = texts.groupBy("whole").agg(F.first("ends").alias("ends"), F.first("digest").alias("digest"))
-    held = one.select("whole", "digest", F.posexplode(_chunks(F.col("whole"), F.col("ends"))).alias("i", "chunk")).withColumn("part", _fingerprint(F.col("chunk")))
+    texts = cut.join(touched.select("digest").distinct(), "digest", "left_semi")
+    held = texts.select("digest", F.posexplode("chunks").alias("i", "chunk")).distinct().withColumn("part", _fingerprint(F.col("chunk")))
     turned = (
         held.join(numbered, ["part", "chunk"], "left")
-        .groupBy("digest", "whole")
+        .groupBy("digest")
         .agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("turn", F.lit(0)).alias("turn")))).alias("turns"))
         .select("digest", F.col("turns.turn").alias("turns"))
     )

@@ -108,18 +108,20 @@ def fit_codes(vectors: DataFrame, rounds: int = ROUNDS, entries: int = ENTRIES,
     double = F.col("vector").cast("array<double>")
     finite = F.coalesce(F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     sound = vectors.where(F.col("vector").isNotNull() & finite & (F.size("vector") > 0) & (F.size("vector") % parts == 0))
-    first = sound.orderBy(F.asc_nulls_last("vec_id"), "vector").select(double.alias("v")).limit(entries).collect()  # the codebooks to begin with
-    if not first:
+    in_order = lambda rows: rows.orderBy(F.asc_nulls_last("vec_id"), "vector").select(double.alias("v"))
+    one = in_order(sound).first()
+    if one is None:
         empty = vectors.where(F.lit(False)).select(*names, F.array().cast("array<bigint>").alias("parts"), F.lit(b"").alias("codes"), F.lit(0).cast("long").alias("error"))
         return Codes(empty, [])
-    dim = len(first[0]["v"])
+    dim = len(one["v"])
     limit = int((2**62 // (4 * dim)) ** 0.5) // SCALE
     whole = F.transform(double, lambda x: F.floor(F.when(F.abs(x) < limit, x * SCALE)))
     sound = sound.where(F.size("vector") == dim)
     if not sound.where(F.exists(double, lambda x: F.abs(x) >= limit)).isEmpty():
         raise ValueError(f"components of {limit} or more have squared errors beyond 64 bits")
     width = dim // parts
-    integers = np.array([[int(np.floor(x * SCALE)) for x in r["v"]] for r in first if len(r["v"]) == dim], np.int64)
+    first = in_order(sound).limit(entries).collect()  # the codebooks to begin with
+    integers = np.floor(np.array([r["v"] for r in first]) * SCALE).astype(np.int64)
     books = [integers[:, p * width : (p + 1) * width].copy() for p in range(parts)]
     # any entry may be the one to start at, as the ball around it holds all that matter
     rows = materialise(sound.select(*names, whole.alias("parts"), F.unhex(F.lit("0000" * parts)).alias("codes"), F.lit(0).cast("long").alias("error")), "parts")
