@@ -10,9 +10,10 @@ bytes for each thousand of text.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .common import materialise, table
 
 #: Bytes of a chunk: at least, on average about, and at most.
 LEAST, USUAL, MOST = 256, 1024, 8192
+#: Texts that are cut at a time.
+BATCH = 128
 #: Bytes that decide whether a chunk ends after the last of them.
 WINDOW = 16
 _STEP = 1 << 20
@@ -64,6 +67,20 @@ def chunks_of(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, digest, chunks of (doc_id, text); a few rows at a time, so that a task holds little besides what Spark hands it.
+
+    This is done in Python because an expression would copy a text's bytes for each of its
+    chunks, and Spark's ``translate`` takes long.
+    """
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH):
+            part = batch.slice(i, BATCH)
+            whole = [normalised(t) for t in part.column("text").to_pylist()]
+            digests = pa.array([hashlib.sha256(t).digest() for t in whole], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), digests, pa.array(map(chunks_of, whole), pa.list_(pa.binary()))], names=["doc_id", "digest", "chunks"])
+
+
 def _fingerprint(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
@@ -78,13 +95,8 @@ def recipes(docs: DataFrame) -> DataFrame:
     ``digest`` is the SHA-256 of the normalised text.
     """
 
-    @F.pandas_udf("digest binary, chunks array<binary>")
-    def cut_up(texts: pd.Series) -> pd.DataFrame:
-        whole = texts.map(normalised)
-        return pd.DataFrame({"digest": whole.map(lambda data: hashlib.sha256(data).digest()), "chunks": whole.map(chunks_of)})
-
-    # cut in Python: an expression would copy a text's bytes for each of its chunks, and Spark's translate is slow
-    cut = docs.select("doc_id", cut_up(F.col("text").cast("binary")).alias("cut")).select("doc_id", "cut.digest", "cut.chunks")
+    kind = dict(docs.dtypes)["doc_id"]
+    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_cut, f"doc_id {kind}, digest binary, chunks array<binary>")
     made = materialise(
         cut.select(
             F.monotonically_increasing_id().alias("row"),
