@@ -1,11 +1,15 @@
 """Site-relative line frequency: lines that too many of a site's pages share are dropped.
 
-Native throughout: DataFrame functions only. Lines travel as 16-byte digests, never as text, and
-each page carries its digests to the one place where its text is needed.
+Native throughout: DataFrame functions only. Lines travel as 16-byte digests, never as text; what
+comes back to a page are the places of the lines to drop, and its text is put together from the
+runs between them, so the work on a page grows with its lines and not with their square.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +30,17 @@ def _lines(text: Column) -> Column:
 
 
 def _digest(line: Column) -> Column:
-    """Of the line without blanks at its ends; null for a blank line, which is never counted or dropped."""
+    """Of the line without blanks at its ends, in hex; null for a blank line, which is never counted or dropped."""
     bare = F.btrim(line, F.lit(_BLANK))
-    return F.when(bare != "", F.unhex(F.md5(bare.cast("binary"))))
+    return F.when(bare != "", F.md5(bare.cast("binary")))
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """``lines`` without those at the places ``drop``, which are sorted and count from 0."""
+    # an array of one struct holds both as values: expressions would be worked out again for each run
+    held = F.array(F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), drop).alias("cuts")))
+    run = lambda v, cut, i: F.slice(v["lines"], cut + 2, F.coalesce(F.get(v["cuts"], i + 1), F.size(v["lines"])) - cut - 1)
+    return F.get(F.transform(held, lambda v: F.flatten(F.transform(v["cuts"], lambda cut, i: run(v, cut, i)))), F.lit(0))
 
 
 def site_of(docs: DataFrame) -> Column:
@@ -45,9 +57,10 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     few pages a single page is more than the ratio, so a line must stand in ``min_pages`` to be
     called shared at all. A null site is a site of its own; a null text is a page without lines.
     """
+    # as strings, of which array_distinct keeps a hash set; of binaries it compares every pair
     own = F.array_compact(F.array_distinct(F.transform(_lines(F.coalesce("text", F.lit(""))), _digest)))
     # a null stands for the page itself, so that one count gives the lines and the site's total
-    marked = pages.select("site", F.explode(F.concat(F.array(F.lit(None).cast("binary")), own)).alias("digest"))
+    marked = pages.select("site", F.explode(F.concat(F.array(F.lit(None).cast("string")), own)).alias("digest")).withColumn("digest", F.unhex("digest"))
     counted = marked.groupBy("site", "digest").agg(F.count("*").alias("n")).where(F.col("digest").isNull() | (F.col("n") >= min_pages))
     lines = counted.where("digest is not null")
     totals = counted.where("digest is null").select(F.col("site").alias("total_site"), F.col("n").alias("total"))
@@ -67,22 +80,21 @@ def without_boilerplate(docs: DataFrame, site: Column, max_ratio: float = MAX_RA
     names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     pages = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), site.cast("string").alias("site"))
     found = boilerplate(pages.select("site", F.col("row.text").alias("text")), max_ratio, min_pages)
-    # which of its site's lines a page holds is found on digests; texts are shuffled once, by id
-    held = pages.select("site", F.col("row.doc_id").alias("id"), F.explode(F.array_compact(F.array_distinct(F.transform(_lines(F.col("row.text")), _digest)))).alias("digest"))
+    # which of a page's lines to drop is found on digests; texts are shuffled once, by id. Of rows with
+    # one id, or none, equal texts have equal answers and others are told apart by a hash
+    key = {"hit_id": F.col("row.doc_id"), "hit_site": F.col("site"), "hit_text": F.xxhash64("row.text")}
+    held = pages.select(*[c.alias(n) for n, c in key.items()], F.posexplode(F.transform(_lines(F.col("row.text")), _digest)).alias("at", "digest")).where("digest is not null").withColumn("digest", F.unhex("digest"))
     hits = (
-        held.join(found.withColumnRenamed("site", "found_site").withColumnRenamed("digest", "found"), F.col("site").eqNullSafe(F.col("found_site")) & (F.col("digest") == F.col("found")))
-        .groupBy("id", "site")
-        .agg(F.collect_set("digest").alias("drop"))
-        .select(F.col("id").alias("hit_id"), F.col("site").alias("hit_site"), "drop")
+        held.join(found.withColumnRenamed("digest", "found"), F.col("hit_site").eqNullSafe(F.col("site")) & (F.col("digest") == F.col("found")))
+        .groupBy(*key)
+        .agg(F.sort_array(F.collect_set("at")).alias("drop"))
     )
-    joined = pages.join(hits, F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & F.col("site").eqNullSafe(F.col("hit_site")), "left")
-    drop = F.coalesce("drop", F.array().cast("array<binary>"))
-    keeps = lambda line: F.coalesce(~F.array_contains(drop, _digest(line)), F.lit(True))
-    text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(_lines(F.col("row.text")), keeps), "\n"))
+    joined = pages.join(hits, reduce(and_, [c.eqNullSafe(F.col(n)) for n, c in key.items()]), "left").drop(*key)
+    text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(_without(_lines(F.col("row.text")), F.col("drop")), "\n"))
     out = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
     if counts:
-        held_lines = F.filter(F.transform(_lines(F.coalesce("row.text", F.lit(""))), _digest), lambda d: d.isNotNull())
-        out += [F.size(held_lines).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size(F.filter(held_lines, lambda d: F.array_contains(drop, d)))).cast("long").alias("n_dropped")]
+        full = F.filter(_lines(F.coalesce("row.text", F.lit(""))), lambda line: F.btrim(line, F.lit(_BLANK)) != "")
+        out += [F.size(full).cast("long").alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped")]
     return joined.select(*out)
 
 
