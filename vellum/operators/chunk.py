@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,33 +31,47 @@ def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
     return cut.select("doc_id", "chunk_index", (F.col("chunk_index") * step).alias("start"), "content")
 
 
-def _pieces(text: str, separators: tuple[str, ...], size: int) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the first separator that occurs, which stays in front of what follows."""
-    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    if separators[at] == "":
-        return [text[i : i + 1] for i in range(len(text))]
-    head, *tail = text.split(separators[at])
-    out: list[str] = []
-    for part in [head, *(separators[at] + t for t in tail)]:
-        if len(part) <= size:
-            out += [part] if part else []
-        else:
-            out += split_text(part, size, None, separators[at + 1 :])
-    return out
-
-
-def split_text(text: str, size: int = SIZE, overlap: int | None = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Recursive splitting: pieces are put together up to ``size``; the next chunk begins with up to ``overlap`` characters of the last."""
-    overlap = 0 if overlap is None else overlap
-    chunks, held, total = [], [], 0
-    for piece in _pieces(text, separators, size):
-        if held and total + len(piece) > size:
-            chunks.append("".join(held).strip())
-            while held and (total > overlap or total + len(piece) > size):
-                total -= len(held.pop(0))
-        held.append(piece)
-        total += len(piece)
-    return [c for c in [*chunks, "".join(held).strip()] if c]
+def _parts(text: str, separator: str) -> list[str]:
+    """``text`` cut in front of every separator; in front of every character for an empty one. Nothing is lost."""
+    if not separator:
+        return list(text)
+    head, *tail = text.split(separator)
+    return [part for part in (head, *(separator + t for t in tail)) if part]
+
+
+def _joined(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Runs of parts of at most ``size`` characters; the next begins with those last parts of a run that make up to ``overlap``."""
+    first = held = 0
+    for i, part in enumerate(parts):
+        if held and held + len(part) > size:
+            yield "".join(parts[first:i])
+            while held > overlap or (held and held + len(part) > size):
+                held -= len(parts[first])
+                first += 1
+        held += len(part)
+    yield "".join(parts[first:])
+
+
+def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Recursive splitting: pieces of ``text`` of at most ``size`` characters, without blanks at their ends.
+
+    The first separator that occurs cuts the text. Parts shorter than ``size`` are joined to
+    their neighbours; a longer one ends the run before it and is split on its own, by the
+    separators that follow. So every chunk is a piece of the text, and chunks overlap only
+    between parts of one level.
+    """
+    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+    finer = separators[at + 1 :]
+    chunks, short = [], []
+    for part in _parts(text, separators[at]):
+        if len(part) < size:
+            short.append(part)
+            continue
+        chunks += _joined(short, size, overlap)
+        short = []
+        chunks += split_text(part, size, overlap, finer) if finer else [part]
+    chunks += _joined(short, size, overlap)
+    return [bare for bare in map(str.strip, chunks) if bare]
 
 
 def recursive_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

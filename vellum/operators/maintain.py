@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Folder
+
 SCHEMA_VERSION = 2
 CONTRACT = ("schema_version", "chunk_size", "chunk_overlap")
 
@@ -29,26 +35,33 @@ def same_contract(a: dict, b: dict | None) -> bool:
 
 
 def save_manifest(docs: DataFrame, contract: dict, path: str) -> None:
-    """Write a manifest (doc_id, sha1, chunks) with its contract and a time, as the newest version below ``path``.
+    """Write a manifest (doc_id, sha1, chunks) with its contract as the newest version below ``path``.
 
-    A version is complete when its job has committed, so a reader never sees half of one, and
-    the versions before it stay.
+    The rows are written first; the small file that names them, with their number and the
+    contract, appears at once and makes the version. So an empty manifest is a version too, a
+    reader never sees half of one, and the versions before it stay. Of two writers of one
+    version the second gets FileExistsError.
     """
-    fields = [F.lit(contract[k]).cast("int").alias(k) for k in CONTRACT]
-    docs.select("doc_id", "sha1", "chunks", *fields, F.current_timestamp().alias("saved_at")).write.mode("append").parquet(path)
+    versions = Folder(docs.sparkSession, f"{path}/versions")
+    number = max((int(n.split(".")[0]) for n in versions.names()), default=0) + 1
+    rows = f"{path}/rows/{uuid.uuid4().hex}"
+    docs.select("doc_id", "sha1", "chunks").write.parquet(rows)
+    n = docs.sparkSession.read.parquet(rows).count()
+    versions.put(f"{number:012d}.json", json.dumps({"contract": {k: contract[k] for k in CONTRACT}, "rows": rows, "n": n}))
 
 
 def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:
-    """The newest manifest below ``path`` and its contract; None where there is none that can be read, and all has to be rebuilt."""
-    try:
-        every = spark.read.parquet(path)
-        last = every.agg(F.max("saved_at").alias("at")).first()["at"]
-    except AnalysisException:
+    """The newest manifest below ``path`` and its contract; None where there is none or it can't be read whole, and all has to be rebuilt."""
+    versions = Folder(spark, f"{path}/versions")
+    if not (names := versions.names()):
         return None
-    if last is None or not {*CONTRACT, "doc_id", "sha1", "chunks"} <= set(every.columns):
+    try:
+        told = json.loads(versions.read(names[-1]))
+        rows = spark.read.parquet(told["rows"]).select("doc_id", "sha1", "chunks")
+        whole = rows.agg(F.count("*").alias("n"), F.max(F.xxhash64("doc_id", "sha1", "chunks"))).first()["n"] == told["n"]  # reads every value
+        return (rows, {k: told["contract"][k] for k in CONTRACT}) if whole else None
+    except (AnalysisException, Py4JJavaError, PySparkException, ValueError, KeyError, TypeError):
         return None
-    newest = every.where(F.col("saved_at") == F.lit(last))
-    return newest.select("doc_id", "sha1", "chunks"), newest.select(*CONTRACT).first().asDict()
 
 
 def total_chunks(docs: DataFrame) -> DataFrame:

@@ -110,5 +110,6 @@ def recalled(found: DataFrame, floor: float = 0.35) -> DataFrame:
 
 
 def counts(ops: DataFrame) -> DataFrame:
-    kinds = {"added": "ADD", "updated": "UPDATE", "skipped": "SKIP", "unchanged": "NOOP"}
+    """What the operations of each user's round come to."""
+    kinds = {"added": "ADD", "updated": "UPDATE", "deleted": "DELETE", "skipped": "SKIP", "unchanged": "NOOP"}
     return ops.groupBy(*OWNER).agg(F.count("*").alias("extracted"), *[F.count_if(F.col("op") == v).alias(k) for k, v in kinds.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, ingest
+from . import answers, ingest, queries, stored  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "answers", "ingest"]

@@ -553,12 +553,14 @@ def memory_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_MEMORY}
 SELECT tenant, "user", count(*) AS extracted, count(*) FILTER (WHERE op = 'ADD') AS added, count(*) FILTER (WHERE op = 'UPDATE') AS updated,
-       CAST(0 AS BIGINT) AS skipped, count(*) FILTER (WHERE op = 'NOOP') AS unchanged
-FROM ops GROUP BY tenant, "user"
+       count(*) FILTER (WHERE op = 'DELETE') AS deleted, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (WHERE op = 'NOOP') AS unchanged
+FROM (SELECT tenant, "user", op FROM ops UNION ALL SELECT tenant, "user", 'DELETE' FROM stored WHERE importance < 0.2) GROUP BY tenant, "user"
 """)
 def memory_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a round that also takes away what is hardly important."""
     stored, facts = _memory(spark, sf_dir)
-    return memory.counts(memory.operations(facts, stored))
+    gone = stored.where("importance < 0.2").select(*memory.OWNER, F.lit("DELETE").alias("op"))
+    return memory.counts(memory.operations(facts, stored).unionByName(gone, allowMissingColumns=True))
 
 
 @query(f"""

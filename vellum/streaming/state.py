@@ -19,6 +19,8 @@ LIMITED = "event_id long, key long, allowed boolean"
 def rate_limit_stream(calls: DataFrame, capacity: int, us_per_token: int, daily_quota: int, idle: str | None = None) -> DataFrame:
     """Decisions for a stream of calls (event_id, key, us), per key in the order of time within a batch.
 
+    A call that is older than one of an earlier batch refills nothing and counts for the later
+    one's day, so no time is credited twice and no quota begins anew.
     State is tokens, last time, day and use of the day; with ``idle`` (milliseconds as text) a
     key that makes no call for so long is forgotten, as a full bucket would be.
     """
@@ -32,9 +34,13 @@ def rate_limit_stream(calls: DataFrame, capacity: int, us_per_token: int, daily_
         out = []
         for event_id, us in zip(calls["event_id"], calls["us"], strict=True):
             event_id, us = int(event_id), int(us)
-            tokens = capacity * us_per_token if tokens is None else min(capacity * us_per_token, tokens + max(0, us - last))
-            used = used if day == us // DAY_US else 0
-            last, day = us, us // DAY_US
+            if tokens is None:
+                tokens, last, day = capacity * us_per_token, us, us // DAY_US
+            # time doesn't run backwards: a late call is judged at the time and on the day of the latest one
+            now = max(last, us)
+            tokens = min(capacity * us_per_token, tokens + now - last)
+            used = used if now // DAY_US == day else 0
+            last, day = now, now // DAY_US
             ok = tokens >= us_per_token and used < daily_quota
             tokens, used = (tokens - us_per_token, used + 1) if ok else (tokens, used)
             out.append((event_id, key[0], ok))
