@@ -60,7 +60,7 @@ def test_lines_drop_site_boilerplate(stages):
         n = Counter(line for t in texts for line in {x.strip(" \t\r\x0b\x0c") for x in t.split("\n")} if line)
         frequent[site] = {line for line, k in n.items() if k >= 3 and k > 0.05 * len(texts)}
     want = Counter((r["doc_id"], "\n".join(x for x in r["text"].split("\n") if x.strip(" \t\r\x0b\x0c") not in frequent[r["source"]])) for r in before)
-    assert Counter((r["doc_id"], r["text"]) for r in after) == want
+    assert Counter((r["doc_id"], r["text"]) for r in after) == want and all(r["n_chars"] == len(r["text"]) for r in after)
 
 
 def test_one_of_each_group_stays(stages):
@@ -129,4 +129,4 @@ def test_packing_holds_every_token_once(stages):
 
 def test_everything_is_registered():
     names = set(entry_point.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

@@ -83,7 +83,9 @@ def without_boilerplate(docs: DataFrame, site: Column, max_ratio: float = MAX_RA
     # which of a page's lines to drop is found on digests; texts are shuffled once, by id. Of rows with
     # one id, or none, equal texts have equal answers and others are told apart by a hash
     key = {"hit_id": F.col("row.doc_id"), "hit_site": F.col("site"), "hit_text": F.xxhash64("row.text")}
-    held = pages.select(*[c.alias(n) for n, c in key.items()], F.posexplode(F.transform(_lines(F.col("row.text")), _digest)).alias("at", "digest")).where("digest is not null").withColumn("digest", F.unhex("digest"))
+    # keys first: beside a generator they would be worked out for every line
+    named = pages.select(*[c.alias(n) for n, c in key.items()], F.transform(_lines(F.col("row.text")), _digest).alias("digests"))
+    held = named.select(*key, F.posexplode("digests").alias("at", "digest")).where("digest is not null").withColumn("digest", F.unhex("digest"))
     hits = (
         held.join(found.withColumnRenamed("digest", "found"), F.col("hit_site").eqNullSafe(F.col("site")) & (F.col("digest") == F.col("found")))
         .groupBy(*key)
