@@ -34,8 +34,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that too many pages of their source share."""
-    return without_boilerplate(docs, F.col("source"))
+    """Documents without the lines that too many pages of their source share; n_chars is that of the text that is left."""
+    kept = without_boilerplate(docs, F.col("source"))
+    chars = lambda: F.coalesce(F.char_length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", chars()) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
