@@ -5,6 +5,7 @@ Models are columns or functions that the caller gives; each has a plain rule as
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL_MARKERS, bigrams
-from .retrieval import best_per_chunk, top
+from ..functions.text import REFUSAL_MARKERS, bare
+from .retrieval import _codes, best_per_chunk, top
 
 
 def intent(question: Column, several: tuple[str, ...] = ("compare", "and", "以及", "对比"), small_talk: tuple[str, ...] = ("hello", "thanks", "你好", "谢谢")) -> Column:
@@ -64,16 +65,45 @@ def assembled(parts: DataFrame) -> DataFrame:
     return parts.groupBy("answer_id").agg(F.array_join(deltas, "").alias("answer"), F.coalesce(F.bool_or(F.col("kind") == "done"), F.lit(False)).alias("complete"))
 
 
-def _bucket(dimensions: int) -> Column:
-    return F.conv(F.substring(F.md5(F.col("tok").cast("binary")), 1, 6), 16, 10).cast("long") % dimensions
+class _Buckets:
+    """Counts of texts' bigrams in hashed buckets; a bigram is hashed once in a task."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions, self.known = dimensions, {}
+
+    def _bucket(self, code: int) -> int:
+        pair = (chr((code >> 32) - 1) if code >> 32 else "") + chr(code & 0xFFFFFFFF)
+        return int(hashlib.md5(pair.encode("utf-8", "surrogatepass")).hexdigest()[:6], 16) % self.dimensions
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """A row for each bare text; about a million characters are looked at at a time, or one text."""
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // 1_000_000)) + 1).tolist(), len(texts)]
+        return np.concatenate([self._counts(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        codes, owner = _codes(texts)
+        distinct, at = np.unique(codes, return_inverse=True)
+        new = [c for c in distinct.tolist() if c not in self.known]
+        self.known.update((c, self._bucket(c)) for c in new)
+        bucket = np.fromiter((self.known[c] for c in distinct.tolist()), np.int64, len(distinct))
+        return np.bincount(owner * self.dimensions + bucket[at], minlength=len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
 
 
 def hashed_vectors(texts: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
-    """key, vector: the default embedding of (key, text) as an array; null for texts without bigrams. Other embeddings come as such a table."""
-    tokens = texts.select(key, F.explode_outer(bigrams(F.col("text"))).alias("tok")).select(key, F.when(F.col("tok").isNotNull(), _bucket(dimensions)).alias("bucket"))
-    counts = tokens.groupBy(key).agg(F.array(*[F.count_if(F.col("bucket") == i).cast("double") for i in range(dimensions)]).alias("n"))
-    norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x))
-    return counts.withColumn("norm", norm).select(key, F.when(F.col("norm") > 0, F.transform("n", lambda x: x / F.col("norm"))).alias("vector"))
+    """key, vector: the default embedding of (key, text) as an array; null for texts without bigrams. Other embeddings come as such a table.
+
+    Bigrams are counted in hashed buckets, where a text is read; nothing is shuffled.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = _Buckets(dimensions)
+        for batch in batches:
+            n = buckets.counts(batch.tolist())
+            norm = np.sqrt((n * n).sum(1))
+            yield pd.Series([x / length if length else None for x, length in zip(n, norm, strict=True)], dtype=object)
+
+    return texts.select(key, embed(F.coalesce(bare(F.col("text")), F.lit(""))).alias("vector"))
 
 
 def embedded(texts: DataFrame, key: str, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
@@ -127,8 +157,5 @@ def worth_remembering(answers: DataFrame) -> DataFrame:
 
 def hashed_features(docs: DataFrame, dimensions: int = 64) -> DataFrame:
     """doc_id, bucket, weight: the default embedding, sparse. Bigrams are hashed to buckets; weights have unit length."""
-    bucket = _bucket(dimensions)
-    tokens = docs.select("doc_id", F.explode_outer(bigrams(F.col("text"))).alias("tok")).where("tok is not null")
-    counted = tokens.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    norms = counted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counted.join(norms, "doc_id").select("doc_id", "bucket", F.round(F.col("n") / F.col("norm"), 6).alias("weight"))
+    each = F.explode(F.transform("vector", lambda x, i: F.struct(i.alias("bucket"), F.round(x, 6).alias("weight"))))
+    return hashed_vectors(docs, "doc_id", dimensions).select("doc_id", each.alias("e")).where("e.weight > 0").select("doc_id", F.col("e.bucket").cast("long").alias("bucket"), "e.weight")

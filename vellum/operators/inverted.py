@@ -24,7 +24,7 @@ from ..sources.shared import Folder
 from .retrieval import BATCH_TOKENS, K1, B, _Asked, _codes, top
 
 #: Documents of a block, and documents and characters of a shard, whose texts and postings a task holds.
-BLOCK_DOCS, SHARD_DOCS, SHARD_CHARS = 128, 4096, 16_000_000
+BLOCK_DOCS, SHARD_DOCS, SHARD_CHARS = 128, 4096, 4_000_000
 #: Rows of a file of the index.
 FILE_ROWS = 2_000_000
 #: Up to so many tokens a batch's tokens are a predicate on the scan; more are a join.

@@ -10,11 +10,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, maintain
+from ..operators import chunk, maintain, timeline
 from ..operators.inverted import InvertedIndex
 from ..sources.shared import fresh_path
 from ..sources.store import ChunkStore
-from .queries import _BM25, _benchmark, _documents, query
+from .queries import _BM25, _benchmark, _documents, query, read
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -77,3 +77,51 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.add(docs.where("doc_id % 4 <> 1"))
     index.add(docs.where("doc_id % 4 = 1"))
     return index.top(_benchmark(spark, sf_dir), 10)
+
+
+@query("""
+SELECT event_id, event_type, value, arg_max(value, append) OVER w AS value_before, round(value - arg_max(value, append) OVER w, 6) AS delta
+FROM (SELECT *, event_id * 7919 % 100003 AS append FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY ts GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
+def previous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a run, against the run that was appended last among those of its kind that are older; events came in another order than their times."""
+    runs = read(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value", (F.col("event_id") * 7919 % 100003).alias("append"))
+    before = runs.select("event_type", "ts", "append", F.col("value").alias("value_before"))
+    found = timeline.asof(runs.drop("append"), before, ["event_type"], "ts", ["value_before"], "append")
+    return found.select("event_id", "event_type", "value", "value_before", F.round(F.col("value") - F.col("value_before"), 6).alias("delta"))
+
+
+@query("""
+WITH c AS (SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ALL)
+SELECT e.event_id, c.click_id FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts
+""")
+def click_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's last click up to each of their other events; of clicks at one time the one appended last."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
+    return timeline.asof(events.where("event_type <> 'click'"), clicks, ["user_id"], "ts", ["click_id"], strict=False).select("event_id", "click_id")
+
+
+_LRU = 48
+_BOUNDED = f"""
+e AS (SELECT event_id, event_type, event_type || ':' || (user_id % 40) AS key, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT *, lag(n) OVER (PARTITION BY key ORDER BY n) AS before, row_number() OVER (PARTITION BY key ORDER BY n) AS i FROM e),
+far AS (SELECT p.n, count(DISTINCT x.key) AS others FROM p LEFT JOIN e x ON x.n > p.before AND x.n < p.n GROUP BY p.n),
+s AS (SELECT p.*, before IS NOT NULL AND others < {_LRU} AS there FROM p JOIN far USING (n)),
+r(key, i, event_type, written, hit) AS (
+  SELECT key, i, event_type, us, false FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.key, s.i, s.event_type, CASE WHEN s.there AND s.us - r.written <= 21600000000 THEN r.written ELSE s.us END, s.there AND s.us - r.written <= 21600000000
+  FROM r JOIN s ON s.key = r.key AND s.i = r.i + 1
+)
+"""
+
+
+@query(f"WITH RECURSIVE {_BOUNDED} SELECT event_type AS kind, count(*) FILTER (WHERE hit) AS hits, count(*) AS lookups FROM r GROUP BY 1")
+def bounded_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a cache that holds 48 keys, each for six hours from when it is written."""
+    events = read(spark, sf_dir, "events")
+    lookups = events.select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 40).cast("string")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    hits = timeline.bounded_cache_hits(lookups, 21_600_000_000, _LRU)
+    return hits.groupBy(F.split_part("key", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count_if("hit").alias("hits"), F.count("*").alias("lookups"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -66,3 +66,10 @@ class Folder:
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a real copy, of which every reader sees the same rows."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
