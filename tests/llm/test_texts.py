@@ -305,3 +305,17 @@ def test_rows_without_id_keep_their_own_lines(frame):
     out = boilerplate.without_boilerplate(frame(rows, "doc_id long, source string, text string"), F.col("source"), counts=True)
     got = sorted((r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect() if not r["text"].startswith("own"))
     assert got == sorted([("a", 2, 1), ("b", 3, 2), ("b", 3, 2), ("", 1, 1), ("x\n\ny", 3, 1)])
+
+
+def test_unusable_documents_take_no_place_in_the_sample(spark, monkeypatch):
+    """Long and missing texts are passed over before the sample is limited, and the sample is limited in characters too."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 20)
+    monkeypatch.setattr(toxicity, "LEARNED_CHARS", 400)
+    rows = [(i, None if i % 3 == 0 else "x " * 300 if i % 3 == 1 else ("you vile worm. fine day." if i % 2 else "a fine day. all good.")) for i in range(600)]
+    labels = [(i, int(i % 2)) for i in range(600)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, told, F.lit(True))
+    scores = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.scored(docs.where("doc_id in (5, 2)"), model).collect()}
+    assert scores[5] > 0.7 > 0.3 > scores[2]
+    monkeypatch.setattr(toxicity, "CLASS_CHARS", 10)
+    assert toxicity.train(docs, told, F.lit(True)).weights == {}

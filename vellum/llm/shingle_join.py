@@ -368,9 +368,10 @@ def _verify_clusters(part: pd.DataFrame, min_jaccard: float) -> pd.DataFrame:
         cluster, sets = _own_texts(cluster)
         ids, copies = cluster["id"].to_numpy(np.int64), cluster["copies"].to_numpy(np.int64)
         if len(ids) <= 12:
-            sigs, n = np.stack([np.frombuffer(s, np.uint8) for s in cluster["sig"]]), np.array([len(s) for s in sets])
+            # every pair is compared exactly, as in larger clusters; sizes that are too far apart rule a link out
+            n = np.array([len(s) for s in sets], np.int64)
             a, b = np.triu_indices(len(ids), 1)
-            fit = _agree(sigs[a], sigs[b], n[a], n[b], min_jaccard)
+            fit = q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])
             a, b = a[fit], b[fit]
             common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
             true = (p + q) * common >= p * (n[a] + n[b])

@@ -6,9 +6,10 @@ documents' labels therefore teaches which sentences are at fault, and the fitted
 them.
 
 The model is fitted on a bounded sample: at most ``PER_CLASS`` labelled documents of each class,
-the first by a hash of their id among the rows that may be learned from and whose text has at
-most ``LEARNED_CHARS`` characters. Everything else (every text, every sentence) is covered in full
-and scored in Arrow batches.
+the first by a hash of their id among the rows that may be learned from and whose text isn't
+empty and has at most ``LEARNED_CHARS`` characters; all of a class have at most ``CLASS_CHARS``
+together. Everything else (every text, every sentence) is covered in full and scored in Arrow
+batches.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, remainder, table
@@ -30,6 +31,8 @@ from .common import materialise, remainder, table
 PER_CLASS = 4000
 #: Characters of a document that is learned from, at most: it bounds the sample's size. Longer texts are scored like all.
 LEARNED_CHARS = 100_000
+#: Characters of all documents of a class that is learned from, at most: what the driver holds while it fits grows with these.
+CLASS_CHARS = 16_000_000
 #: Words and beginnings of words have a weight if at least MIN_DOCS of the sample's documents hold
 #: them, and the classes differ by more than chance: a chi-square of MIN_CHI.
 MIN_DOCS, MIN_CHI = 8, 20.0
@@ -148,9 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> NoisyOr:
     """
     known = labels.where(may_learn).dropna(subset=["doc_id", "toxic"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [known.where(F.col("toxic") == c).orderBy(*order).limit(PER_CLASS) for c in (0, 1)]
-    sample = picked[0].unionByName(picked[1])  # at most 2 * PER_CLASS rows of two numbers
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= LEARNED_CHARS)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text").between(1, LEARNED_CHARS))
+    # documents that can't be learned from take no place in the sample
+    lengths = texts.groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("chars"))
+    usable = materialise(known.join(lengths, "doc_id"), "usable")
+    first = [usable.where((F.col("toxic") > 0) == bool(c)).orderBy(*order).limit(PER_CLASS).withColumn("c", F.lit(c)) for c in (0, 1)]
+    so_far = F.sum("chars").over(Window.partitionBy("c").orderBy(*order))  # over at most PER_CLASS rows
+    sample = first[0].unionByName(first[1]).withColumn("so_far", so_far).where(F.col("so_far") <= CLASS_CHARS).select("doc_id", "toxic")  # at most 2 * PER_CLASS rows of two numbers
     bags = materialise(texts.join(F.broadcast(sample), "doc_id"), "labelled")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
