@@ -134,3 +134,22 @@ def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near[:5])]
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
     assert retrieval.nearest(vectors.limit(0), queries, 3).count() == 0
+
+
+def test_queries_of_a_tenant_are_dealt_to_blocks(spark, monkeypatch):
+    """Many queries and many vectors of one tenant, ties included, against all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 30)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (150, 4)).astype(float)
+    q = rng.integers(-2, 3, (100, 4)).astype(float)
+    rows = [(i, "t" if i % 5 else "u", [float(c) for c in v]) for i, v in enumerate(x)]
+    asked = [(i, "t" if i % 7 else "u", [float(c) for c in v]) for i, v in enumerate(q)]
+    want = set()
+    for name, tenant, v in asked:
+        near = sorted((-round(float(np.dot(w, v) / (np.linalg.norm(w) * np.linalg.norm(v))), 6), i) for i, t, w in rows if t == tenant and any(w) and any(v))
+        want |= {(name, i, -s + 0.0, k) for k, (s, i) in enumerate(near[:6], 1)}
+    got = retrieval.nearest(spark.createDataFrame(rows, "id long, tenant string, vector array<double>"), spark.createDataFrame(asked, "query_id long, tenant string, vector array<double>"), 6)
+    assert {(r["query_id"], r["id"], r["similarity"] + 0.0, r["rank"]) for r in got.collect()} == want

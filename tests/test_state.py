@@ -157,3 +157,21 @@ def test_logs_skip_what_they_cannot_read(spark):
     assert [r["ts"] for r in logs.newest(log, "ts", 3).collect()] == [9, 4, 3]
     logs.compact(log, "ts", 2, f"{where}/small")
     assert logs.read_log(spark, f"{where}/small", "ts long, question string").count() == 2
+
+
+def test_late_calls_credit_no_time_twice(spark):
+    """One call a micro-batch: the second is older than the state, and the third comes before a token is back."""
+    where = tempfile.mkdtemp(prefix="spark-late-", dir="/tmp")
+    day = state.DAY_US
+    calls = [(1, 1, 1000), (2, 1, 500), (3, 1, 1050), (4, 1, 1100), (5, 2, day + 10), (6, 2, 10), (7, 2, day + 500)]
+    schema = "event_id long, key long, us long"
+    for call in calls:
+        spark.createDataFrame([call], schema).coalesce(1).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{where}/in")
+        query = streams.rate_limit_stream(stream, 1, 100, 1 if call[1] == 2 else 40).writeStream.format("parquet")
+        query = query.option("checkpointLocation", f"{where}/state").option("path", f"{where}/out").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(f"{where}/out").collect()}
+    # key 2 has a quota of one a day: a call of the day before opens no new day, and gives the later one nothing back
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False}

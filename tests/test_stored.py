@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from vellum.operators import maintain, retrieval
+from vellum.operators import ingest, maintain, memory_run, retrieval
 from vellum.operators.inverted import InvertedIndex
 from vellum.sources.shared import Folder
 from vellum.sources.store import ChunkStore
@@ -148,3 +148,70 @@ def test_files_appear_once(spark, tmp_path):
     assert folder.read("a.json") == "ü" and folder.names() == ["a.json"]
     folder.remove("a.json")
     assert folder.names() == []
+
+
+CONTRACT = {"schema_version": 2, "chunk_size": 200, "chunk_overlap": 40}
+
+
+def _lines(docs):
+    """A chunk for each line."""
+    return docs.selectExpr("tenant", "doc_id", "posexplode(filter(split(text, '\\n'), x -> x <> '')) as (chunk_index, content)")
+
+
+def test_ingest_writes_what_changed(spark, tmp_path, monkeypatch):
+    store, path = ChunkStore(spark, f"{tmp_path}/chunks", 2), f"{tmp_path}/manifest"
+    frame = lambda rows: spark.createDataFrame(rows, "tenant string, doc_id long, text string")
+    docs = [("a", 1, "x\ny"), ("a", 2, "z"), ("b", 1, "w"), ("b", 3, None)]
+    told = ingest.ingest(store, frame(docs), _lines, CONTRACT, path)
+    assert told == {"built": 4, "deleted": 0, "kept": 0, "generation": 1}
+    files = _files(tmp_path)
+    assert ingest.ingest(store, frame(docs), _lines, CONTRACT, path) == {"built": 0, "deleted": 0, "kept": 4, "generation": 1}
+    assert _files(tmp_path) == files  # a second run writes nothing
+    changed = [("a", 1, "x"), ("b", 1, "w"), ("b", 3, ""), ("c", 9, "n")]
+    # a run that dies between the chunks and the manifest is repeated to the same end
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "save_manifest", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            ingest.ingest(store, frame(changed), _lines, CONTRACT, path)
+    told = ingest.ingest(store, frame(changed), _lines, CONTRACT, path)
+    assert told == {"built": 2, "deleted": 1, "kept": 2, "generation": 3}
+    assert _seen(store) == _seen(store, 2) == [("a", 1, 0, "x"), ("b", 1, 0, "w"), ("c", 9, 0, "n")]
+    assert {(r["doc_id"], r["chunks"]) for r in maintain.load_manifest(spark, path)[0].collect()} == {('{"t":"a","d":"1"}', 1), ('{"t":"b","d":"1"}', 1), ('{"t":"b","d":"3"}', 0), ('{"t":"c","d":"9"}', 1)}
+    # another contract builds everything, and what is in no manifest goes
+    store.upsert(spark.createDataFrame([("z", 5, 0, "stray")], CHUNK))
+    assert ingest.ingest(store, frame(changed), _lines, {**CONTRACT, "chunk_size": 100}, path)["built"] == 4 and len(_seen(store)) == 3
+
+
+def test_ingest_of_a_stream(spark, tmp_path):
+    store, schema = ChunkStore(spark, f"{tmp_path}/chunks", 2), "tenant string, doc_id long, text string, seq long"
+    batches = [[("a", 1, "x", 1), ("a", 2, "y", 2), ("a", 1, "x2", 3)], [("a", 2, "y", 4)], [("a", 2, "", 5), ("b", 1, "w\nv", 6)]]
+    generations = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = ingest.ingest_stream(stream, store, _lines, CONTRACT, f"{tmp_path}/manifest", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        generations.append(store.generation().number)
+    assert generations == [1, 1, 2] and _seen(store) == [("a", 1, 0, "x2"), ("b", 1, 0, "w"), ("b", 1, 1, "v")]
+
+
+def test_memory_runs(spark):
+    """Slots are updated, equal texts change nothing, the cap holds, and users don't see each other's memories."""
+    extract = lambda said: None if said.startswith("?") else tuple(said.split("=", 1)) if "=" in said else (None, said)
+    rows = [
+        (1, 1, "name=I am Ann", "hello", "no_memory", [], [], [], []),
+        (1, 2, "?what am I called", "you are Ann", "check", ["Ann"], ["Bob"], ["Ann"], ["Bob"]),
+        (2, 1, "?what am I called", "no idea", "check", ["idea"], [], [], ["Ann"]),
+        (1, 3, "name=I am Bob", "fine", "check", ["fine"], [], ["Bob"], ["Ann"]),
+        (1, 4, "name=I am Bob", None, "check", [], [], [], []),
+        (1, 5, "tea", "ok", "check", ["no"], [], [], []),
+        (1, 6, "milk", "ok", "check", ["ok"], [], ["milk"], ["Bob"]),
+    ]
+    schema = "user long, step long, said string, answer string, kind string, expect_any array<string>, expect_none array<string>, memory_any array<string>, memory_none array<string>"
+    steps = spark.createDataFrame(rows, schema)
+    got = {(r["user"], r["step"]): tuple(r)[2:] for r in memory_run.run(steps, extract, cap=2).collect()}
+    assert got == {
+        (1, 1): ("ADD", None, True, 0, 1), (1, 2): (None, "I am Ann", True, 1, 1), (2, 1): (None, None, True, 0, 0), (1, 3): ("UPDATE", "I am Ann", True, 1, 1),
+        (1, 4): ("NOOP", "I am Bob", True, 1, 1), (1, 5): ("ADD", None, False, 1, 2), (1, 6): ("ADD", None, True, 2, 2),
+    }

@@ -116,3 +116,55 @@ def test_scans_of_files_messages_histories_and_identities(spark):
 def test_route_labels(spark):
     for url, want in (("http://h:80/chat/12/x?q=1", "/chat/{id}/x"), ("/a/b#c", "/a/b"), ("https://h", "/"), ("", "/")):
         assert value(spark, tx.route_label, url) == want
+
+
+def _spans(text, start, end, size, overlap, separators):
+    """A plain splitter over places in the text: (start, end) of every chunk, before its blanks are cut off."""
+    used = next((i for i, s in enumerate(separators) if s and s in text[start:end]), len(separators) - 1)
+    mark = separators[used]
+    borders = [start, *(i for i in range(start + 1, end) if (text.startswith(mark, i) if mark else True)), end]
+    if mark:  # an occurrence doesn't begin inside another
+        kept = [start]
+        at = text.find(mark, start, end)
+        while at >= 0:
+            if at > start:
+                kept.append(at)
+            at = text.find(mark, at + len(mark), end)
+        borders = [*kept, end]
+    out, run = [], []
+
+    def flush():
+        queue = []
+        for a, b in run:
+            if queue and b - queue[0][0] > size:
+                out.append((queue[0][0], queue[-1][1]))
+                while queue and (queue[-1][1] - queue[0][0] > overlap or b - queue[0][0] > size):
+                    queue.pop(0)
+            queue.append((a, b))
+        if queue:
+            out.append((queue[0][0], queue[-1][1]))
+        run.clear()
+
+    for a, b in zip(borders, borders[1:], strict=False):
+        if b - a < size:
+            run += [(a, b)] if b > a else []
+            continue
+        flush()
+        out += _spans(text, a, b, size, overlap, separators[used + 1 :]) if used + 1 < len(separators) else [(a, b)]
+    flush()
+    return out
+
+
+def test_chunks_are_pieces_of_their_texts(spark):
+    """Every chunk of every document against places in the text; line ends inside a chunk stay."""
+    import os
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()} if os.path.isdir(folder) else {}
+    docs |= {-1: "ab\n" + "x" * 95 + " " + "y" * 120 + "\n\n\ncd", -2: "。".join("内容" * 30 for _ in range(9)), -3: " \n" * 300, -4: "w " * 500 + "z" * 900 + " end"}
+    made = {}
+    for r in chunk.recursive_chunks(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).orderBy("doc_id", "chunk_index").collect():
+        made.setdefault(r["doc_id"], []).append(r["content"])
+    for doc_id, text in docs.items():
+        want = [c for a, b in _spans(text or "", 0, len(text or ""), chunk.SIZE, chunk.OVERLAP, chunk.SEPARATORS) if (c := text[a:b].strip())]
+        assert made.get(doc_id, []) == want and all(c in text and len(c) <= chunk.SIZE for c in want)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import answering, chunk, evaluate, memory, retrieval
+from ..operators import answering, chunk, evaluate, memory, memory_run, retrieval
 from .queries import _MEMORY, _NOW, _SHARED, _benchmark, _bigrams, _documents, _hits, _HITS, _memory, query, read
 
 
@@ -201,17 +201,21 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         words(conv % 4 != 0, "the", "und", "que").alias("expect_any"), words(conv % 3 == 0, "ation").alias("expect_none"),
         words(conv % 5 == 1, "er", "ie").alias("memory_any"), words(conv % 7 == 2, "ing", "heit").alias("memory_none"),
     )
-    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
-    answers = u.drop("text").join(said, ["conv_id", "turn"]).select("step", "text")
-    earlier = u.select("conv_id", F.col("turn").alias("m_turn"), "text")
-    memories = u.drop("text").join(earlier, "conv_id").where("m_turn <= turn")  # one conversation's turns
-    counts = memories.groupBy(conv.alias("user"), "step").agg(F.count_distinct("text").alias("memories"))
-    return evaluate.probe_verdicts(probes, answers, memories.select("step", "text")).join(evaluate.growth(counts), "step")
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    spoken = u.select("conv_id", "turn", "step", F.col("text").alias("said")).join(said, ["conv_id", "turn"], "left").select("step", "said", "answer")
+    return probes.withColumnRenamed("conv_id", "user").join(spoken, "step")
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    steps = _probes(spark, sf_dir)
+    return steps, memory_run.run(steps, cap=1000)
 
 
 @query(f"WITH {_PROBE_SQL} SELECT step, kind, dimension, passed, memories_before, memories_after FROM judged JOIN growth USING (step)")
 def memory_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _probes(spark, sf_dir).select("step", "kind", "dimension", "passed", "memories_before", "memories_after")
+    """Every user turn as a step of a run: judged by its answer and by what the operations so far have left remembered."""
+    steps, results = _run(spark, sf_dir)
+    return results.join(steps.select("step", "kind", "dimension"), "step").select("step", "kind", "dimension", "passed", "memories_before", "memories_after")
 
 
 @query(f"""
@@ -221,7 +225,7 @@ SELECT dimension, count(*) FILTER (WHERE kind = 'check') AS n, round(avg(CAST(pa
 FROM judged JOIN growth USING (step) GROUP BY dimension
 """)
 def memory_probe_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.probe_rates(_probes(spark, sf_dir))
+    return memory_run.rates(*_run(spark, sf_dir))
 
 
 @query(f"""WITH {_MEMORY} SELECT tenant, "user", seq, key, importance, max(importance) OVER (PARTITION BY tenant, "user") AS fallback FROM facts WHERE importance >= 0.3""")

@@ -5,16 +5,23 @@ Each makes its tables from the standard ones, in the shared folder, and reads th
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk, maintain, timeline
+from ..operators.ingest import ingest
 from ..operators.inverted import InvertedIndex
+from ..sources import files
 from ..sources.shared import fresh_path
 from ..sources.store import ChunkStore
-from .queries import _BM25, _benchmark, _documents, query, read
+from .queries import _BM25, NORMALIZED, _benchmark, _documents, query, read
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -31,7 +38,7 @@ def _changed(docs: DataFrame) -> DataFrame:
 def _store(spark: SparkSession, sf_dir: str) -> ChunkStore:
     """Four generations: all documents; one in ten changed; one in ten deleted, by those who have them and by others; a tenant deleted."""
     docs = _documents(spark, sf_dir)
-    store = ChunkStore(spark, fresh_path(spark, "chunks"))
+    store = ChunkStore(spark, fresh_path(spark, "chunks"), buckets=2)
     store.upsert(_cut(docs))
     changed = _changed(docs)
     store.upsert(_cut(changed), changed)
@@ -125,3 +132,84 @@ def bounded_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups = events.select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 40).cast("string")).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     hits = timeline.bounded_cache_hits(lookups, 21_600_000_000, _LRU)
     return hits.groupBy(F.split_part("key", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count_if("hit").alias("hits"), F.count("*").alias("lookups"))
+
+
+@query("""
+WITH d1 AS (SELECT source AS tenant, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 13 <> 4),
+d2 AS (SELECT source AS tenant, doc_id, CASE WHEN doc_id % 20 = 3 THEN '' WHEN doc_id % 10 = 3 THEN text || ' ' || text ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 7 <> 3),
+j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.text AS old, b.text AS new FROM d1 a FULL JOIN d2 b ON a.doc_id = b.doc_id),
+n AS (SELECT count(*) AS all1 FROM d1),
+c AS (SELECT count(*) FILTER (WHERE new IS NOT NULL AND old IS DISTINCT FROM new) AS built, count(*) FILTER (WHERE new IS NULL) AS deleted, count(*) FILTER (WHERE old = new) AS kept FROM j),
+size1 AS (SELECT CAST(sum(greatest(CAST(ceil((length(text) - 40) / 160.0) AS BIGINT), 1)) AS BIGINT) AS chunks FROM d1 WHERE text <> ''),
+size2 AS (SELECT CAST(sum(greatest(CAST(ceil((length(text) - 40) / 160.0) AS BIGINT), 1)) AS BIGINT) AS chunks FROM d2 WHERE text <> '')
+SELECT 1 AS run, 1 AS generation, all1 AS built, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS kept, chunks FROM n, size1
+UNION ALL SELECT 2, 1, 0, 0, all1, chunks FROM n, size1
+UNION ALL SELECT 3, 2, built, deleted, kept, chunks FROM c, size2
+""")
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ingests: of most documents; of the same, which writes nothing; and after some were added, changed and removed."""
+    docs, root = _documents(spark, sf_dir), fresh_path(spark, "ingest")
+    store, contract = ChunkStore(spark, f"{root}/chunks", buckets=2), {"schema_version": 2, "chunk_size": 200, "chunk_overlap": 40}
+    first, last = docs.where("doc_id % 13 <> 4"), docs.where("doc_id % 10 <> 3").unionByName(_changed(docs)).where("doc_id % 7 <> 3")
+    rows = []
+    for run, now in enumerate((first, first, last), 1):
+        told = ingest(store, now, _cut, contract, f"{root}/manifest")
+        rows.append((run, told["generation"], told["built"], told["deleted"], told["kept"]))
+    counts = [store.read(n).agg(F.count("*").alias("chunks")).select(F.lit(n).alias("g"), "chunks") for n in store.numbers()]
+    told = spark.createDataFrame(rows, "run int, generation int, built long, deleted long, kept long")
+    return told.join(reduce(DataFrame.unionByName, counts), F.col("generation") == F.col("g")).drop("g")
+
+
+def zipped(parts: dict[str, str]) -> bytes:
+    """An archive of XML parts."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in parts.items():
+            archive.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return out.getvalue()
+
+
+def _xml(text: str) -> str:
+    return escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", text))
+
+
+def docx_of(text: str) -> bytes:
+    """A text as a DOCX, a paragraph for each line."""
+    paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{_xml(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    return zipped({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{paragraphs}</w:body></w:document>'})
+
+
+def xlsx_of(title: str, rows: list[list[str]]) -> bytes:
+    """Rows of cells as a workbook of one sheet."""
+    cells = lambda row: "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{_xml(c)}</t></is></c>' for c in row)
+    main, odf = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    return zipped(
+        {
+            "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{odf}"><sheets><sheet name="{_xml(title)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(f"<row>{cells(r)}</row>" for r in rows)}</sheetData></worksheet>',
+        }
+    )
+
+
+@query(f"""
+WITH documents AS (SELECT doc_id, lang, source, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM documents),
+{NORMALIZED}
+SELECT doc_id || '.docx' AS path, nullif(t, '') AS text, CASE WHEN t = '' THEN 'no text' END AS error FROM f
+UNION ALL SELECT doc_id || '.xlsx', '【工作表: ' || lang || '】' || chr(10) || 'doc_id: ' || doc_id || '; source: ' || source, NULL FROM documents
+""")
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a DOCX, a paragraph for each line, and what is known of it as an XLSX; made in tasks, and read back as files are."""
+
+    @F.pandas_udf("binary")
+    def as_docx(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: docx_of(t or ""))
+
+    @F.pandas_udf("binary")
+    def as_xlsx(ids: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.Series:
+        return pd.Series([xlsx_of(lang or "", [["doc_id", "source"], [str(i), s or ""]]) for i, lang, s in zip(ids, langs, sources, strict=True)])
+
+    docs = read(spark, sf_dir, "documents")
+    texts = docs.select(F.concat("doc_id", F.lit(".docx")).alias("path"), as_docx("text").alias("content"))
+    tables = docs.select(F.concat("doc_id", F.lit(".xlsx")).alias("path"), as_xlsx("doc_id", "lang", "source").alias("content"))
+    return files.extract(texts.unionByName(tables)).select("path", "text", "error")

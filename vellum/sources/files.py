@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import doc_id_of, normalize, render_rows, stem
+from . import office
 
 PLAIN = (".txt", ".md", ".markdown", ".log")
 TABLES = (".csv", ".tsv")
@@ -30,21 +31,6 @@ def _pdf(raw: bytes) -> Parts:
     return [("", t) for page in reader.pages if (t := (page.extract_text() or "").strip())]
 
 
-def _docx(raw: bytes) -> Parts:
-    import docx
-
-    document = docx.Document(io.BytesIO(raw))
-    texts: Parts = [("", t) for p in document.paragraphs if (t := p.text.strip())]
-    return texts + [("", [[c.text for c in r.cells] for r in t.rows]) for t in document.tables]
-
-
-def _xlsx(raw: bytes) -> Parts:
-    import openpyxl
-
-    book = openpyxl.load_workbook(io.BytesIO(raw), read_only=True, data_only=True)
-    return [(f"【工作表: {s.title}】\n", [["" if c is None else str(c) for c in r] for r in s.iter_rows(values_only=True)]) for s in book]
-
-
 @dataclass(frozen=True)
 class Parser:
     """``parse`` takes a file's bytes; ``joint`` stands between its parts. A part is left out where it is blank, its heading too."""
@@ -54,7 +40,7 @@ class Parser:
 
 
 #: Parsers by suffix; give :func:`extract` a table of your own to add formats.
-PARSERS = {".pdf": Parser(_pdf, "\n\n"), ".docx": Parser(_docx, "\n"), ".xlsx": Parser(_xlsx, "\n\n"), ".xlsm": Parser(_xlsx, "\n\n")}
+PARSERS = {".pdf": Parser(_pdf, "\n\n"), ".docx": Parser(office.docx, "\n"), ".xlsx": Parser(office.xlsx, "\n\n"), ".xlsm": Parser(office.xlsx, "\n\n")}
 
 
 def formats(spark: SparkSession, parsers: dict[str, Parser] | None = None) -> DataFrame:
