@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, maintain, timeline
+from ..operators import chunk, graph_index, maintain, retrieval, timeline
 from ..operators.ingest import ingest
 from ..operators.inverted import InvertedIndex
 from ..sources import files
 from ..sources.shared import fresh_path
 from ..sources.store import ChunkStore
-from .queries import _BM25, NORMALIZED, _benchmark, _documents, query, read
+from .queries import _BM25, _NEAREST, NORMALIZED, _benchmark, _documents, _vector_queries, _vectors, query, read
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -213,3 +213,25 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = docs.select(F.concat("doc_id", F.lit(".docx")).alias("path"), as_docx("text").alias("content"))
     tables = docs.select(F.concat("doc_id", F.lit(".xlsx")).alias("path"), as_xlsx("doc_id", "lang", "source").alias("content"))
     return files.extract(texts.unionByName(tables)).select("path", "text", "error")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> graph_index.GraphIndex:
+    """A graph of all vectors, added in two parts."""
+    index = graph_index.GraphIndex(spark, fresh_path(spark, "graph"))
+    index.add(_vectors(spark, sf_dir).where("id % 3 <> 1"))
+    index.add(_vectors(spark, sf_dir).where("id % 3 = 1"))
+    return index
+
+
+@query(f"WITH {_NEAREST} SELECT query_id, id, similarity, rank FROM nearest WHERE rank <= 5")
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest by a walk whose beam holds a whole block, which finds all."""
+    return _graph(spark, sf_dir).nearest(_vector_queries(spark, sf_dir), 5, beam=graph_index.BLOCK * 2)
+
+
+@query(f"WITH {_NEAREST} SELECT count(*) AS neighbours, true AS enough FROM nearest WHERE rank <= 10")
+def knn_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a walk with the usual beam finds at least 0.95 of the ten nearest."""
+    asked = _vector_queries(spark, sf_dir)
+    told = graph_index.recall(_graph(spark, sf_dir).nearest(asked, 10), retrieval.nearest(_vectors(spark, sf_dir), asked, 10))
+    return told.select("neighbours", (F.col("recall") >= 0.95).alias("enough"))
