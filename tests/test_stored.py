@@ -7,6 +7,7 @@ import pytest
 
 from vellum.operators import ingest, maintain, memory_run, retrieval
 from vellum.operators.inverted import InvertedIndex
+from vellum.sources.logs import Log
 from vellum.sources.shared import Folder
 from vellum.sources.store import ChunkStore
 
@@ -215,3 +216,42 @@ def test_memory_runs(spark):
         (1, 1): ("ADD", None, True, 0, 1), (1, 2): (None, "I am Ann", True, 1, 1), (2, 1): (None, None, True, 0, 0), (1, 3): ("UPDATE", "I am Ann", True, 1, 1),
         (1, 4): ("NOOP", "I am Bob", True, 1, 1), (1, 5): ("ADD", None, False, 1, 2), (1, 6): ("ADD", None, True, 2, 2),
     }
+
+
+def test_log_is_rewritten(spark, tmp_path):
+    log = Log(spark, f"{tmp_path}/log", "n long, text string", ["n"], keep=7, every=3)
+    assert log.read().count() == 0
+    rows = lambda a, b: spark.createDataFrame([(i, f"ü{i}") for i in range(a, b)], "n long, text string")
+    log.append(rows(50, 55))
+    log.append(rows(0, 4))
+    early = log.read()
+    assert [r["n"] for r in early.collect()] == [52, 53, 54, 0, 1, 2, 3]  # in the order of the appends, not of n
+    log.append(rows(20, 22))  # the third append has the log rewritten
+    assert [r["n"] for r in log.read().collect()] == [54, 0, 1, 2, 3, 20, 21] and len(log._told()["folders"]) == 1
+    assert [r["n"] for r in early.collect()] == [52, 53, 54, 0, 1, 2, 3]  # a reader that had begun sees its version
+    broken = next((tmp_path / "log" / "parts" / log._told()["folders"][0]).glob("*.json"))
+    broken.with_name("part-x.json").write_text("{not json\n\n")
+    assert [r["n"] for r in log.read().collect()] == [54, 0, 1, 2, 3, 20, 21]
+    log.append(rows(9, 10))
+    log.expire()
+    assert [r["n"] for r in log.read().collect()] == [0, 1, 2, 3, 20, 21, 9] and len(log._versions.names()) == 1
+
+
+def test_several_hops_store_their_rounds(spark):
+    """Only the questions that aren't answered go on, each round is retrieved once, and a round without questions doesn't happen."""
+    from vellum.operators import answering
+
+    asked = spark.createDataFrame([(1, "sure"), (2, "vague"), (3, "stuck")], "query_id long, text string")
+    seen = []
+
+    def retrieve(q):
+        seen.append(sorted(r["text"] for r in q.collect()))
+        hits = q.selectExpr("query_id", "1 as rank", "if(text = 'vague', 0.3, if(text = 'stuck', 0.2, 0.9)) as similarity", "text as content")
+        return hits.selectExpr("*", "'cosine' as score_kind", "'d' as doc_id", "cast(null as int) as chunk_index", "cast(null as double) as rerank_score")
+
+    def rewrite(q):
+        return q.selectExpr("query_id", "if(text = 'vague', 'clear', text) as text")
+
+    got = answering.multi_hop(asked, retrieve, rewrite, rounds=4).collect()
+    assert seen == [["stuck", "sure", "vague"], ["clear"]]
+    assert sorted((r["query_id"], r["content"], r["rank"]) for r in got) == [(1, "sure", 1), (2, "clear", 1), (2, "vague", 2), (3, "stuck", 1)]

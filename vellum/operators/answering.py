@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSAL_MARKERS, bare
+from ..sources.shared import stored
 from .retrieval import _codes, best_per_chunk, top
 
 
@@ -32,17 +34,20 @@ def multi_hop(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], re
     """Hits of up to ``rounds`` rounds of retrieval, each chunk once, ranked by their best score.
 
     After a round the queries whose first hit isn't confident are rewritten; those for which
-    ``rewrite`` gives no text, or the same, stop. All queries share each round, and the rounds
-    are few and known beforehand, so the plan stays small.
+    ``rewrite`` gives no text, or the same, stop. All queries share each round. A round's hits,
+    and the questions that go on, are stored: no round is worked out again for the next one, and
+    where none goes on there is no next one.
     """
-    found, asked = None, queries
+    found, asked = [], queries
     for k in range(rounds):
-        hits = retrieve(asked).withColumn("seq", F.col("rank") + k * 1_000_000)
-        found = hits if found is None else found.unionByName(hits)
+        hits = stored(retrieve(asked).withColumn("seq", F.struct(F.lit(k).alias("round"), "rank")), "hits")
+        found.append(hits)
         if k + 1 < rounds:
-            again = rewrite(asked.join(confident(hits), "query_id", "left_anti")).withColumnRenamed("text", "new_text")
-            asked = asked.join(again.select("query_id", "new_text"), "query_id").where("new_text <> '' and new_text <> text").withColumn("text", F.col("new_text")).drop("new_text")
-    return best_per_chunk(found.drop("rank"))
+            again = rewrite(asked.join(confident(hits), "query_id", "left_anti")).select("query_id", F.col("text").alias("new_text"))
+            asked = stored(asked.join(again, "query_id").where("new_text <> '' and new_text <> text").withColumn("text", F.col("new_text")).drop("new_text"), "asked")
+            if asked.isEmpty():
+                break
+    return best_per_chunk(reduce(DataFrame.unionByName, found).drop("rank"))
 
 
 def facts(turns: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunk, graph_index, maintain, retrieval, timeline
+from ..functions import text as tx
+from ..operators import chunk, graph_index, maintain, privacy, retrieval, timeline
 from ..operators.ingest import ingest
 from ..operators.inverted import InvertedIndex
 from ..sources import files
+from ..sources.logs import Log
 from ..sources.shared import fresh_path
 from ..sources.store import ChunkStore
-from .queries import _BM25, _NEAREST, NORMALIZED, _benchmark, _documents, _vector_queries, _vectors, query, read
+from .queries import _BM25, _FEEDBACK, _NEAREST, NORMALIZED, _benchmark, _documents, _feedback, _vector_queries, _vectors, query, read
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -235,3 +237,29 @@ def knn_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _vector_queries(spark, sf_dir)
     told = graph_index.recall(_graph(spark, sf_dir).nearest(asked, 10), retrieval.nearest(_vectors(spark, sf_dir), asked, 10))
     return told.select("neighbours", (F.col("recall") >= 0.95).alias("enough"))
+
+
+@query(f"""
+WITH {_FEEDBACK}
+SELECT event_id, coalesce(tenant, '-') AS tenant, rating FROM f ORDER BY event_id % 5 DESC, event_id DESC LIMIT 700
+""")
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 700 ratings of a log of five appends that is rewritten after every second one."""
+    rows = _feedback(spark, sf_dir).select("event_id", "tenant", "rating")
+    log = Log(spark, fresh_path(spark, "log"), "event_id long, tenant string, rating long", ["event_id"], keep=700, every=2)
+    for i in range(5):
+        log.append(rows.where(F.col("event_id") % 5 == i))
+    return log.read().select("event_id", F.coalesce("tenant", F.lit("-")).alias("tenant"), "rating")
+
+
+@query("""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+SELECT doc_id || ':doc/' || doc_id AS path, count(*) FILTER (WHERE regexp_matches(line, 'token = "[0-9a-f]{16,}"')) AS n FROM lines GROUP BY doc_id
+HAVING count(*) FILTER (WHERE regexp_matches(line, 'token = "[0-9a-f]{16,}"')) > 0
+""")
+def scanned_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the added lines of commits; keys by file, however the history stands."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    patch = F.concat(F.lit("+++ b/doc/"), F.col("doc_id"), F.lit("\n+"), F.regexp_replace("text", "\n", "\n+"))
+    hits = privacy.scan_history(docs.select(F.col("doc_id").cast("string").alias("path"), patch.alias("text")), {"token": tx.MORE_RULES["token"]})
+    return hits.groupBy("path").agg(F.count("*").alias("n"))
