@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import Folder
+from ..sources.shared import Folder, stored
 
 SCHEMA_VERSION = 2
 CONTRACT = ("schema_version", "chunk_size", "chunk_overlap")
@@ -70,8 +70,18 @@ def total_chunks(docs: DataFrame) -> DataFrame:
 
 
 def versions(writes: DataFrame) -> DataFrame:
-    """``writes`` (tenant, seq) with ``kb_version``: how many writes a tenant's documents have seen, this one included."""
-    return writes.withColumn("kb_version", F.row_number().over(Window.partitionBy("tenant").orderBy("seq")))
+    """``writes`` (tenant, seq) with ``kb_version``: how many writes a tenant's documents have seen, this one included.
+
+    Writes are numbered within ranges of tenant and seq, and each range begins with the number of
+    those before it: a tenant with very many writes is many tasks.
+    """
+    dealt = stored(writes.repartitionByRange("tenant", "seq").withColumn("range_", F.spark_partition_id()), "writes")
+    sizes = dealt.groupBy("tenant", "range_").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("tenant").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of the tenant
+    before = sizes.select(F.col("tenant").alias("t_"), F.col("range_").alias("r_"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("tenant", "range_").orderBy("seq"))
+    numbered = dealt.withColumn("own_", own).join(before, F.col("tenant").eqNullSafe(F.col("t_")) & (F.col("range_") == F.col("r_")))
+    return numbered.select(*writes.columns, (F.col("own_") + F.col("before_")).alias("kb_version"))
 
 
 def plan(before: DataFrame, after: DataFrame, rebuild: bool, failed: Column | None = None) -> DataFrame:
