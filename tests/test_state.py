@@ -175,3 +175,29 @@ def test_late_calls_credit_no_time_twice(spark):
     got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(f"{where}/out").collect()}
     # key 2 has a quota of one a day: a call of the day before opens no new day, and gives the later one nothing back
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False}
+
+
+def test_generated_answers_that_fail_are_degraded(spark):
+    from vellum.operators import answering
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no answer")
+        return [p.upper() for p in prompts]
+
+    rows = [(1, "one"), (2, "bad"), (3, None), (4, "two")]
+    got = sorted(map(tuple, answering.generated(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", model).collect()))
+    assert got == [(1, "ONE", "direct"), (2, None, "degraded"), (3, None, "degraded"), (4, "TWO", "direct")]
+
+
+def test_versions_of_a_large_tenant(spark):
+    """One tenant spans several ranges; numbers run on through all of them."""
+    from vellum.operators import maintain
+
+    rows = [("hot", i * 3) for i in range(2000)] + [("b", 5), ("b", 2), (None, 1), (None, 9)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["tenant"], r["seq"]): r["kb_version"] for r in maintain.versions(spark.createDataFrame(rows, "tenant string, seq long").repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {**{("hot", i * 3): i + 1 for i in range(2000)}, ("b", 2): 1, ("b", 5): 2, (None, 1): 1, (None, 9): 2}

@@ -132,6 +132,33 @@ def scored(pairs: DataFrame, score: Callable[[pd.DataFrame], list[float]]) -> Da
     return pairs.mapInPandas(run, schema + ", relevance double").withColumn("relevance", F.nanvl("relevance", F.lit(None).cast("double")))
 
 
+def last_line(prompts: list[str]) -> list[str]:
+    """The plain default for a model that writes: each prompt's last line."""
+    return [p.rsplit("\n", 1)[-1].strip(" ") for p in prompts]
+
+
+def generated(prompts: DataFrame, key: str, generate: Callable[[list[str]], list[str | None]] = last_line) -> DataFrame:
+    """key, answer, intent of (key, text): what a model writes to each prompt, batch by batch inside tasks.
+
+    Where the model fails on a batch its prompts are tried one by one; one that fails alone, or
+    gets nothing, has no answer and the intent "degraded", which isn't remembered or cached. A
+    null prompt is an empty one.
+    """
+
+    def tried(texts: list[str]) -> list[str | None]:
+        try:
+            return list(generate(texts))
+        except Exception:  # whatever a model raises is its prompts' failure, not the job's
+            return [x for t in texts for x in tried([t])] if len(texts) > 1 else [None] * len(texts)
+
+    @F.pandas_udf("string")
+    def write(batch: pd.Series) -> pd.Series:
+        return pd.Series(tried(batch.fillna("").tolist()), dtype=object)
+
+    made = prompts.select(key, F.nullif(write("text"), F.lit("")).alias("answer"))
+    return made.withColumn("intent", F.when(F.col("answer").isNull(), "degraded").otherwise("direct"))
+
+
 def extractive_answer(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, answer: the plain default for a model's answer: the text of the first hit, or a refusal where there is none."""
     first = hits.where("rank = 1").select("query_id", "content")

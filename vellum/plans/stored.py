@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, graph_index, maintain, privacy, retrieval, timeline
+from ..operators import answering, chunk, graph_index, maintain, privacy, retrieval, timeline
 from ..operators.ingest import ingest
 from ..operators.inverted import InvertedIndex
 from ..sources import files
@@ -263,3 +263,14 @@ def scanned_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     patch = F.concat(F.lit("+++ b/doc/"), F.col("doc_id"), F.lit("\n+"), F.regexp_replace("text", "\n", "\n+"))
     hits = privacy.scan_history(docs.select(F.col("doc_id").cast("string").alias("path"), patch.alias("text")), {"token": tx.MORE_RULES["token"]})
     return hits.groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT conv_id * 1000 + turn AS answer_id, nullif(trim(string_split(text, chr(10))[-1]), '') AS answer, CASE WHEN trim(string_split(text, chr(10))[-1]) = '' THEN 'degraded' ELSE 'direct' END AS intent
+FROM conversations WHERE role = 'user' AND (contains(lower(text), 'the') OR contains(lower(text), 'que'))
+""")
+def direct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that are answered without looking anything up, by the plain stand-in for a model that writes."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("intent", answering.intent(F.col("text"), (), ("the", "que")))
+    asked = turns.where("intent = 'direct'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
+    return answering.generated(asked, "answer_id")
