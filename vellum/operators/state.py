@@ -60,6 +60,22 @@ def last_messages(turns: DataFrame, n: int) -> DataFrame:
     return turns.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
+def session_store(events: DataFrame, keep: int = 20, idle: str = "30 minutes") -> DataFrame:
+    """conv_id, n, newest: what the session store holds after a log of events (conv_id, seq, ts, text), the sweep being always up to date.
+
+    A gap of more than ``idle`` ends a conversation, and what was said before it is gone; one
+    that only touches has no text. Of the last messages ``keep`` stand. Events of one time go by
+    seq. The stream of :mod:`vellum.streaming.sessions` comes to the same where its watermark
+    passes each such gap before the next event.
+    """
+    in_order = Window.partitionBy("conv_id").orderBy("ts", "seq")
+    gap = F.col("ts") > F.lag("ts").over(in_order) + F.expr(f"INTERVAL {idle}")
+    begun = events.withColumn("gap", gap).groupBy("conv_id").agg(F.max(F.when(F.col("gap"), F.col("ts"))).alias("begun"))
+    now = events.join(begun.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).where(F.col("begun").isNull() | (F.col("ts") >= F.col("begun")))
+    held = now.groupBy("conv_id").agg(F.count("text").alias("said"), F.max_by("text", F.when(F.col("text").isNotNull(), F.struct("ts", "seq"))).alias("newest"))
+    return held.select("conv_id", F.least("said", F.lit(keep)).alias("n"), "newest")
+
+
 def least_recently_used(touches: DataFrame, key: str, ts: str, keep: int) -> DataFrame:
     """The ``keep`` keys touched last, with their last touch."""
     return touches.groupBy(key).agg(F.max(ts).alias("last_access")).orderBy(F.desc("last_access"), key).limit(keep)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import answering, chunk, graph_index, maintain, privacy, retrieval, timeline
+from ..operators import answering, chunk, graph_index, maintain, privacy, retrieval, state, timeline
 from ..operators.ingest import ingest
 from ..operators.inverted import InvertedIndex
 from ..sources import files
@@ -274,3 +274,18 @@ def direct_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("intent", answering.intent(F.col("text"), (), ("the", "que")))
     asked = turns.where("intent = 'direct'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
     return answering.generated(asked, "answer_id")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type <> 'view' THEN event_type || event_id END AS text FROM events),
+g AS (SELECT *, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR AS gap FROM e),
+b AS (SELECT user_id, max(ts) FILTER (WHERE gap) AS begun FROM g GROUP BY user_id)
+SELECT e.user_id AS conv_id, least(count(text), 3) AS n, arg_max(text, (ts, event_id)) FILTER (WHERE text IS NOT NULL) AS newest
+FROM e JOIN b USING (user_id) WHERE begun IS NULL OR ts >= begun GROUP BY 1
+""")
+def session_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store of sessions holds of each user in the end: three messages at most, gone after twelve hours without an event; views only touch."""
+    events = read(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") != "view", F.concat("event_type", "event_id"))
+    log = events.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"))
+    return state.session_store(log, 3, "12 hours")
