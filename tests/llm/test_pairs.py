@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from vellum.llm import graph, near_vectors, shingle_join
 
@@ -204,8 +205,19 @@ def test_links_within_a_large_group_are_exact(frame, monkeypatch):
     assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {i: (n[i], want[i]) for i in ids}
 
 
-def test_near_vectors_equal_brute_force(frame, monkeypatch):
-    monkeypatch.setattr(near_vectors, "LIST_SIZE", 12)  # lists of both levels
+# lists of both levels; these in blocks and divided; one list a label, divided over two levels and more
+@pytest.mark.parametrize(("list_size", "block", "cells"), [(12, 4096, 0), (12, 30, 1), (10**6, 8, 65)])
+def test_near_vectors_equal_brute_force(frame, monkeypatch, list_size, block, cells):
+    monkeypatch.setattr(near_vectors, "LIST_SIZE", list_size)
+    monkeypatch.setattr(near_vectors, "BLOCK", block)
+    divided, seen = near_vectors._divided, []
+
+    def watched(*args):
+        out = divided(*args)
+        seen.append(out.agg({"cell": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(near_vectors, "_divided", watched)
     rng = np.random.default_rng(2)
     rows, vec_id = [], 0
 
@@ -242,6 +254,7 @@ def test_near_vectors_equal_brute_force(frame, monkeypatch):
     got = near_vectors.near_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
     assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
     assert sum(n.values()) > 10_000 and len(set(component.values())) > 500
+    assert seen[0] >= cells and (cells or not seen[0])
     assert near_vectors.near_vectors(frame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 

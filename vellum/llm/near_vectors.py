@@ -3,7 +3,8 @@
 Vectors are put to unit length; a cosine of at least t is a distance of at most
 r = sqrt(2 - 2t). Coarse centroids and the codebooks of the residuals are fitted on a bounded
 sample; every vector is indexed. Lists have two levels: coarse cells, each with fine cells of its
-own. A query probes each list whose border it is within r of, at both levels, and in a list it
+own. Lists that are too long for these are divided again, level by level, in tasks. A query probes
+each list whose border it is within r of, at every level, and in a list it
 keeps what the table lookup puts within r plus that vector's own quantisation error. All these
 tests are necessary for a true pair, so the exact cosine that follows sees them all.
 """
@@ -11,6 +12,7 @@ tests are necessary for a true pair, so the exact cosine that follows sees them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,15 @@ from .graph import connected_components
 MIN_COSINE = 0.98
 #: Vectors that centroids and codebooks are fitted on: eight for each list, at least and at most.
 MIN_SAMPLE, SAMPLE = 20_000, 100_000
-#: Vectors that a list should hold. There are SAMPLE / 8 lists at most; what is beyond that makes lists longer.
+#: Vectors that a list should hold. The sample gives SAMPLE / 8 lists at most; what is beyond that makes them longer.
 LIST_SIZE = 400
 SUBSPACES, CODES = 16, 64
-#: Rows of a list, and queries to it, that one task compares at a time.
+#: Rows of a list, and queries to it, that one task compares at a time. Longer lists are divided.
 BLOCK = 4096
+#: Cells that a long list is divided into at a time, and rows that their centres are fitted on.
+FANOUT, CELL_SAMPLE = 64, 1024
+#: What share of a list's rows a query may still meet after a division that is worth it.
+WORTH = 0.25
 _EPS = 1e-5
 
 
@@ -131,7 +137,10 @@ class Quantiser:
         return [_squares(residuals[:, p], b) for p, b in zip(self.parts, self.books, strict=True)]
 
 
-_INDEXED = "label int, dim int, list int, is_query boolean, id long, copies long, vector array<double>, codes binary, error double"
+_KEY = ["label", "dim", "list", "cell"]
+_CELLS = "label int, dim int, list int, cell long, centres binary"
+_INDEXED = "label int, dim int, list int, cell long, is_query boolean, id long, copies long, vector array<double>, codes binary, error double"
+_NAMES = [x.split()[0] for x in _INDEXED.split(", ")]
 _FOUND = "id long, links long, other long"
 
 
@@ -175,6 +184,55 @@ def _join_in_list(part: pd.DataFrame, quantiser: Quantiser, min_cosine: float, r
     return pd.DataFrame({"id": np.concatenate([q_ids[links > 0], x_ids[joined]]), "links": np.concatenate([links[links > 0], np.zeros(joined.sum(), np.int64)]), "other": np.concatenate([q_root[links > 0], x_root[joined]])})
 
 
+def _fit_cells(part: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """Centres of a list's cells, from some of its rows; no row where the rows lie too close together to be told apart by cells."""
+    x = _unit(np.stack(part["vector"].to_numpy()))
+    centres = _kmeans(x, FANOUT, 6, 7)
+    share = np.bincount(_nearest(x, centres), minlength=len(centres)) / len(x)
+    met = (_within(_squares(x, centres), _gaps(centres), radius) @ share).mean()
+    return part[_KEY].head(1 if met <= WORTH else 0).assign(centres=centres.tobytes())
+
+
+def _deal_cells(part: pd.DataFrame, cells: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """Rows of a list in the cell that they belong to, queries in each whose border they are within ``radius`` of."""
+    x = _unit(np.stack(part["vector"].to_numpy()))
+    centres = np.frombuffer(cells["centres"].iloc[0]).reshape(-1, x.shape[1])
+    d = _squares(x, centres)
+    met = _within(d, _gaps(centres), radius)
+    rows = np.flatnonzero(~part["is_query"].to_numpy(bool))
+    met[rows] = False
+    met[rows, d[rows].argmin(1)] = True
+    at, cell = np.nonzero(met)
+    # as in a heap, so that no two cells of a list share a number, whatever their level
+    return part.iloc[at].assign(cell=part["cell"].to_numpy(np.int64)[at] * FANOUT + cell + 1)[_NAMES]
+
+
+def _divided(indexed: DataFrame, radius: float) -> DataFrame:
+    """``indexed`` with the lists of more than BLOCK rows divided into cells, and these again, as long as that is worth it.
+
+    Centres are fitted on about CELL_SAMPLE rows of a list, chosen by a hash, in a task for each
+    list; a list's rows are dealt to its cells by pieces of about BLOCK rows, so no task holds a
+    list. Centres travel to the pieces of their own list only. A division at least halves the
+    largest cell of its sample. What can't be divided stays one list, compared block by block.
+    """
+    settled = []
+    for level in range(10):  # 64 cells a level: numbers stay below 2**63
+        sizes = indexed.groupBy(_KEY).agg(F.count_if(~F.col("is_query")).alias("n_rows"), F.count("*").alias("n")).where(F.col("n_rows") > BLOCK)
+        long = indexed.join(sizes, _KEY)
+        chosen = long.where(~F.col("is_query")).where(F.pmod(F.xxhash64("id", F.lit(level)), F.ceil(F.col("n_rows") / CELL_SAMPLE)) == 0)
+        fit = lambda part: _fit_cells(part, radius)
+        cells = materialise(chosen.select(*_KEY, "vector").groupBy(_KEY).applyInPandas(fit, _CELLS), "cells")
+        if cells.isEmpty():
+            break
+        settled.append(indexed.join(cells.select(_KEY), _KEY, "left_anti"))
+        pieces = F.ceil(F.col("n") / BLOCK)
+        dealt = long.join(cells.select(_KEY), _KEY, "left_semi").withColumn("piece", F.pmod(F.xxhash64("id"), pieces)).select(*_NAMES, "piece")
+        sent = cells.join(sizes, _KEY).select(*cells.columns, F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+        deal = lambda part, own: _deal_cells(part, own, radius) if len(part) else part[_NAMES]
+        indexed = materialise(dealt.groupBy(*_KEY, "piece").cogroup(sent.groupBy(*_KEY, "piece")).applyInPandas(deal, _INDEXED), "index")
+    return reduce(DataFrame.unionByName, settled, indexed)
+
+
 def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
@@ -218,21 +276,20 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
                 quantiser = quantisers[dim]
                 x = _unit(np.stack(part["vector"].to_numpy()))
                 lists, codes, errors = quantiser.encode(x)
-                yield part.assign(list=lists, is_query=False, codes=[c.tobytes() for c in codes], error=errors)[_NAMES]
+                yield part.assign(list=lists, cell=0, is_query=False, codes=[c.tobytes() for c in codes], error=errors)[_NAMES]
                 at, probed = quantiser.probes(x, radius)
                 for i in range(0, len(at), 20_000):
-                    yield part.iloc[at[i : i + 20_000]].assign(list=probed[i : i + 20_000], is_query=True, codes=None, error=None)[_NAMES]
+                    yield part.iloc[at[i : i + 20_000]].assign(list=probed[i : i + 20_000], cell=0, is_query=True, codes=None, error=None)[_NAMES]
 
-    indexed = materialise(classes.mapInPandas(index, _INDEXED), "index")
-    key = ["label", "dim", "list"]
+    indexed = _divided(materialise(classes.mapInPandas(index, _INDEXED), "index"), radius)
     blocks = (
-        indexed.groupBy(key)
+        indexed.groupBy(_KEY)
         .agg(F.count_if(~F.col("is_query")).alias("n_rows"), F.count_if("is_query").alias("n_queries"))
         .where("n_rows > 0")
-        .select(*key, F.ceil(F.col("n_rows") / BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / BLOCK).alias("query_blocks"))
+        .select(*_KEY, F.ceil(F.col("n_rows") / BLOCK).alias("row_blocks"), F.ceil(F.col("n_queries") / BLOCK).alias("query_blocks"))
     )
     tasks = (
-        indexed.join(blocks, key)
+        indexed.join(blocks, _KEY)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_query"), F.col("query_blocks")).otherwise(F.col("row_blocks"))))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("row_blocks")).otherwise(F.col("query_blocks")) - 1)))
         .withColumn("row_block", F.when(F.col("is_query"), F.col("block")).otherwise(F.col("own")))
@@ -240,7 +297,7 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
         .select(*indexed.columns, "row_block", "query_block")
     )
     join = lambda part: _join_in_list(part, quantisers[int(part["dim"].iloc[0])], min_cosine, radius)
-    found = materialise(tasks.groupBy(*key, "row_block", "query_block").applyInPandas(join, _FOUND), "links")
+    found = materialise(tasks.groupBy(*_KEY, "row_block", "query_block").applyInPandas(join, _FOUND), "links")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = components.join(classes.select("id", "least"), "id")
     named = named.select("id", "component").join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").drop("component")
@@ -260,9 +317,6 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -> DataFram
     )
 
 
-_NAMES = [x.split()[0] for x in _INDEXED.split(", ")]
-
-
 def op10_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all vectors of each label."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
