@@ -1,10 +1,12 @@
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,28 @@ def test_scores_without_anything_to_learn_from(frame):
     assert r["n_known"] == 0 and abs(r["score"] + 3 * math.log10(255)) < 1e-9
 
 
+def test_rows_of_a_block_come_in_batches(frame, capsys):
+    """A cogroup would hold a block's texts and values as one piece in the JVM and again in the worker."""
+    lm_score.language_scores(frame([(1, "ab", False)], "doc_id long, text string, held_out boolean")).explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapCoGroupsInArrow" not in plan
+
+
+def test_counts_of_a_block_take_little_memory():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(4000)) for _ in range(1500)]
+    batches = [pa.RecordBatch.from_pydict({"held_out": [i % 7 == 2 for i in range(500)], "text": texts[k : k + 500]}) for k in (0, 500, 1000)]
+    tracemalloc.start()
+    n_keys, total = 0, 0
+    for out in lm_score._count_block((pa.scalar(0),), iter(batches)):
+        n_keys, total = n_keys + len(out), total + sum(n for n, kind in zip(out["n"].to_numpy(), out["kind"].to_numpy(), strict=True) if kind == 0)
+        del out
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(len(" ".join(t.split())) + 1 for i, t in enumerate(texts) if i % 500 % 7 != 2)
+    assert n_keys > 2_000_000 and peak < 45 * n_keys
+
+
 def test_site_lines(frame):
     menu, blank = "Home | About", " \t"
     rows = [(i, "a", f"{menu}\nstory {i}\n\n  {menu}\t\n{blank}") for i in range(10)] + [(20 + i, "b", f"only {i % 2}\n{menu}") for i in range(2)]

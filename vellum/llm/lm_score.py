@@ -12,10 +12,15 @@ Of those below, the two lowest have at most 65,536 and 256 entries and are hande
 a shard gets the rest, at most 256 rows for each byte that its contexts end in, by a join. Each
 block gets back the values of its own grams and words, and adds them up per document. So neither
 the model nor the counts are ever in one place, and no shard grows with the corpus.
+
+A block's rows come to its task, and leave it, in Arrow batches. A cogroup would hand all of them
+over as one piece, which the executor's JVM and its Python worker would both hold.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -37,10 +42,12 @@ BLOCK_BYTES = 24_000_000
 #: Grams of a shard, about.
 SHARD_GRAMS = 300_000
 #: Bytes of text that are turned into grams at a time.
-_CHUNK = 1_000_000
+_CHUNK = 500_000
+#: Ranges of keys in which a block's counts are added up and handed on.
+_PARTS = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-_GRAM, _WORD = 0, 1
+_GRAM, _WORD, _TEXT = 0, 1, 2
 _KEYS = "block int, kind byte, key long, n long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
@@ -56,7 +63,7 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[list[bytes]]]]:
     """The tokens of texts, about _CHUNK bytes of text at a time, and the place of the first of them."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
@@ -70,43 +77,95 @@ def _chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield first, held
 
 
-def _count_block(part: pa.Table) -> pa.Table:
+def _give_back() -> None:
+    """Freed memory goes back to the system. Workers are kept between stages, and would sit on that of their largest block."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class _Sums:
+    """Counts added up by key in _PARTS ranges of keys, so that adding to one holds little besides; a range has runs of sorted keys."""
+
+    def __init__(self):
+        self.bounds: np.ndarray | None = None
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(_PARTS)]
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """``keys``: distinct, in order. Those of the first call say where ranges end."""
+        if not len(keys):
+            return
+        if self.bounds is None:
+            self.bounds = keys[np.arange(1, _PARTS) * len(keys) // _PARTS]
+        ends = [0, *np.searchsorted(keys, self.bounds), len(keys)]
+        for runs, start, end in zip(self.parts, ends[:-1], ends[1:], strict=True):
+            if start < end:
+                runs.append((keys[start:end], n[start:end]))
+            while len(runs) > 1 and len(runs[-2][0]) < 2 * len(runs[-1][0]):
+                self._join(runs)
+
+    @staticmethod
+    def _join(runs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        (a, n), (b, m) = runs.pop(), runs.pop()
+        runs.append(ppm.counted(np.concatenate([a, b]), np.concatenate([n, m])))
+
+    def taken(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of each range that has any, which are then forgotten."""
+        for runs in self.parts:
+            while len(runs) > 1:
+                self._join(runs)
+            if runs:
+                yield runs.pop()
+
+
+def _count_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct grams and words of a block, with their counts in its training rows."""
-    block = part["block"][0].as_py()
-    words: Counter = Counter()
-    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for use in (1, 0):
-        for _, found in _chunks(part.filter(pa.compute.equal(part["held_out"], not use))["text"]):
-            for x in found:
-                if use:
+    sums = {_GRAM: _Sums(), _WORD: _Sums()}
+    for batch in batches:
+        for first, chunk in _chunks(batch["text"]):
+            held_out = batch["held_out"].slice(first, len(chunk)).to_pylist()
+            for use in (1, 0):
+                found = [x for x, held in zip(chunk, held_out, strict=True) if held != use]
+                if not found:
+                    continue
+                values, n = ppm.counted(np.concatenate([ppm.grams(b" ".join(x), ORDER) for x in found]))
+                sums[_GRAM].add(values, n * use)
+                words: Counter = Counter()
+                for x in found:
                     words.update(x)
-                else:
-                    words.update(dict.fromkeys(x, 0))
-            v, n = ppm.counted(np.concatenate([ppm.grams(b" ".join(x), ORDER) for x in found]))
-            values, counts = ppm.counted(np.concatenate([values, v]), np.concatenate([counts, n * use]))
-    keys = np.fromiter(map(_hash, words), np.uint64, len(words))
-    return pa.table(
-        {
-            "block": pa.array(np.full(len(values) + len(keys), block, np.int32)),
-            "kind": np.repeat(np.array([_GRAM, _WORD], np.int8), [len(values), len(keys)]),
-            "key": np.concatenate([values, keys]).view(np.int64),
-            "n": np.concatenate([counts, np.fromiter(words.values(), np.int64, len(keys))]),
-        }
-    )
-
-
-def _sorted_values(found: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    mine = found.select(["kind", "key", "value"]).filter(pa.compute.equal(found["kind"], kind))
-    keys, values = mine["key"].to_numpy(), mine["value"].to_numpy()
+                hashed = np.fromiter(map(_hash, words), np.uint64, len(words))
+                values, n = ppm.counted(hashed, np.fromiter(words.values(), np.int64, len(words)))
+                sums[_WORD].add(values, n * use)
+    block = key[0].as_py()
+    for kind, found in sums.items():
+        for keys, n in found.taken():
+            yield pa.RecordBatch.from_pydict(
+                {"block": np.full(len(keys), block, np.int32), "kind": np.full(len(keys), kind, np.int8), "key": keys.view(np.int64), "n": n}
+            )
+    _give_back()
+
+
+def _sorted_values(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their values; ``held`` is emptied."""
+    keys = np.concatenate([np.zeros(0, np.int64), *(x["key"].to_numpy() for x in held)])
+    values = np.concatenate([np.zeros(0), *(x["value"].to_numpy() for x in held)])
+    held.clear()
     order = np.argsort(keys)
     return keys[order], values[order]
 
 
-def _score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """Scores of a block's documents, given the values of the block's grams and counts of its words."""
-    keys, log_p = _sorted_values(found, _GRAM)
-    keys = keys.astype(np.uint64)
-    word_keys, word_counts = _sorted_values(found, _WORD)
+def _score_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of a block's documents (key: doc_id, value: 1 if held out), given the values of its grams and counts of its words."""
+    held: dict[int, list[pa.RecordBatch]] = {_GRAM: [], _WORD: [], _TEXT: []}
+    for batch in batches:
+        for kind, own in held.items():
+            mine = batch.filter(pa.compute.equal(batch["kind"], kind))
+            if len(mine):
+                own.append(mine.select(["key", "value", "text"] if kind == _TEXT else ["key", "value"]))
+    keys, log_p = _sorted_values(held[_GRAM])
+    keys = keys.view(np.uint64)
+    word_keys, word_counts = _sorted_values(held[_WORD])
+    docs = pa.Table.from_batches(held.pop(_TEXT))
     n_tokens, n_known = np.ones(len(docs), np.int64), np.zeros(len(docs), np.int64)
     base, scores = np.zeros(len(docs)), np.zeros(len(docs))
     for first, chunk in _chunks(docs["text"]):
@@ -126,7 +185,10 @@ def _score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
         made = [ppm.grams(b" ".join(x), ORDER) for x in chunk]
         starts = np.cumsum([0] + [len(g) for g in made[:-1]])
         scores[first : first + len(chunk)] = np.add.reduceat(log_p[np.searchsorted(keys, np.concatenate(made))], starts)
-    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n_tokens, "n_known": n_known, "base_sum": base, "score": scores})
+    ids, held_out = docs["key"].combine_chunks(), pa.array(docs["value"].to_numpy() > 0)
+    del docs, keys, log_p, word_keys, word_counts
+    _give_back()
+    yield pa.RecordBatch.from_pydict({"doc_id": ids, "held_out": held_out, "n_tokens": n_tokens, "n_known": n_known, "base_sum": base, "score": scores})
 
 
 def _value_shard(part: pd.DataFrame, between: pd.DataFrame, low: dict) -> pd.DataFrame:
@@ -193,7 +255,8 @@ def language_scores(docs: DataFrame) -> DataFrame:
     values = _values(summed.where(gram).select("key", "n"), counted["grams"])
     values = values.unionByName(summed.where(F.col("kind") == _WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
     back = keys.select("block", "kind", "key").join(values, ["kind", "key"])
-    scored = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block, _SCORES)
+    texts = dealt.select("block", F.lit(_TEXT).cast("byte").alias("kind"), F.col("doc_id").alias("key"), F.col("held_out").cast("double").alias("value"), "text")
+    scored = texts.unionByName(back.withColumn("text", F.lit(None).cast("string"))).groupBy("block").applyInArrow(_score_block, _SCORES)
     end = math.log10(learned + 1)
     return scored.select(
         "doc_id",
