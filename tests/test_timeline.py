@@ -6,6 +6,7 @@ from collections import Counter, OrderedDict
 import pytest
 
 from vellum.operators import timeline
+from vellum.plans import all as plans
 
 
 @pytest.mark.parametrize(("strict", "appended"), [(True, None), (False, None), (True, "n"), (False, "n")])
@@ -36,6 +37,21 @@ def test_asof_of_nothing(spark):
     assert timeline.asof(left.where("id = 2"), right, ["k"], "at", ["v"]).count() == 0
 
 
+def test_previous_run_where_places_repeat(spark, tmp_path):
+    """Of two events appended at one place the older one stands, whatever its value, as in SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(8)
+    ids = [i + 100_003 * c for i in range(60) for c in range(4)]
+    times = rng.sample(range(10_000), len(ids))
+    rows = [(e, t, "ab"[e % 2], float(rng.randrange(1000))) for e, t in zip(ids, times, strict=True)]
+    events = spark.createDataFrame(rows, "event_id long, us long, event_type string, value double").selectExpr("event_id", "timestamp_micros(us) ts", "event_type", "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in plans.QUERIES["previous_run"](spark, str(tmp_path)).select("event_id", "value_before", "delta").collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(db.execute(f"SELECT event_id, value_before, delta FROM ({plans.ORACLE_SQL['previous_run']})").fetchall())
+
+
 def _lookups(rng, n, keys):
     return [(i, rng.choice(keys) if rng.random() < 0.8 else f"one{rng.randrange(n)}", i // 3 * 1000) for i in range(n)]
 

@@ -94,8 +94,14 @@ FROM (SELECT *, event_id * 7919 % 100003 AS append FROM events)
 WINDOW w AS (PARTITION BY event_type ORDER BY ts GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """)
 def previous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a run, against the run that was appended last among those of its kind that are older; events came in another order than their times."""
-    runs = read(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value", (F.col("event_id") * 7919 % 100003).alias("append"))
+    """Each event as a run, against the run that was appended last among those of its kind that are older; events came in another order than their times.
+
+    Places of appends repeat from 100,003 events on. Of runs at one place the oldest stands, as SQL's
+    ``arg_max`` keeps the first it meets; of those of one time the one with the smallest id.
+    """
+    place = (F.col("event_id") * 7919 % 100003).alias("place")
+    append = F.struct(place, (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("age"), (-F.col("event_id")).alias("id"))
+    runs = read(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value", append.alias("append"))
     before = runs.select("event_type", "ts", "append", F.col("value").alias("value_before"))
     found = timeline.asof(runs.drop("append"), before, ["event_type"], "ts", ["value_before"], "append")
     return found.select("event_id", "event_type", "value", "value_before", F.round(F.col("value") - F.col("value_before"), 6).alias("delta"))
