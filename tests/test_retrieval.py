@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import evaluate, maintain, memory, retrieval
+from vellum.operators import answering, evaluate, maintain, memory, retrieval
 
 
 def test_bm25_finds_the_sentence(spark):
@@ -153,3 +154,44 @@ def test_queries_of_a_tenant_are_dealt_to_blocks(spark, monkeypatch):
         want |= {(name, i, -s + 0.0, k) for k, (s, i) in enumerate(near[:6], 1)}
     got = retrieval.nearest(spark.createDataFrame(rows, "id long, tenant string, vector array<double>"), spark.createDataFrame(asked, "query_id long, tenant string, vector array<double>"), 6)
     assert {(r["query_id"], r["id"], r["similarity"] + 0.0, r["rank"]) for r in got.collect()} == want
+
+
+def _chunks_and_questions(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé日x😀-") for _ in range(rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    rows = [(i, f"t{i % 4}" if i % 9 else None, rng.choice(texts)) for i in range(400)] + [(900, "t1", ""), (901, "t0", "a"), (902, "t1", "-")]
+    questions = [(i, f"t{i % 5}", " ".join(word() for _ in range(rng.randint(0, 9)))) for i in range(30)] + [(77, "t0", "a"), (78, "t1", None), (79, None, texts[0])]
+    chunks = spark.createDataFrame(rows, "id long, tenant string, content string").repartition(5).withColumn("vector", answering.hashed_vector(F.col("content")))
+    return rows, questions, chunks, spark.createDataFrame(questions, "query_id long, tenant string, text string").withColumn("vector", answering.hashed_vector(F.col("text")))
+
+
+@pytest.mark.parametrize(("batch", "places"), [(8_192, 16_000_000), (7, 0)])
+def test_chunks_are_scanned_where_they_are_made(spark, monkeypatch, batch, places):
+    """Rankings equal those of the blocks and of the plain joins; chunks are worked out once for the vectors and twice for the words, whatever the modes."""
+    for module in (retrieval, answering):
+        monkeypatch.setattr(module, "PAIR_PLACES", places)
+    monkeypatch.setattr(retrieval, "BATCH_QUERIES", batch)
+    rows, questions, chunks, asked = _chunks_and_questions(spark)
+    own = asked.select("query_id", F.explode(F.array_distinct(F.array("tenant", F.lit("t0")))).alias("tenant"), "vector")
+    tuples = lambda df: sorted(map(tuple, df.select("query_id", "id", "similarity", "rank").collect()))
+    near = tuples(retrieval.nearest(chunks, own, 6))
+    assert len(near) > 100 and tuples(retrieval.nearest_scan(chunks, own, 6)) == near
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    found = retrieval.retrieve_modes(("hybrid", "vector", "bm25"), chunks.withColumn("content", counted("content")), asked, 2, "t0")
+    got = {m: sorted((r["query_id"], r["rank"], r["id"], r["content"]) for r in df.collect()) for m, df in found.items()}
+    if batch > len(questions):
+        assert seen.value <= 3 * len(rows)
+    content = {i: c for i, _, c in rows}
+    assert got["vector"] == sorted((q, r, i, content[i]) for q, i, _, r in near if r <= 2)
+    docs = chunks.select(F.col("id").alias("doc_id"), "tenant", F.col("content").alias("text"))
+    ranked = retrieval.top(retrieval.bm25(docs, asked), "query_id", [F.desc("score"), F.asc("doc_id")], 6)
+    words = retrieval.within_tenant(ranked, docs, asked, 2, "t0").collect()
+    assert got["bm25"] == sorted((r["query_id"], r["rank"], r["doc_id"], content[r["doc_id"]]) for r in words) and words
+    assert got["hybrid"] and all(content[i] == c for _, _, i, c in got["hybrid"])

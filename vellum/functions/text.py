@@ -35,6 +35,10 @@ MORE_RULES = {"card": r"(?<!\d)\d{16}(?!\d)", "token": r'token = "[0-9a-f]{16,}"
 _SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
+#: The same characters as code points, for tasks that look at characters as numbers.
+DELETED = sorted({*map(ord, PUNCTUATION), *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000})
+
+
 def character_class(chars: str) -> str:
     """The inside of a regular expression's class of these characters."""
     return "".join("\\" + c if ord(c) < 128 and not c.isalnum() else c for c in chars)

@@ -11,12 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL_MARKERS, bare
+from ..functions.text import REFUSAL_MARKERS
 from ..sources.shared import stored
-from .retrieval import _codes, best_per_chunk, top
+from .retrieval import PAIR_PLACES, _points, best_per_chunk, top
 
 
 def intent(question: Column, several: tuple[str, ...] = ("compare", "and", "以及", "对比"), small_talk: tuple[str, ...] = ("hello", "thanks", "你好", "谢谢")) -> Column:
@@ -75,40 +76,75 @@ class _Buckets:
 
     def __init__(self, dimensions: int):
         self.dimensions, self.known = dimensions, {}
+        self.number, self.characters = np.zeros(0x110000, np.int32), 0
+        self.table = np.full((128, 128), -1, np.int32)
 
-    def _bucket(self, code: int) -> int:
-        pair = (chr((code >> 32) - 1) if code >> 32 else "") + chr(code & 0xFFFFFFFF)
+    def _bucket(self, pair: str) -> int:
         return int(hashlib.md5(pair.encode("utf-8", "surrogatepass")).hexdigest()[:6], 16) % self.dimensions
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        """A row for each bare text; about a million characters are looked at at a time, or one text."""
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // 1_000_000)) + 1).tolist(), len(texts)]
+        """A row for each text; about a hundred thousand characters are looked at at a time, or one text."""
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // 100_000)) + 1).tolist(), len(texts)]
         return np.concatenate([self._counts(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def _counts(self, texts: list[str]) -> np.ndarray:
-        codes, owner = _codes(texts)
-        distinct, at = np.unique(codes, return_inverse=True)
-        new = [c for c in distinct.tolist() if c not in self.known]
-        self.known.update((c, self._bucket(c)) for c in new)
-        bucket = np.fromiter((self.known[c] for c in distinct.tolist()), np.int64, len(distinct))
-        return np.bincount(owner * self.dimensions + bucket[at], minlength=len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
-
-
-def hashed_vectors(texts: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
-    """key, vector: the default embedding of (key, text) as an array; null for texts without bigrams. Other embeddings come as such a table.
+        points, sizes, owner = _points(texts)
+        alone = np.flatnonzero(sizes == 1)
+        single = np.fromiter((self._bucket(chr(points[i])) for i in np.cumsum(sizes)[alone] - 1), np.int64, len(alone))
+        pair = np.flatnonzero(owner[1:] == owner[:-1])
+        place = np.append(owner[pair] * self.dimensions + self._of_pairs(points, pair), alone * self.dimensions + single)
+        return np.bincount(place, minlength=len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
+
+    def _of_pairs(self, points: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Buckets of the pairs that begin at ``pair``: from a table over the characters met so far, which is filled as they come."""
+        numbers = self.number[points]
+        if not numbers.all():
+            new = np.unique(points[numbers == 0])
+            self.number[new] = np.arange(self.characters + 1, self.characters + len(new) + 1)
+            self.characters, numbers = self.characters + len(new), self.number[points]
+        first, second = points[pair], points[pair + 1]
+        if (self.characters + 1) ** 2 > PAIR_PLACES:  # very many characters: by the distinct pairs
+            codes, at = np.unique(first.astype(np.uint64) << np.uint64(32) | second, return_inverse=True)
+            for c in codes.tolist():
+                if c not in self.known:
+                    self.known[c] = self._bucket(chr(c >> 32) + chr(c & 0xFFFFFFFF))
+            return np.fromiter((self.known[c] for c in codes.tolist()), np.int64, len(codes))[at]
+        if self.characters >= len(self.table):
+            wider = np.full((2 * self.characters,) * 2, -1, np.int32)
+            wider[: len(self.table), : len(self.table)] = self.table
+            self.table = wider
+        a, b = numbers[pair], numbers[pair + 1]
+        found = self.table[a, b]
+        missed = np.flatnonzero(found < 0)
+        if len(missed):
+            for c in np.unique(first[missed].astype(np.uint64) << np.uint64(32) | second[missed]).tolist():
+                self.table[self.number[c >> 32], self.number[c & 0xFFFFFFFF]] = self._bucket(chr(c >> 32) + chr(c & 0xFFFFFFFF))
+            found = self.table[a, b]
+        return found
+
+
+def hashed_vector(text: Column, dimensions: int = 64) -> Column:
+    """The default embedding of a text as an array of numbers; null for a text without bigrams.
 
     Bigrams are counted in hashed buckets, where a text is read; nothing is shuffled.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = _Buckets(dimensions)
         for batch in batches:
-            n = buckets.counts(batch.tolist())
+            n = buckets.counts(batch.to_pylist())
             norm = np.sqrt((n * n).sum(1))
-            yield pd.Series([x / length if length else None for x, length in zip(n, norm, strict=True)], dtype=object)
+            offsets = np.append(0, np.cumsum(np.where(norm > 0, dimensions, 0))).astype(np.int32)
+            values = pa.array((n[norm > 0] / norm[norm > 0][:, None]).ravel())
+            yield pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(norm == 0))
 
-    return texts.select(key, embed(F.coalesce(bare(F.col("text")), F.lit(""))).alias("vector"))
+    return embed(F.coalesce(text, F.lit("")))
+
+
+def hashed_vectors(texts: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
+    """key, vector: the default embedding (:func:`hashed_vector`) of (key, text). Other embeddings come as such a table."""
+    return texts.select(key, hashed_vector(F.col("text"), dimensions).alias("vector"))
 
 
 def embedded(texts: DataFrame, key: str, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:

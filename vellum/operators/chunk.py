@@ -12,23 +12,25 @@ SIZE, OVERLAP = 200, 40
 SEPARATORS = ("\n\n", "\n", "。", " ", "")
 
 
-def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def sliding_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, chunk_index (from 0), start, content: windows of ``size`` characters that overlap; none for an empty or null text.
 
     The text is cut once into pieces of one step; a window is a piece and the beginning of the
     next, so the cost grows with the length and not with its square. ``overlap`` is at most half
-    of ``size``. A last piece that the window before it holds whole begins no window.
+    of ``size``. A last piece that the window before it holds whole begins no window. Windows
+    have the columns ``keep`` of their document.
     """
     step = size - overlap
     if overlap > step:
         raise ValueError("windows may overlap by half of their size at most")
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), 0).alias("pieces"))
+    pieces = docs.select("doc_id", *keep, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), 0).alias("pieces"))
     n = F.size("pieces")
     held = (n > 1) & (F.char_length(F.try_element_at("pieces", F.lit(-1))) <= overlap)
     used = F.slice("pieces", F.lit(1), F.when(held, n - 1).otherwise(n))
     following = lambda i: F.coalesce(F.left(F.get("pieces", i + 1), F.lit(overlap)), F.lit(""))
-    cut = pieces.where("size(pieces) > 0").select("doc_id", F.posexplode(F.transform(used, lambda x, i: F.concat(x, following(i)))).alias("chunk_index", "content"))
-    return cut.select("doc_id", "chunk_index", (F.col("chunk_index") * step).alias("start"), "content")
+    # outer: otherwise texts would be cut once more, for a filter on the number of windows
+    cut = pieces.select("doc_id", *keep, F.posexplode_outer(F.transform(used, lambda x, i: F.concat(x, following(i)))).alias("chunk_index", "content")).where("chunk_index is not null")
+    return cut.select("doc_id", *keep, "chunk_index", (F.col("chunk_index") * step).alias("start"), "content")
 
 
 def _parts(text: str, separator: str) -> list[str]:

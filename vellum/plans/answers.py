@@ -12,15 +12,12 @@ from .queries import _MEMORY, _NOW, _SHARED, _benchmark, _bigrams, _documents, _
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding chunks of all documents: id, doc_id, tenant, content, vector."""
-    docs = _documents(spark, sf_dir)
-    cut = chunk.sliding_chunks(docs).join(docs.select("doc_id", "tenant"), "doc_id")
-    cut = cut.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("id"), "doc_id", "tenant", "content")
-    return cut.join(answering.hashed_vectors(cut.select("id", F.col("content").alias("text")), "id"), "id")
+    cut = chunk.sliding_chunks(_documents(spark, sf_dir), keep=("tenant",))
+    return cut.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("id"), "doc_id", "tenant", "content", answering.hashed_vector(F.col("content")).alias("vector"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _benchmark(spark, sf_dir)
-    return asked.join(answering.hashed_vectors(asked.select("query_id", "text"), "query_id"), "query_id")
+    return _benchmark(spark, sf_dir).withColumn("vector", answering.hashed_vector(F.col("text")))
 
 
 def _vector_sql(source: str) -> str:
