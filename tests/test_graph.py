@@ -27,6 +27,28 @@ def test_walks_find_most_and_all_with_a_full_beam():
     assert graph_index.links_of(unit[:1]).max() == 0 and graph_index.walk(unit[:1], graph_index.links_of(unit[:1]), queries[:2], 5)[0].tolist() == [[0], [0]]
 
 
+def test_a_full_beam_needs_no_steps():
+    """A beam of all rows takes every product once; before, it went a step for each row, with a sort of the beam in each, along the links."""
+    rng = np.random.default_rng(7)
+    x = _clustered(rng, 2000, 8)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    nowhere = np.repeat(np.arange(2000)[:, None], 5, axis=1)
+    rows, sims, looked = graph_index.walk(unit, nowhere, unit[:9], 2000)
+    assert (np.sort(rows, axis=1) == np.arange(2000)).all() and looked == 9 * 2000
+    assert (np.diff(sims, axis=1) <= 0).all() and np.allclose(sims, np.einsum("id,ijd->ij", unit[:9], unit[rows]))
+
+
+def test_links_back_are_those_that_come_first():
+    rng = np.random.default_rng(8)
+    unit = _clustered(rng, 500, 4)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = graph_index.links_of(unit, near=6, far=2)
+    nearest, back = links[:, :6], links[:, 6:12]
+    for b in range(500):
+        want = [a for a in range(500) if b in nearest[a]][:6]
+        assert back[b].tolist() == want + [b] * (6 - len(want))
+
+
 def test_index_against_exact_search(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph_index, "BLOCK", 300)
     rng = np.random.default_rng(6)
@@ -45,3 +67,7 @@ def test_index_against_exact_search(spark, tmp_path, monkeypatch):
     assert tuples(full) == tuples(exact)
     told = graph_index.recall(index.nearest(queries, 5), exact).first()
     assert told["neighbours"] == exact.count() and told["recall"] >= 0.95
+    # a third part in single precision beside the others
+    index.add(spark.createDataFrame([(9100, "t", [1.0, 0.5] * 4)], "id long, tenant string, vector array<float>"))
+    one = spark.createDataFrame([(1, "t", [2.0, 1.0] * 4)], "query_id long, tenant string, vector array<double>")
+    assert [tuple(r) for r in index.nearest(one, 1).collect()] == [(1, 9100, 1.0, 1)]

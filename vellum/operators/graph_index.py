@@ -35,11 +35,10 @@ def links_of(unit: np.ndarray, near: int = NEAR, far: int = FAR, seed: int = 5)
         sims[np.arange(len(sims)), own[i : i + 512]] = -np.inf
         nearest[i : i + 512] = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     back = np.repeat(own[:, None], near, axis=1)
-    used = np.zeros(n, np.int64)
-    for a, b in zip(np.repeat(own, k), nearest.ravel(), strict=True):
-        if used[b] < near:
-            back[b, used[b]] = a
-            used[b] += 1
+    order = np.argsort(nearest.ravel(), kind="stable")
+    to, by = nearest.ravel()[order], np.repeat(own, k)[order]
+    place = np.arange(len(to)) - np.searchsorted(to, to)
+    back[to[place < near], place[place < near]] = by[place < near]
     drawn = rng.integers(0, n, (n, far))
     return np.concatenate([nearest, back, drawn, ((own + 1) % n)[:, None]], axis=1).astype(np.int32)
 
@@ -48,9 +47,14 @@ def walk(unit: np.ndarray, links: np.ndarray, queries: np.ndarray, beam: int) ->
     """For each unit query the rows of ``unit`` that a walk with a beam ends with, best first, their products, and how many products it took in all.
 
     The beam holds the best that were seen; its best row whose links weren't looked at is next,
-    until there is none. All queries walk at once.
+    until there is none. All queries walk at once. A beam of all rows drops none, so whatever
+    the way it ends with all of them: their products are taken at once.
     """
     n, m = len(unit), len(queries)
+    if beam >= n:
+        sims = queries @ unit.T
+        rows = np.argsort(-sims, axis=1, kind="stable")
+        return rows, np.take_along_axis(sims, rows, 1), m * n
     entry = np.unique(np.linspace(0, n - 1, min(max(ENTRIES, 1), n)).astype(np.int64))
     width = min(beam, n)
     seen = np.zeros((m, n), bool)
@@ -109,8 +113,10 @@ class GraphIndex:
         """Add (id, tenant, vector). Ids are whole numbers. Vectors that are null, zero or hold a null or non-finite component are nobody's neighbours and left out.
 
         A tenant's vectors of a size are dealt to blocks of about ``BLOCK``; every row is one of its own.
+        Single precision is stored as it is; all is computed in double precision.
         """
-        rows = vectors.where(_sound("vector")).select("id", "tenant", F.col("vector").cast("array<double>").alias("vector")).withColumn("size", F.size("vector"))
+        numbers = "array<float>" if dict(vectors.dtypes)["vector"] == "array<float>" else "array<double>"
+        rows = vectors.where(_sound("vector")).select("id", "tenant", F.col("vector").cast(numbers).alias("vector")).withColumn("size", F.size("vector"))
         blocks = rows.groupBy("tenant", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = rows.join(blocks, ["tenant", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
@@ -120,7 +126,7 @@ class GraphIndex:
 
         kind = dict(vectors.dtypes)["tenant"]
         name = uuid.uuid4().hex
-        made = dealt.groupBy("tenant", "size", "block").applyInPandas(linked, f"tenant {kind}, size int, block int, place int, id long, vector array<double>, links array<int>")
+        made = dealt.groupBy("tenant", "size", "block").applyInPandas(linked, f"tenant {kind}, size int, block int, place int, id long, vector {numbers}, links array<int>")
         made.write.parquet(f"{self.path}/graphs/{name}")
         self._parts.put(f"{name}.json", "{}")
 
@@ -133,6 +139,8 @@ class GraphIndex:
         if not names:
             return queries.where(F.lit(False)).select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
         parts = [self.spark.read.parquet(f"{self.path}/graphs/{n}").withColumn("part", F.lit(i)) for i, n in enumerate(names)]
+        if len({dict(p.dtypes)["vector"] for p in parts}) > 1:
+            parts = [p.withColumn("vector", F.col("vector").cast("array<double>")) for p in parts]
         graphs = parts[0]
         for p in parts[1:]:
             graphs = graphs.unionByName(p)
@@ -154,8 +162,10 @@ class GraphIndex:
             for i in range(0, len(q), 256):
                 part = q.iloc[i : i + 256]
                 found, sims, _ = walk(unit, links, _unit(part["vector"]), max(beam, k))
-                who, at = np.nonzero(found >= 0)
-                best = pd.DataFrame({"query_id": part["query_id"].to_numpy()[who], "id": ids[found[who, at]], "similarity": np.round(sims[who, at], 6)})
+                sims = np.round(sims, 6)
+                # best come first: what is below the k-th isn't among the best; equals go by their ids
+                who, at = np.nonzero((found >= 0) & (sims >= sims[:, min(k, sims.shape[1]) - 1][:, None]))
+                best = pd.DataFrame({"query_id": part["query_id"].to_numpy()[who], "id": ids[found[who, at]], "similarity": sims[who, at]})
                 best = best.sort_values(["similarity", "id"], ascending=[False, True])
                 out.append(best[best.groupby("query_id").cumcount() < k])
             return pd.concat(out)
