@@ -102,8 +102,8 @@ def mode_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of hybrid, vector and word retrieval over the same chunks; a hit holds the beginning or the end of the passage asked for."""
     chunks, asked = _chunks(spark, sf_dir), _asked(spark, sf_dir)
     words = asked.select("query_id", F.array(F.left("text", F.lit(25)), F.right("text", F.lit(25))).alias("keywords"))
-    found = {m: retrieval.retrieve_chunks(m, chunks, asked, 10, _SHARED).join(words, "query_id") for m in _MODES}
-    return evaluate.compare_modes(asked, found)
+    found = retrieval.retrieve_modes(_MODES, chunks, asked, 10, _SHARED)
+    return evaluate.compare_modes(asked, {m: hits.join(words, "query_id") for m, hits in found.items()})
 
 
 _ASK_SQL = f"""
