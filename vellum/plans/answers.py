@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import answering, chunk, evaluate, memory, memory_run, retrieval
+from ..sources.shared import stored
 from .queries import _MEMORY, _NOW, _SHARED, _benchmark, _bigrams, _documents, _hits, _HITS, _memory, query, read
 
 
@@ -118,12 +119,12 @@ used AS (SELECT u.*, d.source, d.lang FROM (SELECT *, row_number() OVER (PARTITI
 
 def _ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over-fetch, rerank by given scores, cut to three; with what a prompt and its sources show."""
-    hits = retrieval.retrieve_chunks("hybrid", _chunks(spark, sf_dir), _asked(spark, sf_dir), retrieval.over_fetch(3, True), _SHARED)
+    hits = stored(retrieval.retrieve_chunks("hybrid", _chunks(spark, sf_dir), _asked(spark, sf_dir), retrieval.over_fetch(3, True), _SHARED), "hits")
     shown = retrieval.candidate_texts(hits)
     scores = shown.where("idx % 3 <> 1").select("query_id", "idx", F.lit(0).alias("seq"), (((F.col("query_id") + F.col("idx") * 7) % 10) / 10).alias("relevance"))
     ranked = retrieval.rerank(hits, scores).where("new_rank <= 3").drop("rank").withColumnRenamed("new_rank", "rank")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("tags"))
-    return ranked.withColumn("doc_id", F.floor(F.col("id") / 1_000_000)).withColumn("chunk_index", F.col("id") % 1_000_000).join(docs, "doc_id")
+    return stored(ranked.withColumn("doc_id", F.floor(F.col("id") / 1_000_000)).withColumn("chunk_index", F.col("id") % 1_000_000).join(docs, "doc_id"), "used")
 
 
 @query(f"""
